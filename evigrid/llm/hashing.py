@@ -82,12 +82,12 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         at = to
 
 
-def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (runs without ASCII white space, A-Z lower-cased), and where each text's words begin."""
+def words(offsets: np.ndarray, data: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (runs of bytes that are not `between`: ASCII white space; A-Z lower-cased), and where each text's words begin."""
     if not len(data):
         return np.zeros(0, U), np.zeros(len(offsets), np.int64)
     low = _LOWER[data]
-    word = ~_SPACE[low]
+    word = ~between[low]
     first = np.empty(len(low), bool)
     first[0] = True
     first[1:] = ~word[:-1]
