@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigrid.llm import chat, decontaminate, nearest, ngram_join, packing, url_filter
+from evigrid.llm import chat, decontaminate, line_dedup, nearest, ngram_join, packing, quality, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ngram_join.op1_ngram_join,
         url_filter.op2_url_filters,
         chat.op3_chat_formatting,
+        line_dedup.op4_line_dedup,
         nearest.op5_approximate_nearest_neighbours,
         packing.op6_packing,
+        quality.op7_quality_classifier,
         decontaminate.op10_benchmark_decontamination,
     )
     return {f.__name__: f for f in functions}

@@ -65,24 +65,15 @@ def links(pages: DataFrame) -> DataFrame:
     """(a, b): nodes joined by a canonical link or a refresh in the page's html. Relative targets are taken on the page's own host."""
     rows = pages.where(F.coalesce(F.col("html").rlike(r"(?i)canonical|http-equiv"), F.lit(False))).select("url", "html")
     found = rows.select(
-        "url",
-        F.explode(
-            F.concat(
-                F.regexp_extract_all("html", F.lit(_CANONICAL), F.lit(1)),
-                F.regexp_extract_all("html", F.lit(_CANONICAL), F.lit(2)),
-                F.regexp_extract_all("html", F.lit(_CANONICAL), F.lit(3)),
-                F.regexp_extract_all("html", F.lit(_REFRESH), F.lit(1)),
-            )
-        ).alias("to"),
-    ).where("to <> ''")
-    target = F.replace(F.col("to"), F.lit("&amp;"), F.lit("&"))
-    target = (
-        F.when(F.instr(target, "://") > 0, target)
-        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
-        .when(target.startswith("/"), F.concat(F.lit("http://"), host_of(F.col("url")), target))
-        .otherwise(F.concat(F.lit("http://"), host_of(F.col("url")), F.regexp_extract(path_of(F.col("url")), r"^(.*/)?", 0), target))
+        node_of(F.col("url")).alias("a"),
+        host_of(F.col("url")).alias("host"),
+        F.regexp_extract(path_of(F.col("url")), r"^(.*/)?", 0).alias("folder"),
+        F.concat(*(F.regexp_extract_all("html", F.lit(_CANONICAL), F.lit(i)) for i in (1, 2, 3)), F.regexp_extract_all("html", F.lit(_REFRESH), F.lit(1))).alias("targets"),
     )
-    return found.select(node_of(F.col("url")).alias("a"), node_of(target).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    found = found.select("a", "host", "folder", F.explode("targets").alias("to")).where("a IS NOT NULL AND to <> ''")
+    target = F.replace(F.col("to"), F.lit("&amp;"), F.lit("&"))
+    before = F.when(F.instr(target, "://") > 0, "").when(target.startswith("//"), "http:").when(target.startswith("/"), F.concat(F.lit("http://"), "host")).otherwise(F.concat(F.lit("http://"), "host", "folder"))
+    return found.select("a", F.concat(before, target).alias("to")).select("a", node_of(F.col("to")).alias("b")).where("b IS NOT NULL AND a <> b")
 
 
 def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, redirects: DataFrame | None = None) -> DataFrame:
