@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigrid.llm import chat, decontaminate, line_dedup, nearest, ngram_join, packing, quality, url_filter
+from evigrid.llm import chat, decontaminate, line_dedup, nearest, ngram_join, packing, pii, quality, secrets_scan, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         nearest.op5_approximate_nearest_neighbours,
         packing.op6_packing,
         quality.op7_quality_classifier,
+        secrets_scan.op8_secret_scan,
+        pii.op9_personal_data,
         decontaminate.op10_benchmark_decontamination,
     )
     return {f.__name__: f for f in functions}
