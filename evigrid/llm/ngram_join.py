@@ -188,6 +188,18 @@ def _verified(members: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(verify, "a long, b long")
 
 
+def _can_link(x, y, percent: int):
+    """Whether two groups that meet at a shingle can be similar enough, by their places there (size * 2**31 + position in the prefix).
+
+    What two sets share from their first common shingle on is no more than what either has left. Any later common
+    shingle may be refused where the first one is not, so that no link is lost.
+    """
+    low = F.lit((1 << 31) - 1)
+    sizes = [F.shiftright(p, 31) for p in (x, y)]
+    rest = F.least(*(n - p.bitwiseAND(low) for n, p in zip(sizes, (x, y), strict=True)))
+    return rest * F.lit(100 + percent) >= (sizes[0] + sizes[1]) * F.lit(percent)
+
+
 def similar_documents(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text).
 
@@ -210,37 +222,41 @@ def similar_documents(docs: DataFrame, k: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = spark.sparkContext.broadcast(_sketch(docs, k))
     known = checkpointed(_prefixes(docs, k, percent, sketch))
-    classes = checkpointed(known.where("n > 0 AND doc_id IS NOT NULL").groupBy("g", "n", "c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix")))
-    groups = classes.groupBy("g").agg(F.count("*").alias("m"), F.first("prefix").alias("prefix"))
-    meetings = groups.select("g", "m", F.explode("prefix").alias("token")).repartition("token")
-    met = meetings.groupBy("token").agg(F.sum("m").alias("size"), F.bit_xor(F.xxhash64("g")).alias("who"), F.bit_xor(F.xxhash64("g", F.lit(1))).alias("who2")).where("size > 1")
+    linkable = known.where("n > 0 AND doc_id IS NOT NULL")
+    classes = checkpointed(linkable.groupBy("g", "n", "c1", "c2").agg(F.min("doc_id").alias("doc_id")))
+    groups = linkable.groupBy("g", "n").agg(F.first("prefix").alias("prefix")).join(classes.groupBy("g", "n").agg(F.count("*").alias("m")), ["g", "n"])
+    meetings = groups.select("g", "m", (F.col("n") * F.lit(1 << 31)).alias("big"), F.posexplode("prefix").alias("at", "token")).select("token", "g", "m", (F.col("big") + F.col("at")).alias("place")).repartition("token")
+    met = meetings.groupBy("token").agg(F.sum("m").alias("size"), F.count("*").alias("groups"), F.bit_xor(F.xxhash64("g")).alias("who"), F.bit_xor(F.xxhash64("g", F.lit(1))).alias("who2"), F.min("place").alias("x"), F.max("place").alias("y"))
+    met = met.where("size > 1").where((F.col("groups") > 2) | _can_link(F.col("x"), F.col("y"), percent))
     chosen = met.groupBy("size", "who", "who2").agg(F.min("token").alias("token"))
     present = checkpointed(
-        meetings.join(chosen.select("token", "size"), "token").select("token", "size", "g").join(classes.select("g", "doc_id", "c1", "c2", "n"), "g").select("token", "size", "doc_id", "c1", "c2")
+        meetings.join(chosen.select("token", "size"), "token").select("token", "size", "g").join(classes.select("g", "doc_id", "c1", "c2"), "g").select("token", "size", "doc_id", "c1", "c2")
     )
     wanted = spark.sparkContext.broadcast(bitmap(present, bit_of(F.xxhash64("doc_id"))))
-    sets = checkpointed(_sets(docs, k, wanted).join(present.select("doc_id", "c1", "c2").distinct(), ["doc_id", "c1", "c2"]).dropDuplicates(["doc_id", "c1", "c2"]))
+    sets = _sets(docs, k, wanted)
     blocks = F.when(F.col("size") > BLOCK, F.ceil(F.col("size") * 2 / BLOCK)).otherwise(1).cast("int")
-    small = present.select("token", "doc_id", "c1", "c2", F.when(F.col("size") > BLOCK, F.pmod(F.xxhash64("doc_id", F.lit(3)), blocks)).otherwise(F.lit(0)).cast("int").alias("part"), "size")
+    own = F.when(F.col("size") > BLOCK, F.pmod(F.xxhash64("doc_id", F.lit(3)), blocks)).otherwise(F.lit(0)).cast("int")
+    small = present.select("token", "doc_id", "c1", "c2", own.alias("part"))
     large = present.where(F.col("size") > BLOCK)
-    pivots = large.groupBy("token", "size").agg(*(F.min_by(F.struct("doc_id", "c1", "c2"), F.xxhash64("doc_id", F.lit(10 + i))).alias(f"p{i}") for i in range(4)))
-    pivots = pivots.select("token", "size", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(4))))).alias("p")).select("token", "p.*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("part"), "size")
-    first = small.unionByName(pivots).dropDuplicates(["token", "part", "doc_id", "c1", "c2"])
-    links = checkpointed(_verified(first.join(sets, ["doc_id", "c1", "c2"]).withColumn("label", F.col("doc_id")), percent))
+    some = not large.isEmpty()
+    if some:
+        pivots = large.groupBy("token", "size").agg(*(F.min_by(F.struct("doc_id", "c1", "c2"), F.xxhash64("doc_id", F.lit(10 + i))).alias(f"p{i}") for i in range(4)))
+        pivots = pivots.select("token", "size", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(4))))).alias("p"))
+        small = small.unionByName(pivots.select("token", "p.*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("part"))).distinct()
+    links = checkpointed(_verified(small.withColumn("label", F.col("doc_id")).join(sets, ["doc_id", "c1", "c2"]), percent))
     found = components(links)
-    if not large.isEmpty():
+    if some:
         found = checkpointed(found)
         named = large.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
         apart = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-        i = F.pmod(F.xxhash64("doc_id", F.lit(3)), blocks).cast("int")
-        every = (
+        every = checkpointed(
             named.join(apart, "token")
-            .withColumn("i", i)
+            .withColumn("i", own)
             .withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
             .select("token", (F.least("i", "j") * F.lit(1 << 15) + F.greatest("i", "j")).alias("part"), "doc_id", "c1", "c2", "label")
         )
-        more = checkpointed(_verified(every.join(sets, ["doc_id", "c1", "c2"]), percent))
-        found = components(links.unionByName(more))
+        if not every.isEmpty():
+            found = components(links.unionByName(checkpointed(_verified(every.join(sets, ["doc_id", "c1", "c2"]), percent))))
     labelled = classes.select("c1", "c2", "n", F.col("doc_id").alias("least")).join(found, F.col("least") == F.col("node"), "left").select("c1", "c2", "n", F.coalesce("component", "least").alias("component_id"))
     return known.select("doc_id", F.col("n").alias("n_shingles"), "c1", "c2", "n").join(labelled, ["c1", "c2", "n"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
