@@ -11,22 +11,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrid.llm.common import bit_of, bitmap, checkpointed, in_bitmap, table
+from evigrid.llm.common import BITMAP_BITS, bit_of, bitmap, checkpointed, in_bitmap, table
 from evigrid.llm.hashing import POWERS, U, mix, prefix_sums, slices
 
 #: Shorter lines are no evidence of copying and always stay.
 LEAST_CHARS = 40
 #: Characters hashed at a time.
 _PIECE = 1 << 20
-_FOLD = {i: i + 32 for i in range(65, 91)}
+#: Scrambled code points of the first planes' common part; others are scrambled when met.
+_COMMON = mix(np.arange(1, 0x3001, dtype=U))
 
 
 def normal(line: str) -> str:
-    """What is compared: without white space at the ends, A-Z lower-cased."""
-    return line.strip().translate(_FOLD)
+    """What is compared: without white space at the ends, lower-cased."""
+    return line.strip().lower()
 
 
 def _pieces(texts: list[str | None], least: int) -> Iterator[tuple[list[int], list[int], list[str]]]:
@@ -52,11 +53,12 @@ def _pieces(texts: list[str | None], least: int) -> Iterator[tuple[list[int], li
         yield docs, numbers, lines
 
 
-def _sums(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Scrambled code points of all lines in a row, their prefix sums, and each line's start and end."""
-    codes = mix(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(U) + U(1))
+def _sums(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix sums over the scrambled code points of all lines in a row, and each line's start and end."""
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
+    codes = _COMMON[points] if not len(points) or points.max() < len(_COMMON) else mix(points.astype(U) + U(1))
     ends = np.cumsum([len(x) for x in lines])
-    return codes, prefix_sums(codes), np.concatenate([[0], ends[:-1]]), ends
+    return prefix_sums(codes), np.concatenate([[0], ends[:-1]]), ends
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -74,7 +76,7 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0)
             for docs_, numbers, lines in _pieces(batch.column(1).to_pylist(), least):
-                _, sums, start, end = _sums(lines)
+                sums, start, end = _sums(lines)
                 n = end - start
                 half, below = n // 2, (n - 1) // 2
                 salt = [U(0x632BE59BD9B4E019), U(0x85157AF5D1B4C3A7)]
@@ -96,20 +98,53 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line int, h long, keys array<long>")
 
 
-def _texts(docs: DataFrame, least: int, wanted) -> DataFrame:
-    """(h, text) of the lines that the bitmap lets pass, each task's repeats sent once."""
+def _spot(doc, line):
+    """A bitmap position for a place, as _spot_of has it for columns."""
+    return ((doc & 0x7FFFFFFF) * 31 + line) & (BITMAP_BITS - 1)
+
+
+def _spot_of(doc: Column, line: Column) -> Column:
+    return (doc.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")) * 31 + line).bitwiseAND(F.lit(BITMAP_BITS - 1).cast("long"))
+
+
+def _texts(docs: DataFrame, least: int, wanted_docs, wanted_lines) -> DataFrame:
+    """(h, doc_id, line, text, keys) of the lines whose places the bitmaps let pass.
+
+    keys: eight, one of which is shared with any line one edit away: three quarters of the line, with the fourth left
+    out, by its own length and, for a neighbour one shorter, by the length below.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, lines in _pieces(batch.column(0).to_pylist(), least):
-                _, sums, start, end = _sums(lines)
-                h = slices(sums, start, end)
-                take = np.flatnonzero(in_bitmap(wanted.value, (h & U(len(wanted.value) * 8 - 1)).astype(np.int64)))
-                if len(take):
-                    h, first = np.unique(h[take], return_index=True)
-                    yield pa.RecordBatch.from_arrays([_signed(h), pa.array([lines[i] for i in take[first]])], ["h", "text"])
+            some = batch.filter(pa.array(in_bitmap(wanted_docs.value, batch.column(1).to_numpy())))
+            ids = some.column(0).to_numpy()
+            for docs_, numbers, lines in _pieces(some.column(2).to_pylist(), least):
+                doc, line = ids[docs_], np.array(numbers, np.int64)
+                take = np.flatnonzero(in_bitmap(wanted_lines.value, _spot(doc, line)))
+                if not len(take):
+                    continue
+                lines = [lines[i] for i in take]
+                sums, start, end = _sums(lines)
+                n = end - start
+                keys = []
+                for size, more in ((n, 0), (n - 1, 1)):
+                    for j in range(4):
+                        front, back = j * size // 4, (j + 1) * size // 4 + more
+                        keys.append(mix(slices(sums, start, start + front) ^ mix(slices(sums, start + back, end) + size.astype(U) * U(8) + U(j))))
+                keys = np.stack(keys, axis=1).ravel()
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(slices(sums, start, end)), pa.array(doc[take]), pa.array(line[take].astype(np.int32)), pa.array(lines), pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, 8, dtype=np.int32), _signed(keys))],
+                    ["h", "doc_id", "line", "text", "keys"],
+                )
+
+    return docs.select("doc_id", bit_of(F.xxhash64("doc_id")).alias("bit"), "text").mapInArrow(run, "h long, doc_id long, line int, text string, keys array<long>")
+
 
-    return docs.select("text").mapInArrow(run, "h long, text string")
+def _sharing(keyed: DataFrame) -> DataFrame:
+    """Distinct h of rows (h, keys) that share a key with another h."""
+    each = keyed.select("h", F.explode("keys").alias("key")).repartition("key")
+    shared = each.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select("key")
+    return each.join(shared, "key", "left_semi").select("h").distinct()
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -123,7 +158,7 @@ def _variants(lines: DataFrame) -> DataFrame:
         inverse = POWERS.upto(2)[1][1]
         for batch in batches:
             for h, first, text in zip(batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                _, sums, _, _ = _sums([text])
+                sums, _, _ = _sums([text])
                 n = len(text)
                 without = sums[:n] + (sums[n] - sums[1:]) * inverse
                 sizes = np.array([n, n - 1], U) * U(0xD6E8FEB86659FD93)
@@ -142,24 +177,22 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     """(doc_id, line) of every line of docs (doc_id, text) that goes, numbered from 0 in texts split at newlines.
 
     A line goes when an earlier one, by (doc_id, line), is equal or one edit (a character put in, left out or changed) away, in
-    normal form: white space at the ends dropped, A-Z lower-cased. Lines of fewer than `least` characters stay.
+    normal form: white space at the ends dropped, lower-cased. Lines of fewer than `least` characters stay.
 
     Equal lines are one class with its earliest place. Only classes that share half of themselves with another can have a
-    neighbour, and only those emit variants. For each key the earliest classes are aggregated, never its pairs; what
+    neighbour, then only those that share three quarters, and only those emit variants. For each key the earliest classes are aggregated, never its pairs; what
     meets is verified with the edit distance of the texts. Texts of null or no characters have no lines; rows with a null doc_id
     keep all lines; rows of one doc_id are one document, whose equal line numbers are one place; an empty table gives no row.
     """
     spark = docs.sparkSession
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = checkpointed(_lines(docs, least))
-    place = F.struct("doc_id", "line")
-    classes = lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys"))
-    classes = checkpointed(classes)
-    halves = classes.select("h", F.explode("keys").alias("key")).repartition("key")
-    shared = halves.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select("key")
-    able = checkpointed(halves.join(shared, "key", "left_semi").select("h").distinct().join(classes.select("h", "first"), "h"))
-    wanted = spark.sparkContext.broadcast(bitmap(able, bit_of(F.col("h"))))
-    texts = checkpointed(able.join(_texts(docs, least, wanted).groupBy("h").agg(F.first("text").alias("text")), "h").select("h", "first", "text"))
+    first = F.min(F.struct("doc_id", "line")).alias("first")
+    classes = lines.groupBy("h").agg(first, F.count("*").alias("n"))
+    able = checkpointed(_sharing(lines.groupBy("h").agg(F.first("keys").alias("keys"))).join(classes, "h").select("h", "first.*"))
+    wanted = [spark.sparkContext.broadcast(bitmap(able, position)) for position in (bit_of(F.xxhash64("doc_id")), _spot_of(F.col("doc_id"), F.col("line")))]
+    found = checkpointed(able.join(_texts(docs, least, *wanted), ["h", "doc_id", "line"]).groupBy("h").agg(first, F.first("text").alias("text"), F.first("keys").alias("keys")))
+    texts = checkpointed(_sharing(found).join(found, "h").select("h", "first", "text"))
     keys = _variants(texts).repartition("key")
     held = F.struct("first", "h")
     met = (
