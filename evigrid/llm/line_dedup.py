@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from evigrid.llm.hashing import POWERS, U, mix, prefix_sums, slices
 
 #: Shorter lines are no evidence of copying and always stay.
 LEAST_CHARS = 40
+#: Parts of a line, one of which holds the edit: variants are emitted only for parts that another line could differ in.
+BLOCKS = 8
 #: Characters hashed at a time.
 _PIECE = 1 << 20
 #: Scrambled code points of the first planes' common part; others are scrambled when met.
@@ -69,7 +72,7 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
     """(doc_id, line, h, keys): a line's hash, and the four keys of which it shares one with any line one edit away.
 
     One edit leaves the first or the last half of the shorter line as it is; so the halves are taken by the line's own
-    length and, for a neighbour one shorter, by the length below.
+    length and, for a neighbour one shorter, by the length below. Repeats of a line inside a piece carry no keys.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,6 +81,9 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
             for docs_, numbers, lines in _pieces(batch.column(1).to_pylist(), least):
                 sums, start, end = _sums(lines)
                 n = end - start
+                h = slices(sums, start, end)
+                new = np.zeros(len(h), bool)
+                new[np.unique(h, return_index=True)[1]] = True
                 half, below = n // 2, (n - 1) // 2
                 salt = [U(0x632BE59BD9B4E019), U(0x85157AF5D1B4C3A7)]
                 own, under = n.astype(U), (n - 1).astype(U)
@@ -90,10 +96,8 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
                     ],
                     axis=1,
                 ).ravel()
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(docs_)), pa.array(numbers, pa.int32()), _signed(slices(sums, start, end)), pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, 4, dtype=np.int32), _signed(keys))],
-                    ["doc_id", "line", "h", "keys"],
-                )
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, 4, dtype=np.int32)), _signed(keys))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(docs_)), pa.array(numbers, pa.int32()), _signed(h), pc.if_else(pa.array(new), keys, None)], ["doc_id", "line", "h", "keys"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line int, h long, keys array<long>")
 
@@ -110,8 +114,8 @@ def _spot_of(doc: Column, line: Column) -> Column:
 def _texts(docs: DataFrame, least: int, wanted_docs, wanted_lines) -> DataFrame:
     """(h, doc_id, line, text, keys) of the lines whose places the bitmaps let pass.
 
-    keys: eight, one of which is shared with any line one edit away: three quarters of the line, with the fourth left
-    out, by its own length and, for a neighbour one shorter, by the length below.
+    keys: two for each of BLOCKS parts, one of which is shared with any line one edit away: the line without that part, which
+    holds the edit, by its own length and, for a neighbour one shorter, by the length below.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,12 +132,12 @@ def _texts(docs: DataFrame, least: int, wanted_docs, wanted_lines) -> DataFrame:
                 n = end - start
                 keys = []
                 for size, more in ((n, 0), (n - 1, 1)):
-                    for j in range(4):
-                        front, back = j * size // 4, (j + 1) * size // 4 + more
-                        keys.append(mix(slices(sums, start, start + front) ^ mix(slices(sums, start + back, end) + size.astype(U) * U(8) + U(j))))
+                    for j in range(BLOCKS):
+                        front, back = j * size // BLOCKS, (j + 1) * size // BLOCKS + more
+                        keys.append(mix(slices(sums, start, start + front) ^ mix(slices(sums, start + back, end) + size.astype(U) * U(BLOCKS) + U(j))))
                 keys = np.stack(keys, axis=1).ravel()
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(slices(sums, start, end)), pa.array(doc[take]), pa.array(line[take].astype(np.int32)), pa.array(lines), pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, 8, dtype=np.int32), _signed(keys))],
+                    [_signed(slices(sums, start, end)), pa.array(doc[take]), pa.array(line[take].astype(np.int32)), pa.array(lines), pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, 2 * BLOCKS, dtype=np.int32), _signed(keys))],
                     ["h", "doc_id", "line", "text", "keys"],
                 )
 
@@ -141,36 +145,45 @@ def _texts(docs: DataFrame, least: int, wanted_docs, wanted_lines) -> DataFrame:
 
 
 def _sharing(keyed: DataFrame) -> DataFrame:
-    """Distinct h of rows (h, keys) that share a key with another h."""
-    each = keyed.select("h", F.explode("keys").alias("key")).repartition("key")
+    """(h, part): the keys of rows (h, keys), by their place in the array, that another h has too."""
+    each = keyed.select("h", F.posexplode("keys").alias("part", "key")).repartition("key")
     shared = each.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select("key")
-    return each.join(shared, "key", "left_semi").select("h").distinct()
+    return each.join(shared, "key", "left_semi").select("h", "part")
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(key, own, h, first): the line itself (own) and, for every character, the line without it, alone and with the place.
+    """(key, own, h, first): the line itself (own 1) and the line without one character of a part that could hold an edit.
 
-    Two lines of one length are one edit apart when the same place left out makes them equal; of two lengths, when one is
-    the other without a character. Keys of the first kind hold the place, those of the second do not.
+    Two lines of one length are one edit apart when the same place left out makes them equal (own 2: such keys hold the
+    place); of two lengths, when one is the other without a character (own 0, which meets own 1).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inverse = POWERS.upto(2)[1][1]
+        salt = U(0xD6E8FEB86659FD93)
         for batch in batches:
-            for h, first, text in zip(batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            keys, owns, hs, at = [], [], [], []
+            for i, (h, text, parts) in enumerate(zip(batch.column(0).to_numpy(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 sums, _, _ = _sums([text])
                 n = len(text)
-                without = sums[:n] + (sums[n] - sums[1:]) * inverse
-                sizes = np.array([n, n - 1], U) * U(0xD6E8FEB86659FD93)
-                whole, left = mix(sums[n:] + sizes[:1]), mix(without + sizes[1:])
-                change = mix(left ^ mix(np.arange(n, dtype=U) + U(0x3C79AC492BA7B653)))
-                keys = np.concatenate([whole, np.unique(left), change])
-                own = np.zeros(len(keys), np.int8)
-                own[0] = 1
-                own[len(keys) - n :] = 2
-                yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(own), pa.array(np.full(len(keys), h)), pa.array([first] * len(keys), pa.struct([("doc_id", pa.int64()), ("line", pa.int32())]))], ["key", "own", "h", "first"])
-
-    return lines.select("h", "first", "text").mapInArrow(run, "key long, own tinyint, h long, first struct<doc_id:long,line:int>")
+                found = []
+                if any(j < BLOCKS for j in parts):
+                    found.append((mix(sums[n:] + np.array([n], U) * salt), 1))
+                for j in sorted(set(parts)):
+                    size, more = (n, 0) if j < BLOCKS else (n - 1, 1)
+                    place = np.arange(j % BLOCKS * size // BLOCKS, min(n, (j % BLOCKS + 1) * size // BLOCKS + more))
+                    left = mix(sums[place] + (sums[n] - sums[place + 1]) * inverse + np.array([n - 1], U) * salt)
+                    found.append((mix(left ^ mix(place.astype(U) + U(0x3C79AC492BA7B653))), 2) if j < BLOCKS else (np.unique(left), 0))
+                for k, own in found:
+                    keys.append(k)
+                    owns.append(np.full(len(k), own, np.int8))
+                    hs.append(np.full(len(k), h))
+                    at.append(np.full(len(k), i))
+            if keys:
+                first = batch.column(1).take(pa.array(np.concatenate(at)))
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), pa.array(np.concatenate(owns)), pa.array(np.concatenate(hs)), first], ["key", "own", "h", "first"])
+
+    return lines.select("h", "first", "text", "parts").mapInArrow(run, "key long, own tinyint, h long, first struct<doc_id:long,line:int>")
 
 
 def repeated_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
@@ -180,7 +193,7 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     normal form: white space at the ends dropped, lower-cased. Lines of fewer than `least` characters stay.
 
     Equal lines are one class with its earliest place. Only classes that share half of themselves with another can have a
-    neighbour, then only those that share three quarters, and only those emit variants. For each key the earliest classes are aggregated, never its pairs; what
+    neighbour, of those only the ones that are equal but for one part, and only they emit variants, for that part. For each key the earliest classes are aggregated, never its pairs; what
     meets is verified with the edit distance of the texts. Texts of null or no characters have no lines; rows with a null doc_id
     keep all lines; rows of one doc_id are one document, whose equal line numbers are one place; an empty table gives no row.
     """
@@ -189,10 +202,10 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     lines = checkpointed(_lines(docs, least))
     first = F.min(F.struct("doc_id", "line")).alias("first")
     classes = lines.groupBy("h").agg(first, F.count("*").alias("n"))
-    able = checkpointed(_sharing(lines.groupBy("h").agg(F.first("keys").alias("keys"))).join(classes, "h").select("h", "first.*"))
+    able = checkpointed(_sharing(lines.where("keys IS NOT NULL")).select("h").distinct().join(classes, "h").select("h", "first.*"))
     wanted = [spark.sparkContext.broadcast(bitmap(able, position)) for position in (bit_of(F.xxhash64("doc_id")), _spot_of(F.col("doc_id"), F.col("line")))]
     found = checkpointed(able.join(_texts(docs, least, *wanted), ["h", "doc_id", "line"]).groupBy("h").agg(first, F.first("text").alias("text"), F.first("keys").alias("keys")))
-    texts = checkpointed(_sharing(found).join(found, "h").select("h", "first", "text"))
+    texts = checkpointed(_sharing(found).groupBy("h").agg(F.collect_set("part").alias("parts")).join(found, "h").select("h", "first", "text", "parts"))
     keys = _variants(texts).repartition("key")
     held = F.struct("first", "h")
     met = (
