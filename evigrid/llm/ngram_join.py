@@ -22,6 +22,8 @@ from evigrid.llm.hashing import U, mix, shingle_sets
 SKETCH_BITS = 22
 #: Rows of the sketch that travel together.
 _SLICES = 256
+#: Regions of the hash space whose counts bound the overlap of two sets: bytes of a member's outline.
+REGIONS = 128
 #: Members that are compared in one go; larger meetings are split into blocks.
 BLOCK = 512
 
@@ -58,13 +60,13 @@ def _sketch(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, sketch) -> DataFrame:
-    """Per document: its set's size, a 128-bit key of the set, its prefix (the rarest shingles) and a key of prefix and size."""
+    """Per document: its set's size, a 128-bit key of the set, its prefix (the rarest shingles), a key of prefix and size, and its outline (how many shingles lie in each region of the hash space)."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
         mask = U(len(counts) - 1)
         for batch in batches:
-            n, one, two, key, prefix = [], [], [], [], []
+            n, one, two, key, prefix, outline = [], [], [], [], [], []
             for _, s in shingle_sets(batch.column(1), k):
                 size = len(s)
                 n.append(size)
@@ -73,6 +75,8 @@ def _prefixes(docs: DataFrame, k: int, percent: int, sketch) -> DataFrame:
                 keep = size - -(-percent * size // 100) + 1 if size else 0
                 rare = s[np.argsort(counts[(s & mask).astype(np.int64)], kind="stable")[:keep]]
                 prefix.append(rare.view(np.int64))
+                counts_by_region = np.bincount((s >> U(64 - REGIONS.bit_length() + 1)).astype(np.int64), minlength=REGIONS)
+                outline.append(np.minimum(counts_by_region, 255).astype(np.uint8).tobytes())
                 key.append(mix(np.array([mix(rare).sum(dtype=U) ^ mix(np.array([size], U))[0]], U))[0])
             lengths = np.array([len(x) for x in prefix], np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -83,11 +87,12 @@ def _prefixes(docs: DataFrame, k: int, percent: int, sketch) -> DataFrame:
                     pa.array(np.array(two, U).view(np.int64)),
                     pa.array(np.array(key, U).view(np.int64)),
                     pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *prefix])),
+                    pa.array(outline, pa.binary()),
                 ],
-                ["doc_id", "n", "c1", "c2", "g", "prefix"],
+                ["doc_id", "n", "c1", "c2", "g", "prefix", "outline"],
             )
 
-    return docs.mapInArrow(prefixes, "doc_id long, n long, c1 long, c2 long, g long, prefix array<long>")
+    return docs.mapInArrow(prefixes, "doc_id long, n long, c1 long, c2 long, g long, prefix array<long>, outline binary")
 
 
 def _sets(docs: DataFrame, k: int, wanted) -> DataFrame:
@@ -156,38 +161,78 @@ def _linked(sets: list[np.ndarray], label: np.ndarray, percent: int) -> list[tup
     return links
 
 
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """Runs of rows with the same first two columns, each as a list of slices."""
+    now, rows = None, []
+    for batch in batches:
+        if not len(batch):
+            continue
+        token, part = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        cuts = [0, *(np.flatnonzero((np.diff(token) != 0) | (np.diff(part) != 0)) + 1).tolist(), len(batch)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key = (int(token[a]), int(part[a]))
+            if key != now:
+                if rows:
+                    yield now, rows
+                now, rows = key, []
+            rows.append(batch.slice(a, b - a))
+    if rows:
+        yield now, rows
+
+
+def _promising(members: DataFrame, percent: int) -> DataFrame:
+    """The members (token, part, doc_id, c1, c2, label) of each meeting with a partner there whose outline does not rule a link out.
+
+    Two sets share at most the sum over regions of the smaller count; a region that is full (255) bounds nothing.
+    Members that carry one label already need no link between them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _meetings(batches):
+            group = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+            if len(group) < 2:
+                continue
+            n, label = group.column(6).to_numpy(), group.column(5).to_numpy()
+            shape = np.frombuffer(b"".join(group.column(7).to_pylist()), np.uint8).reshape(len(group), REGIONS)
+            full = (shape == 255).any(axis=1)
+            good = np.zeros(len(group), bool)
+            for i in range(len(group) - 1):
+                most = np.minimum(shape[i], shape[i + 1 :]).sum(axis=1, dtype=np.int64)
+                most = np.where(full[i] | full[i + 1 :], np.minimum(n[i], n[i + 1 :]), most)
+                near = (most * (100 + percent) >= percent * (n[i] + n[i + 1 :])) & (label[i] != label[i + 1 :])
+                if near.any():
+                    good[i] = True
+                    good[i + 1 :] |= near
+            if good.any():
+                yield group.filter(pa.array(good)).select(list(range(6)))
+
+    dealt = members.select("token", "part", "doc_id", "c1", "c2", "label", "n", "outline").repartition("token", "part").sortWithinPartitions("token", "part")
+    return dealt.mapInArrow(run, "token long, part int, doc_id long, c1 long, c2 long, label long")
+
+
 def _verified(members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) found among the rows of each (token, part); a row: token, part, doc_id, label, set."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, labels, sets = None, [], [], []
-
-        def end() -> tuple[list[int], list[int]]:
-            links = _linked(sets, np.array(labels), percent) if len(sets) > 1 else []
-            return [ids[x] for x, _ in links], [ids[y] for _, y in links]
-
-        for batch in batches:
-            a, b = [], []
-            column = batch.column(4)
-            values, offsets = np.asarray(column.values), np.asarray(column.offsets)
-            token, part, doc, label = (batch.column(i).to_pylist() for i in range(4))
-            for i in range(len(batch)):
-                if (token[i], part[i]) != now:
-                    x, y = end()
-                    a += x
-                    b += y
-                    now, ids, labels, sets = (token[i], part[i]), [], [], []
-                ids.append(doc[i])
-                labels.append(label[i])
-                sets.append(values[offsets[i] : offsets[i + 1]].copy())
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-        a, b = end()
-        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        for _, rows in _meetings(batches):
+            ids = np.concatenate([r.column(2).to_numpy() for r in rows])
+            labels = np.concatenate([r.column(3).to_numpy() for r in rows])
+            sets = [x.values.to_numpy().view(U) for r in rows for x in r.column(4)]
+            links = _linked(sets, labels, percent) if len(sets) > 1 else []
+            if links:
+                yield pa.RecordBatch.from_pydict({"a": pa.array([ids[x] for x, _ in links], pa.int64()), "b": pa.array([ids[y] for _, y in links], pa.int64())})
 
     dealt = members.select("token", "part", "doc_id", "label", "set").repartition("token", "part").sortWithinPartitions("token", "part")
     return dealt.mapInArrow(verify, "a long, b long")
 
 
+def _links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links among the members (token, part, doc_id, c1, c2, label, n, outline) of each meeting; whole sets travel only for the promising."""
+    some = checkpointed(_promising(members, percent))
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(some, bit_of(F.xxhash64("doc_id"))))
+    return checkpointed(_verified(some.join(_sets(docs, k, wanted), ["doc_id", "c1", "c2"]), percent))
+
+
 def _can_link(x, y, percent: int):
     """Whether two groups that meet at a shingle can be similar enough, by their places there (size * 2**31 + position in the prefix).
 
@@ -210,7 +255,7 @@ def similar_documents(docs: DataFrame, k: int, percent: int) -> DataFrame:
     1. Shingles are ordered by a fixed-size frequency sketch, rarest first (any fixed order is right; this one keeps meetings small).
     2. Equal prefix and size: one group; equal sets inside it: one member, its smallest doc_id.
     3. A prefix shingle that two members share is a meeting. Meetings of the same groups count once.
-    4. Members of a meeting are compared by their whole sets, in one block up to BLOCK members; larger
+    4. Members of a meeting with a partner that their outlines do not rule out are compared by their whole sets, in one block up to BLOCK members; larger
        meetings go in hashed blocks with a few members in every block, and only where they are still
        apart afterwards do all pairs of blocks follow. Only a spanning forest of the links is returned.
     5. Connected components of the links.
@@ -223,27 +268,25 @@ def similar_documents(docs: DataFrame, k: int, percent: int) -> DataFrame:
     sketch = spark.sparkContext.broadcast(_sketch(docs, k))
     known = checkpointed(_prefixes(docs, k, percent, sketch))
     linkable = known.where("n > 0 AND doc_id IS NOT NULL")
-    classes = checkpointed(linkable.groupBy("g", "n", "c1", "c2").agg(F.min("doc_id").alias("doc_id")))
+    classes = checkpointed(linkable.groupBy("g", "n", "c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.first("outline").alias("outline")))
     groups = linkable.groupBy("g", "n").agg(F.first("prefix").alias("prefix")).join(classes.groupBy("g", "n").agg(F.count("*").alias("m")), ["g", "n"])
     meetings = groups.select("g", "m", (F.col("n") * F.lit(1 << 31)).alias("big"), F.posexplode("prefix").alias("at", "token")).select("token", "g", "m", (F.col("big") + F.col("at")).alias("place")).repartition("token")
     met = meetings.groupBy("token").agg(F.sum("m").alias("size"), F.count("*").alias("groups"), F.bit_xor(F.xxhash64("g")).alias("who"), F.bit_xor(F.xxhash64("g", F.lit(1))).alias("who2"), F.min("place").alias("x"), F.max("place").alias("y"))
     met = met.where("size > 1").where((F.col("groups") > 2) | _can_link(F.col("x"), F.col("y"), percent))
     chosen = met.groupBy("size", "who", "who2").agg(F.min("token").alias("token"))
     present = checkpointed(
-        meetings.join(chosen.select("token", "size"), "token").select("token", "size", "g").join(classes.select("g", "doc_id", "c1", "c2"), "g").select("token", "size", "doc_id", "c1", "c2")
+        meetings.join(chosen.select("token", "size"), "token").select("token", "size", "g").join(classes, "g").select("token", "size", "doc_id", "c1", "c2", "n", "outline")
     )
-    wanted = spark.sparkContext.broadcast(bitmap(present, bit_of(F.xxhash64("doc_id"))))
-    sets = _sets(docs, k, wanted)
     blocks = F.when(F.col("size") > BLOCK, F.ceil(F.col("size") * 2 / BLOCK)).otherwise(1).cast("int")
     own = F.when(F.col("size") > BLOCK, F.pmod(F.xxhash64("doc_id", F.lit(3)), blocks)).otherwise(F.lit(0)).cast("int")
-    small = present.select("token", "doc_id", "c1", "c2", own.alias("part"))
+    small = present.select("token", "doc_id", "c1", "c2", "n", "outline", own.alias("part"))
     large = present.where(F.col("size") > BLOCK)
     some = not large.isEmpty()
     if some:
-        pivots = large.groupBy("token", "size").agg(*(F.min_by(F.struct("doc_id", "c1", "c2"), F.xxhash64("doc_id", F.lit(10 + i))).alias(f"p{i}") for i in range(4)))
+        pivots = large.groupBy("token", "size").agg(*(F.min_by(F.struct("doc_id", "c1", "c2", "n", "outline"), F.xxhash64("doc_id", F.lit(10 + i))).alias(f"p{i}") for i in range(4)))
         pivots = pivots.select("token", "size", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(4))))).alias("p"))
         small = small.unionByName(pivots.select("token", "p.*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("part"))).distinct()
-    links = checkpointed(_verified(small.withColumn("label", F.col("doc_id")).join(sets, ["doc_id", "c1", "c2"]), percent))
+    links = _links(docs, small.withColumn("label", F.col("doc_id")), k, percent)
     found = components(links)
     if some:
         found = checkpointed(found)
@@ -253,10 +296,10 @@ def similar_documents(docs: DataFrame, k: int, percent: int) -> DataFrame:
             named.join(apart, "token")
             .withColumn("i", own)
             .withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            .select("token", (F.least("i", "j") * F.lit(1 << 15) + F.greatest("i", "j")).alias("part"), "doc_id", "c1", "c2", "label")
+            .select("token", (F.least("i", "j") * F.lit(1 << 15) + F.greatest("i", "j")).alias("part"), "doc_id", "c1", "c2", "label", "n", "outline")
         )
         if not every.isEmpty():
-            found = components(links.unionByName(checkpointed(_verified(every.join(sets, ["doc_id", "c1", "c2"]), percent))))
+            found = components(links.unionByName(_links(docs, every, k, percent)))
     labelled = classes.select("c1", "c2", "n", F.col("doc_id").alias("least")).join(found, F.col("least") == F.col("node"), "left").select("c1", "c2", "n", F.coalesce("component", "least").alias("component_id"))
     return known.select("doc_id", F.col("n").alias("n_shingles"), "c1", "c2", "n").join(labelled, ["c1", "c2", "n"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
