@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 BITMAP_BITS = 1 << 25
 
 
+def limit_batches(spark: SparkSession) -> None:
+    """Arrow batches of few megabytes, whatever the texts' lengths: what a Python worker holds at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    limit_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -21,6 +27,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
     The folder is the session's spark.checkpoint.dir; only where that is unset (tests) a temporary one is made.
     """
+    limit_batches(df.sparkSession)
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))

@@ -181,7 +181,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[p
 
 
 def _promising(members: DataFrame, percent: int) -> DataFrame:
-    """The members (token, part, doc_id, c1, c2, label) of each meeting with a partner there whose outline does not rule a link out.
+    """The members (token, part, doc_id, c1, c2, label, pivot, met: how many they are, head: one of them) of each meeting with a partner there whose outline does not rule a link out.
 
     Two sets share at most the sum over regions of the smaller count; a region that is full (255) bounds nothing.
     Members that carry one label already need no link between them.
@@ -192,8 +192,8 @@ def _promising(members: DataFrame, percent: int) -> DataFrame:
             group = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
             if len(group) < 2:
                 continue
-            n, label = group.column(6).to_numpy(), group.column(5).to_numpy()
-            shape = np.frombuffer(b"".join(group.column(7).to_pylist()), np.uint8).reshape(len(group), REGIONS)
+            n, label = group.column(7).to_numpy(), group.column(5).to_numpy()
+            shape = np.frombuffer(b"".join(group.column(8).to_pylist()), np.uint8).reshape(len(group), REGIONS)
             full = (shape == 255).any(axis=1)
             good = np.zeros(len(group), bool)
             for i in range(len(group) - 1):
@@ -204,10 +204,11 @@ def _promising(members: DataFrame, percent: int) -> DataFrame:
                     good[i] = True
                     good[i + 1 :] |= near
             if good.any():
-                yield group.filter(pa.array(good)).select(list(range(6)))
+                some = group.filter(pa.array(good))
+                yield pa.RecordBatch.from_arrays([*some.columns[:7], pa.array(np.full(len(some), len(some), np.int32)), pa.array(np.full(len(some), some.column(2)[0].as_py()))], [*some.schema.names[:7], "met", "head"])
 
-    dealt = members.select("token", "part", "doc_id", "c1", "c2", "label", "n", "outline").repartition("token", "part").sortWithinPartitions("token", "part")
-    return dealt.mapInArrow(run, "token long, part int, doc_id long, c1 long, c2 long, label long")
+    dealt = members.select("token", "part", "doc_id", "c1", "c2", "label", "pivot", "n", "outline").repartition("token", "part").sortWithinPartitions("token", "part")
+    return dealt.mapInArrow(run, "token long, part int, doc_id long, c1 long, c2 long, label long, pivot boolean, met int, head long")
 
 
 def _verified(members: DataFrame, percent: int) -> DataFrame:
@@ -227,10 +228,10 @@ def _verified(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links among the members (token, part, doc_id, c1, c2, label, n, outline) of each meeting; whole sets travel only for the promising."""
-    some = checkpointed(_promising(members, percent))
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(some, bit_of(F.xxhash64("doc_id"))))
-    return checkpointed(_verified(some.join(_sets(docs, k, wanted), ["doc_id", "c1", "c2"]), percent))
+    """Links among the members (token, part, doc_id, c1, c2, label) of each meeting, by their whole sets."""
+    members = checkpointed(members)
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(members, bit_of(F.xxhash64("doc_id"))))
+    return checkpointed(_verified(members.join(_sets(docs, k, wanted), ["doc_id", "c1", "c2"]), percent))
 
 
 def _can_link(x, y, percent: int):
@@ -255,9 +256,10 @@ def similar_documents(docs: DataFrame, k: int, percent: int) -> DataFrame:
     1. Shingles are ordered by a fixed-size frequency sketch, rarest first (any fixed order is right; this one keeps meetings small).
     2. Equal prefix and size: one group; equal sets inside it: one member, its smallest doc_id.
     3. A prefix shingle that two members share is a meeting. Meetings of the same groups count once.
-    4. Members of a meeting with a partner that their outlines do not rule out are compared by their whole sets, in one block up to BLOCK members; larger
-       meetings go in hashed blocks with a few members in every block, and only where they are still
-       apart afterwards do all pairs of blocks follow. Only a spanning forest of the links is returned.
+    4. Members with a partner that their outlines do not rule out form families over their meetings; a family of up to BLOCK is
+       compared once, by its members' whole sets. In wider ones each member is first compared in its largest meeting (one of
+       over BLOCK members goes in hashed blocks, with a few members in every block), then in all its meetings, but only
+       where they are still apart. Only a spanning forest of the links is kept.
     5. Connected components of the links.
 
     Null or empty text: empty set, linked with nothing. A null doc_id takes no part and has a null component_id.
@@ -279,27 +281,39 @@ def similar_documents(docs: DataFrame, k: int, percent: int) -> DataFrame:
     )
     blocks = F.when(F.col("size") > BLOCK, F.ceil(F.col("size") * 2 / BLOCK)).otherwise(1).cast("int")
     own = F.when(F.col("size") > BLOCK, F.pmod(F.xxhash64("doc_id", F.lit(3)), blocks)).otherwise(F.lit(0)).cast("int")
-    small = present.select("token", "doc_id", "c1", "c2", "n", "outline", own.alias("part"))
+    columns = ["token", "part", "doc_id", "c1", "c2", "label", "pivot", "n", "outline"]
+    first = present.withColumns({"part": own, "label": F.col("doc_id"), "pivot": F.lit(False)}).select(columns)
     large = present.where(F.col("size") > BLOCK)
     some = not large.isEmpty()
     if some:
         pivots = large.groupBy("token", "size").agg(*(F.min_by(F.struct("doc_id", "c1", "c2", "n", "outline"), F.xxhash64("doc_id", F.lit(10 + i))).alias(f"p{i}") for i in range(4)))
         pivots = pivots.select("token", "size", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(4))))).alias("p"))
-        small = small.unionByName(pivots.select("token", "p.*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("part"))).distinct()
-    links = _links(docs, small.withColumn("label", F.col("doc_id")), k, percent)
-    found = components(links)
+        pivots = pivots.select("token", "p.*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("part")).withColumns({"label": F.col("doc_id"), "pivot": F.lit(True)})
+        first = first.unionByName(pivots.select(columns))
+    met = checkpointed(_promising(first, percent))
+    member, key = ["doc_id", "c1", "c2"], ["token", "part", "doc_id", "c1", "c2", "label"]
+    near = met.select("doc_id", "head")
     if some:
-        found = checkpointed(found)
-        named = large.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
+        near = near.unionByName(large.select("token", "doc_id").join(large.groupBy("token").agg(F.min("doc_id").alias("head")), "token").select("doc_id", "head"))
+    family = components(near, "doc_id", "head").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    wide = checkpointed(family.join(family.groupBy("family").agg((F.count("*") > BLOCK).alias("wide")), "family"))
+    once = met.select(*member, "label").distinct().join(wide.where("NOT wide"), "doc_id").select(F.col("family").alias("token"), F.lit(-1).alias("part"), *member, "label")
+    links = _links(docs, once, k, percent)
+    wide = wide.where("wide").select("doc_id")
+    if not wide.isEmpty():
+        rest = met.join(wide, "doc_id")
+        largest = rest.where("NOT pivot").groupBy(*member).agg(F.max(F.struct("met", "token", "part")).alias("m"), F.first("label").alias("label"))
+        links = links.unionByName(_links(docs, largest.select("m.token", "m.part", *member, "label").unionByName(rest.where("pivot").select(key)), k, percent))
+        found = checkpointed(components(links)).withColumnRenamed("node", "doc_id")
+        named = checkpointed(present.join(wide, "doc_id").join(found, "doc_id", "left").withColumns({"label": F.coalesce("component", "doc_id"), "pivot": F.lit(False), "part": F.lit(0)}))
         apart = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-        every = checkpointed(
-            named.join(apart, "token")
-            .withColumn("i", own)
-            .withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            .select("token", (F.least("i", "j") * F.lit(1 << 15) + F.greatest("i", "j")).alias("part"), "doc_id", "c1", "c2", "label", "n", "outline")
-        )
-        if not every.isEmpty():
-            found = components(links.unionByName(_links(docs, every, k, percent)))
+        named = named.join(apart, "token")
+        second = named.where(F.col("size") <= BLOCK).select(columns)
+        if some:
+            every = named.where(F.col("size") > BLOCK).withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            second = second.unionByName(every.withColumn("part", F.least("i", "j") * F.lit(1 << 15) + F.greatest("i", "j")).select(columns))
+        links = links.unionByName(_links(docs, _promising(second, percent).select(key), k, percent))
+    found = components(links)
     labelled = classes.select("c1", "c2", "n", F.col("doc_id").alias("least")).join(found, F.col("least") == F.col("node"), "left").select("c1", "c2", "n", F.coalesce("component", "least").alias("component_id"))
     return known.select("doc_id", F.col("n").alias("n_shingles"), "c1", "c2", "n").join(labelled, ["c1", "c2", "n"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrid.llm.common import table
+from evigrid.llm.common import limit_batches, table
 
 CAPACITY = 1024
 #: Pieces shorter than a window that are packed together: bounds a task's memory. Not a cap: each batch is packed whole.
@@ -153,7 +153,7 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
         rows: list[tuple] = []
 
         def piece(doc: int | None, start: int, ids: np.ndarray, total: int, at: int) -> None:
-            rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, sequence, at, ids.tolist() if with_ids else None))
+            rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, sequence, at, ids if with_ids else None))
 
         def flush() -> None:
             nonlocal sequence, rest
@@ -170,7 +170,10 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
             nonlocal rows
             columns = list(zip(*rows, strict=True)) or [()] * 8
             rows = []
-            arrays = [pa.array(list(c), pa.int64()) for c in columns[:7]] + ([pa.array(list(columns[7]), pa.list_(pa.int32()))] if with_ids else [])
+            arrays = [pa.array(list(c), pa.int64()) for c in columns[:7]]
+            if with_ids:
+                ends = np.cumsum([0, *map(len, columns[7])], dtype=np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, "<u4"), *columns[7]]).astype(np.int32))))
             return pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: len(arrays)])
 
         for batch in batches:
@@ -184,11 +187,12 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
                     rest.append((doc, whole, ids[whole:], len(ids)))
                 if len(rest) >= BATCH:
                     flush()
-                if len(rows) >= 20_000:
+                if len(rows) >= 4000:
                     yield emit()
         flush()
         yield emit()
 
+    limit_batches(docs.sparkSession)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
