@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from evigrid.operators import search
+from evigrid.operators import assembly, search, statistics, versions
 from evigrid.plans import registry
 
-MODULES = (search,)
+MODULES = (search, versions, assembly, statistics)
 
 
 def queries() -> dict[str, registry.Query]:
