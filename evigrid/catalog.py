@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from evigrid.operators import assembly, search, statistics, versions
+from evigrid.operators import assembly, changes, generators, integrity, planning, scoring, search, statistics, versions
 from evigrid.plans import registry
 
-MODULES = (search, versions, assembly, statistics)
+MODULES = (search, versions, assembly, planning, scoring, statistics, integrity, changes, generators)
 
 
 def queries() -> dict[str, registry.Query]:
