@@ -23,7 +23,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.where("m > n").select(F.col("m").alias("a"), F.col("least").alias("b"))
     else:
         out = joined.select(F.col("m").alias("a"), F.col("least").alias("b")).unionByName(least.select(F.col("n").alias("a"), F.col("least").alias("b")))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -37,7 +37,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     now = checkpointed(pairs.where("x IS NOT NULL AND y IS NOT NULL AND a <> b").select("a", "b").distinct())
     seen = _digest(now)
     for _ in range(most_rounds if seen[0] else 0):
-        now = checkpointed(_star(_star(now, large=True), large=False))
+        few = now.coalesce(max(1, min(now.rdd.getNumPartitions(), seen[0] // 50_000)))
+        now = checkpointed(_star(_star(few, large=True), large=False).distinct())
         digest = _digest(now)
         if digest == seen:
             break

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrid.llm.common import bit_of, bitmap, checkpointed, in_bitmap, table
+from evigrid.llm.common import bit_of, bitmap, checkpointed, in_bitmap, table, thrifty
 from evigrid.llm.graph import components
 from evigrid.llm.hashing import U, mix, shingle_sets
 
@@ -54,7 +54,7 @@ def _sketch(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarray:
 
     schema = "slice int, counts binary"
     out = np.zeros(1 << bits, np.uint32)
-    for row in docs.select("text").mapInArrow(count, schema).repartition("slice").mapInArrow(add, schema).collect():
+    for row in docs.select("text").mapInArrow(thrifty(count), schema).repartition("slice").mapInArrow(thrifty(add), schema).collect():
         out[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(bytes(row["counts"]), np.uint32)
     return out
 
@@ -92,7 +92,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, sketch) -> DataFrame:
                 ["doc_id", "n", "c1", "c2", "g", "prefix", "outline"],
             )
 
-    return docs.mapInArrow(prefixes, "doc_id long, n long, c1 long, c2 long, g long, prefix array<long>, outline binary")
+    return docs.mapInArrow(thrifty(prefixes), "doc_id long, n long, c1 long, c2 long, g long, prefix array<long>, outline binary")
 
 
 def _sets(docs: DataFrame, k: int, wanted) -> DataFrame:
@@ -114,7 +114,7 @@ def _sets(docs: DataFrame, k: int, wanted) -> DataFrame:
                 ["doc_id", "c1", "c2", "set"],
             )
 
-    return docs.select("doc_id", bit_of(F.xxhash64("doc_id")).alias("bit"), "text").mapInArrow(sets, "doc_id long, c1 long, c2 long, set array<long>")
+    return docs.select("doc_id", bit_of(F.xxhash64("doc_id")).alias("bit"), "text").mapInArrow(thrifty(sets), "doc_id long, c1 long, c2 long, set array<long>")
 
 
 def _linked(sets: list[np.ndarray], label: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -208,7 +208,7 @@ def _promising(members: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*some.columns[:7], pa.array(np.full(len(some), len(some), np.int32)), pa.array(np.full(len(some), some.column(2)[0].as_py()))], [*some.schema.names[:7], "met", "head"])
 
     dealt = members.select("token", "part", "doc_id", "c1", "c2", "label", "pivot", "n", "outline").repartition("token", "part").sortWithinPartitions("token", "part")
-    return dealt.mapInArrow(run, "token long, part int, doc_id long, c1 long, c2 long, label long, pivot boolean, met int, head long")
+    return dealt.mapInArrow(thrifty(run), "token long, part int, doc_id long, c1 long, c2 long, label long, pivot boolean, met int, head long")
 
 
 def _verified(members: DataFrame, percent: int) -> DataFrame:
@@ -224,7 +224,7 @@ def _verified(members: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"a": pa.array([ids[x] for x, _ in links], pa.int64()), "b": pa.array([ids[y] for _, y in links], pa.int64())})
 
     dealt = members.select("token", "part", "doc_id", "label", "set").repartition("token", "part").sortWithinPartitions("token", "part")
-    return dealt.mapInArrow(verify, "a long, b long")
+    return dealt.mapInArrow(thrifty(verify), "a long, b long")
 
 
 def _links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
@@ -299,12 +299,13 @@ def similar_documents(docs: DataFrame, k: int, percent: int) -> DataFrame:
     wide = checkpointed(family.join(family.groupBy("family").agg((F.count("*") > BLOCK).alias("wide")), "family"))
     once = met.select(*member, "label").distinct().join(wide.where("NOT wide"), "doc_id").select(F.col("family").alias("token"), F.lit(-1).alias("part"), *member, "label")
     links = _links(docs, once, k, percent)
+    edges = links
     wide = wide.where("wide").select("doc_id")
     if not wide.isEmpty():
         rest = met.join(wide, "doc_id")
         largest = rest.where("NOT pivot").groupBy(*member).agg(F.max(F.struct("met", "token", "part")).alias("m"), F.first("label").alias("label"))
-        links = links.unionByName(_links(docs, largest.select("m.token", "m.part", *member, "label").unionByName(rest.where("pivot").select(key)), k, percent))
-        found = checkpointed(components(links)).withColumnRenamed("node", "doc_id")
+        edges = links.unionByName(_links(docs, largest.select("m.token", "m.part", *member, "label").unionByName(rest.where("pivot").select(key)), k, percent))
+        found = checkpointed(components(edges)).withColumnRenamed("node", "doc_id")
         named = checkpointed(present.join(wide, "doc_id").join(found, "doc_id", "left").withColumns({"label": F.coalesce("component", "doc_id"), "pivot": F.lit(False), "part": F.lit(0)}))
         apart = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
         named = named.join(apart, "token")
@@ -312,8 +313,9 @@ def similar_documents(docs: DataFrame, k: int, percent: int) -> DataFrame:
         if some:
             every = named.where(F.col("size") > BLOCK).withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
             second = second.unionByName(every.withColumn("part", F.least("i", "j") * F.lit(1 << 15) + F.greatest("i", "j")).select(columns))
-        links = links.unionByName(_links(docs, _promising(second, percent).select(key), k, percent))
-    found = components(links)
+        known_edges = found.select(F.col("doc_id").alias("a"), F.col("component").alias("b"))  # stars already: few rounds more
+        edges = known_edges.unionByName(_links(docs, _promising(second, percent).select(key), k, percent))
+    found = components(edges)
     labelled = classes.select("c1", "c2", "n", F.col("doc_id").alias("least")).join(found, F.col("least") == F.col("node"), "left").select("c1", "c2", "n", F.coalesce("component", "least").alias("component_id"))
     return known.select("doc_id", F.col("n").alias("n_shingles"), "c1", "c2", "n").join(labelled, ["c1", "c2", "n"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
