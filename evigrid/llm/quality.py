@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrid.llm.common import table
+from evigrid.llm.common import table, thrifty
 from evigrid.llm.hashing import U, mix, pieces, words
 
 #: Hash slots for words and for runs of punctuation, and slots for the binned shares that follow them.
@@ -92,11 +92,14 @@ def fit(found: list[np.ndarray], grades: np.ndarray, levels: int, rounds: int =
     start = np.maximum.accumulate(start + np.arange(levels - 1) * 1e-6)
     if n == 0 or len(np.unique(grades)) < 2:
         return Model(np.zeros(size), start)
-    flat = np.concatenate(found)
-    row = np.repeat(np.arange(n), [len(x) for x in found])
+    flat = np.concatenate(found).astype(np.int32, copy=False)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in found])
     common = np.bincount(flat, minlength=size) >= min(max(RARE, n // RARE_SHARE), n)
-    flat, row = flat[common[flat]], row[common[flat]]
-    used, flat = np.unique(flat, return_inverse=True)
+    used = np.flatnonzero(common)
+    number = np.zeros(size, np.int32)
+    number[used] = np.arange(len(used))
+    keep = common[flat]
+    flat, row = number[flat[keep]].astype(np.intp), row[keep].astype(np.intp)
     parameters = np.concatenate([np.zeros(len(used)), start[:1], np.log(np.maximum(np.diff(start), 1e-3))])
     first, second = np.zeros_like(parameters), np.zeros_like(parameters)
     w = len(used)
@@ -145,8 +148,8 @@ def trained(docs: DataFrame, ratings: DataFrame, levels: int = 3, sample: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "grade", "found"])
 
     rated = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")  # at most `sample` rows of two numbers
-    rows = rated.mapInArrow(run, "doc_id long, grade int, found array<int>").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toArrow()
-    found = [np.asarray(x.values, np.int64) for x in rows.column("found").combine_chunks()] if len(rows) else []
+    rows = rated.mapInArrow(thrifty(run), "doc_id long, grade int, found array<int>").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toArrow()
+    found = [np.asarray(x.values) for x in rows.column("found").combine_chunks()] if len(rows) else []
     return fit(found, rows.column("grade").to_numpy().astype(np.int64), levels)
 
 
@@ -168,7 +171,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("expected_grade", DoubleType()), StructField("p_best", DoubleType())]))
+    return docs.mapInArrow(thrifty(run), StructType([*docs.schema.fields, StructField("expected_grade", DoubleType()), StructField("p_best", DoubleType())]))
 
 
 #: A document is kept when its best grade is at least this likely.
