@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrid.llm.common import table
+from evigrid.llm.common import table, thrifty
 
 #: Consecutive item words that make a window.
 WINDOW = 13
@@ -119,7 +119,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], ["doc_id", "n_words", "n_hit", "n_items", "items", "spans", "contaminated"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(scan, "doc_id long, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:long,end:long>>, contaminated boolean")
+    return rows.mapInArrow(thrifty(scan), "doc_id long, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:long,end:long>>, contaminated boolean")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = 5) -> DataFrame:
@@ -137,7 +137,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                 take.append(not (hit and 100 * hit >= percent * len(ws)))
             yield batch.filter(pa.array(take, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(thrifty(keep), docs.schema)
 
 
 def items_digest(items: list[str]) -> str:

@@ -15,7 +15,7 @@ U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Texts are hashed in pieces of about so many bytes; a longer text is a piece of its own.
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrid.llm.common import BITMAP_BITS, bit_of, bitmap, checkpointed, in_bitmap, table
+from evigrid.llm.common import BITMAP_BITS, bit_of, bitmap, checkpointed, in_bitmap, table, thrifty
 from evigrid.llm.hashing import POWERS, U, mix, prefix_sums, slices
 
 #: Shorter lines are no evidence of copying and always stay.
@@ -23,7 +23,7 @@ LEAST_CHARS = 40
 #: Parts of a line, one of which holds the edit: variants are emitted only for parts that another line could differ in.
 BLOCKS = 8
 #: Characters hashed at a time.
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 #: Scrambled code points of the first planes' common part; others are scrambled when met.
 _COMMON = mix(np.arange(1, 0x3001, dtype=U))
 
@@ -99,7 +99,7 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, 4, dtype=np.int32)), _signed(keys))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(docs_)), pa.array(numbers, pa.int32()), _signed(h), pc.if_else(pa.array(new), keys, None)], ["doc_id", "line", "h", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line int, h long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(thrifty(run), "doc_id long, line int, h long, keys array<long>")
 
 
 def _spot(doc, line):
@@ -141,7 +141,7 @@ def _texts(docs: DataFrame, least: int, wanted_docs, wanted_lines) -> DataFrame:
                     ["h", "doc_id", "line", "text", "keys"],
                 )
 
-    return docs.select("doc_id", bit_of(F.xxhash64("doc_id")).alias("bit"), "text").mapInArrow(run, "h long, doc_id long, line int, text string, keys array<long>")
+    return docs.select("doc_id", bit_of(F.xxhash64("doc_id")).alias("bit"), "text").mapInArrow(thrifty(run), "h long, doc_id long, line int, text string, keys array<long>")
 
 
 def _sharing(keyed: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def _variants(lines: DataFrame) -> DataFrame:
                 first = batch.column(1).take(pa.array(np.concatenate(at)))
                 yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), pa.array(np.concatenate(owns)), pa.array(np.concatenate(hs)), first], ["key", "own", "h", "first"])
 
-    return lines.select("h", "first", "text", "parts").mapInArrow(run, "key long, own tinyint, h long, first struct<doc_id:long,line:int>")
+    return lines.select("h", "first", "text", "parts").mapInArrow(thrifty(run), "key long, own tinyint, h long, first struct<doc_id:long,line:int>")
 
 
 def repeated_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:

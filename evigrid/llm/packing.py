@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrid.llm.common import limit_batches, table
+from evigrid.llm.common import limit_batches, table, thrifty
 
 CAPACITY = 1024
 #: Pieces shorter than a window that are packed together: bounds a task's memory. Not a cap: each batch is packed whole.
@@ -194,7 +194,7 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
 
     limit_batches(docs.sparkSession)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(thrifty(run), schema)
 
 
 def tokenizer_path() -> str:

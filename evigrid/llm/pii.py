@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrid.llm.common import checkpointed, table
+from evigrid.llm.common import checkpointed, table, thrifty
 from evigrid.llm.spans import Span, digested, in_order, overlaps, span_table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -110,7 +110,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
             rows = list(zip(*found, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(list(rows[0]), pa.string()), pa.array(list(rows[1]), pa.int64()), pa.array(list(rows[2]), pa.bool_())], ["pattern", "instance", "known"])
 
-    return docs.select("text").mapInArrow(run, "pattern string, instance long, known boolean")
+    return docs.select("text").mapInArrow(thrifty(run), "pattern string, instance long, known boolean")
 
 
 def trusted_patterns(graph: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:

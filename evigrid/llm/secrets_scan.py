@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrid.llm.common import table
+from evigrid.llm.common import table, thrifty
 from evigrid.llm.spans import Span, digested, in_order, overlaps, span_table
 
 KINDS = ("assign", "access", "hex")
@@ -201,7 +201,7 @@ def labelled_credentials(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[st
                         found.add((kind, secret))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([s for _, s in found], pa.string())], ["kind", "secret"])
 
-    rows = docs.select("text").mapInArrow(run, "kind string, secret string").distinct()
+    rows = docs.select("text").mapInArrow(thrifty(run), "kind string, secret string").distinct()
     out: list[tuple[str, str]] = []
     rows = rows.withColumn("h", F.xxhash64("secret"))
     for kind in KINDS:  # three bounded reports

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evigrid.llm.common import thrifty
+
 Span = tuple[str, int, int]
 
 
@@ -39,7 +41,7 @@ def span_table(docs: DataFrame, scanner: Callable[[], Callable[[str], tuple[list
                 out.append([{"kind": k, "start": a, "end": b, "base": True} for k, a, b in base] + [{"kind": k, "start": a, "end": b, "base": False} for k, a, b in added])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, arrow)], ["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, spans {kind}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(thrifty(run), f"doc_id long, spans {kind}")
 
 
 def digested(spans: DataFrame, kinds: tuple[str, ...], added: str) -> DataFrame:
