@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrid.llm.common import table, thrifty
+from evigrid.llm.common import checkpointed, table, thrifty
 from evigrid.llm.spans import Span, digested, in_order, overlaps, span_table
 
 KINDS = ("assign", "access", "hex")
@@ -203,7 +203,7 @@ def labelled_credentials(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[st
 
     rows = docs.select("text").mapInArrow(thrifty(run), "kind string, secret string").distinct()
     out: list[tuple[str, str]] = []
-    rows = rows.withColumn("h", F.xxhash64("secret"))
+    rows = checkpointed(rows.withColumn("h", F.xxhash64("secret")))
     for kind in KINDS:  # three bounded reports
         out += [(r["kind"], r["secret"]) for r in rows.where(F.col("kind") == kind).orderBy("h", "secret").limit(sample).collect()]
     return out
