@@ -259,7 +259,7 @@ def similar_documents(docs: DataFrame, k: int, percent: int) -> DataFrame:
     4. Members with a partner that their outlines do not rule out form families over their meetings; a family of up to BLOCK is
        compared once, by its members' whole sets. In wider ones each member is first compared in its largest meeting (one of
        over BLOCK members goes in hashed blocks, with a few members in every block), then in all its meetings, but only
-       where they are still apart. Only a spanning forest of the links is kept.
+       where they are still apart (or once with all the family, if that is less). Only a spanning forest of the links is kept.
     5. Connected components of the links.
 
     Null or empty text: empty set, linked with nothing. A null doc_id takes no part and has a null component_id.
@@ -296,23 +296,26 @@ def similar_documents(docs: DataFrame, k: int, percent: int) -> DataFrame:
     if some:
         near = near.unionByName(large.select("token", "doc_id").join(large.groupBy("token").agg(F.min("doc_id").alias("head")), "token").select("doc_id", "head"))
     family = components(near, "doc_id", "head").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-    wide = checkpointed(family.join(family.groupBy("family").agg((F.count("*") > BLOCK).alias("wide")), "family"))
+    wide = checkpointed(family.join(family.groupBy("family").agg(F.count("*").alias("k")), "family").withColumn("wide", F.col("k") > BLOCK))
     once = met.select(*member, "label").distinct().join(wide.where("NOT wide"), "doc_id").select(F.col("family").alias("token"), F.lit(-1).alias("part"), *member, "label")
     links = _links(docs, once, k, percent)
     edges = links
-    wide = wide.where("wide").select("doc_id")
+    wide = wide.where("wide").select("doc_id", "family", "k")
     if not wide.isEmpty():
-        rest = met.join(wide, "doc_id")
+        rest = met.join(wide.select("doc_id"), "doc_id")
         largest = rest.where("NOT pivot").groupBy(*member).agg(F.max(F.struct("met", "token", "part")).alias("m"), F.first("label").alias("label"))
         edges = links.unionByName(_links(docs, largest.select("m.token", "m.part", *member, "label").unionByName(rest.where("pivot").select(key)), k, percent))
         found = checkpointed(components(edges)).withColumnRenamed("node", "doc_id")
         named = checkpointed(present.join(wide, "doc_id").join(found, "doc_id", "left").withColumns({"label": F.coalesce("component", "doc_id"), "pivot": F.lit(False), "part": F.lit(0)}))
         apart = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-        named = named.join(apart, "token")
-        second = named.where(F.col("size") <= BLOCK).select(columns)
-        if some:
-            every = named.where(F.col("size") > BLOCK).withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            second = second.unionByName(every.withColumn("part", F.least("i", "j") * F.lit(1 << 15) + F.greatest("i", "j")).select(columns))
+        named = checkpointed(named.join(apart, "token"))
+        # a family's meetings overlap: where comparing all its members takes fewer rows than all its meetings, it is one meeting
+        cost = named.groupBy("family", "k").agg(F.sum(blocks).alias("rows")).where(F.col("k") * F.ceil(F.col("k") * 2 / BLOCK) <= F.col("rows")).select("family")
+        one = named.join(cost, "family", "left_semi").groupBy("doc_id", "c1", "c2").agg(*(F.first(c).alias(c) for c in ("label", "n", "outline", "family", "k")))
+        one = one.select(F.col("family").alias("token"), F.col("k").alias("size"), F.lit(0).alias("part"), "doc_id", "c1", "c2", "label", F.lit(False).alias("pivot"), "n", "outline")
+        named = one.unionByName(named.join(cost, "family", "left_anti").select(one.columns))
+        every = named.where(F.col("size") > BLOCK).withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        second = named.where(F.col("size") <= BLOCK).select(columns).unionByName(every.withColumn("part", F.least("i", "j") * F.lit(1 << 15) + F.greatest("i", "j")).select(columns))
         known_edges = found.select(F.col("doc_id").alias("a"), F.col("component").alias("b"))  # stars already: few rounds more
         edges = known_edges.unionByName(_links(docs, _promising(second, percent).select(key), k, percent))
     found = components(edges)
