@@ -26,7 +26,7 @@ def wilson(successes: Column, total: Column, z: float = 1.96) -> tuple[Column, C
     n, k = F.nullif(total.cast("double"), F.lit(0.0)), successes.cast("double")
     p = k / n
     centre, half, below = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)), 1 + z * z / n
-    return F.greatest(F.lit(0.0), (centre - half) / below), F.least(F.lit(1.0), (centre + half) / below)
+    return F.when(n.isNotNull(), F.greatest(F.lit(0.0), (centre - half) / below)), F.when(n.isNotNull(), F.least(F.lit(1.0), (centre + half) / below))
 
 
 def draw(*parts: Column) -> Column:
