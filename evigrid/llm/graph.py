@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evigrid.llm.common import checkpointed
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, parts: int) -> DataFrame:
     """One step of the two that alternate: each node's neighbours (large: the greater ones) move to the least of them.
 
     The least neighbour comes from an aggregate, whose rows are summed before they are dealt out, and
@@ -23,7 +23,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.where("m > n").select(F.col("m").alias("a"), F.col("least").alias("b"))
     else:
         out = joined.select(F.col("m").alias("a"), F.col("least").alias("b")).unionByName(least.select(F.col("n").alias("a"), F.col("least").alias("b")))
-    return out.where("a <> b")
+    return out.where("a <> b").coalesce(parts)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -37,8 +37,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     now = checkpointed(pairs.where("x IS NOT NULL AND y IS NOT NULL AND a <> b").select("a", "b").distinct())
     seen = _digest(now)
     for _ in range(most_rounds if seen[0] else 0):
-        few = now.coalesce(max(1, min(now.rdd.getNumPartitions(), seen[0] // 50_000)))
-        now = checkpointed(_star(_star(few, large=True), large=False).distinct())
+        parts = max(8, seen[0] // 50_000)  # tasks by the number of edges: else every round leaves many tiny files
+        now = checkpointed(_star(_star(now.coalesce(parts), True, parts), False, parts).distinct().coalesce(parts))
         digest = _digest(now)
         if digest == seen:
             break
