@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +21,7 @@ KINDS = ("email", "ip", "card", "phone")
 ADDED = "context"
 #: Distinct known entities that a pattern needs, and the confidence from which on it is trusted.
 SUPPORT, CONFIDENCE = 4, 0.8
-#: Trusted patterns that go to the executors, at most, those with most support first: a bound on the model's size.
+#: Trusted patterns that go to the executors as a whole, at most; more of them meet the texts' own patterns by a join instead.
 PATTERNS = 10_000
 ROUNDS = 3
 #: Characters before an entity in which a pattern's two words lie.
@@ -137,20 +137,40 @@ def personal_data(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     Positions are code points of the whole text, ends exclusive. Null or empty text: no spans. Without trusted patterns only base
     matches are found. Rows are scanned one by one; repeated rows give repeated rows.
     """
-    rows = patterns.orderBy(F.desc("support"), "pattern").limit(PATTERNS).collect()
+    rows = patterns.select("pattern").limit(PATTERNS + 1).collect()
+    if len(rows) > PATTERNS:
+        return _joined(docs, patterns)
     trusted = docs.sparkSession.sparkContext.broadcast(frozenset(r["pattern"] for r in rows))
 
     def scanner():
         known = trusted.value
+        return lambda text: _scan(text, known)
 
-        def scan(text: str) -> tuple[list[Span], list[Span]]:
-            base = base_spans(text)
-            added = [(ADDED, a, b) for a, b in others(text, base) if pattern_before(text, a) in known] if known else []
-            return base, added
+    return span_table(docs, scanner)
 
-        return scan
 
-    return span_table(docs, scanner)
+def _scan(text: str, known: Collection[str]) -> tuple[list[Span], list[Span]]:
+    base = base_spans(text)
+    return base, [(ADDED, a, b) for a, b in others(text, base) if pattern_before(text, a) in known] if known else []
+
+
+def _joined(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """personal_data for any number of patterns: each text meets only its own trusted ones, found by a join on the pattern."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found = [], []
+            for doc, text in zip(*batch.columns, strict=True):
+                text = text.as_py() or ""
+                own = {p for a, _ in others(text, base_spans(text)) if (p := pattern_before(text, a))}
+                ids += [doc.as_py()] * len(own)
+                found += own
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["key", "pattern"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    held = rows.mapInArrow(thrifty(run), "key long, pattern string").join(patterns.select("pattern"), "pattern")
+    own = held.groupBy("key").agg(F.collect_set("pattern").alias("trusted"))
+    return span_table(rows.join(own, F.col("doc_id").eqNullSafe(F.col("key")), "left"), lambda: _scan, ("trusted",))
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

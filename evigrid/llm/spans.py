@@ -27,8 +27,8 @@ def overlaps(a: int, b: int, spans: list[Span]) -> bool:
     return any(a < y and x < b for _, x, y in spans)
 
 
-def span_table(docs: DataFrame, scanner: Callable[[], Callable[[str], tuple[list[Span], list[Span]]]]) -> DataFrame:
-    """(doc_id, spans) per row of docs (doc_id, text); scanner() makes, once a task, a function from a text to its base and added spans."""
+def span_table(docs: DataFrame, scanner: Callable[[], Callable[..., tuple[list[Span], list[Span]]]], more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, spans) per row of docs (doc_id, text); scanner() makes, once a task, a function from a text, and the columns more, to its base and added spans."""
     kind = "array<struct<kind:string,start:long,end:long,base:boolean>>"
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
@@ -36,12 +36,12 @@ def span_table(docs: DataFrame, scanner: Callable[[], Callable[[str], tuple[list
         scan = scanner()
         for batch in batches:
             out = []
-            for text in batch.column(1):
-                base, added = scan(text.as_py() or "")
+            for text, *others in zip(*batch.columns[1:], strict=True):
+                base, added = scan(text.as_py() or "", *(x.as_py() for x in others))
                 out.append([{"kind": k, "start": a, "end": b, "base": True} for k, a, b in base] + [{"kind": k, "start": a, "end": b, "base": False} for k, a, b in added])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, arrow)], ["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(thrifty(run), f"doc_id long, spans {kind}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(thrifty(run), f"doc_id long, spans {kind}")
 
 
 def digested(spans: DataFrame, kinds: tuple[str, ...], added: str) -> DataFrame:

@@ -188,11 +188,14 @@ def test_personal_data():
     assert pii.base_spans(text) == [("email", 2, 11), ("ip", 12, 19), ("card", 34, 53), ("phone", 56, 73)]  # the last run has a digit too many
 
 
-def test_contextual_patterns(spark):
-    docs = [(i, f"my number is +1 (555) 123-{4000 + i} thanks", "x") for i in range(20)] + [(99, "my number is 77-1234-99 ok, order 12-3456", "x"), (100, None, "x")]
+@pytest.mark.parametrize("held", [pii.PATTERNS, 0])
+def test_contextual_patterns(spark, monkeypatch, held):
+    """Patterns sent to the executors, and more of them than that."""
+    monkeypatch.setattr(pii, "PATTERNS", held)
+    docs = [(None, "my number is 55-1234-99", "x"), (7, "my number is 66-1234-99", "x")] + [(i, f"my number is +1 (555) 123-{4000 + i} thanks", "x") for i in range(20)] + [(99, "my number is 77-1234-99 ok, order 12-3456", "x"), (100, None, "x")]
     df = spark.createDataFrame(docs, DOC)
     got = {r["doc_id"]: r["spans"] for r in pii.personal_data(df, pii.trusted_patterns(pii.occurrences(df), confidence=0.7)).collect()}
-    assert [s["kind"] for s in got[99]] == ["context"] and got[100] == [] and got[0][0]["kind"] == "phone"
+    assert [s["kind"] for s in got[99]] == ["context"] == [s["kind"] for s in got[None]] and got[100] == [] and got[0][0]["kind"] == "phone"
 
 
 def test_digests_of_nothing(spark):
