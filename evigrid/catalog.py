@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from evigrid.operators import assembly, changes, generators, integrity, planning, scoring, search, statistics, versions
+from evigrid.operators import assembly, calibration, changes, generators, integrity, planning, scoring, search, statistics, versions
 from evigrid.plans import registry
+from evigrid.streaming import feed
 
-MODULES = (search, versions, assembly, planning, scoring, statistics, integrity, changes, generators)
+MODULES = (search, versions, assembly, planning, scoring, statistics, calibration, integrity, changes, feed, generators)
 
 
 def queries() -> dict[str, registry.Query]:
