@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from evigrid.operators import assembly, calibration, changes, generators, integrity, planning, scoring, search, statistics, versions
+from evigrid.operators import assembly, calibration, changes, decisions, generators, integrity, planning, scoring, search, statistics, versions
 from evigrid.plans import registry
+from evigrid.sources import files
 from evigrid.streaming import feed
 
-MODULES = (search, versions, assembly, planning, scoring, statistics, calibration, integrity, changes, feed, generators)
+MODULES = (search, versions, assembly, planning, decisions, scoring, statistics, calibration, integrity, changes, feed, generators, files)
 
 
 def queries() -> dict[str, registry.Query]:
