@@ -52,20 +52,20 @@ def duplicate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1).alias("path")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("SELECT coalesce(o_custkey, c_custkey) AS ref, CASE WHEN c_custkey IS NULL THEN 'dangling' ELSE 'unreferenced' END AS problem, count(o_custkey) AS n FROM orders FULL JOIN customer ON o_custkey = c_custkey WHERE o_custkey IS NULL OR c_custkey IS NULL GROUP BY ALL")
+@query("SELECT coalesce(l.doc_id, d.doc_id) AS ref, CASE WHEN d.doc_id IS NULL THEN 'dangling' ELSE 'unreferenced' END AS problem FROM labels l FULL JOIN documents d ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL OR d.doc_id IS NULL")
 def dangling_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References without a target, and targets that nothing refers to."""
-    refs = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("ref")).agg(F.count("o_custkey").alias("n"))
-    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("target"))
+    refs = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ref"))
+    known = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("target"))
     both = refs.join(known, F.col("ref") == F.col("target"), "full_outer").where("ref IS NULL OR target IS NULL")
-    return both.select(F.coalesce("ref", "target").alias("ref"), F.when(F.col("target").isNull(), "dangling").otherwise("unreferenced").alias("problem"), F.coalesce("n", F.lit(0)).alias("n"))
+    return both.select(F.coalesce("ref", "target").alias("ref"), F.when(F.col("target").isNull(), "dangling").otherwise("unreferenced").alias("problem"))
 
 
-@query("SELECT coalesce(a.k, b.k) AS key, a.v AS left_value, b.v AS right_value FROM (SELECT n_name AS k, n_regionkey AS v FROM nation) a FULL JOIN (SELECT n_name AS k, n_nationkey % 5 AS v FROM nation) b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v")
+@query("SELECT coalesce(a.k, b.k) AS key, a.v AS left_value, b.v AS right_value FROM (SELECT n_name AS k, n_regionkey AS v FROM nation) a FULL JOIN (SELECT n_name AS k, n_nationkey // 5 AS v FROM nation) b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v")
 def config_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     a = n.select(F.col("n_name").alias("key"), F.col("n_regionkey").alias("left_value"))
-    b = n.select(F.col("n_name").alias("key"), (F.col("n_nationkey") % 5).alias("right_value"))
+    b = n.select(F.col("n_name").alias("key"), F.expr("CAST(n_nationkey div 5 AS INT)").alias("right_value"))
     return a.join(b, "key", "full_outer").where(~F.col("left_value").eqNullSafe(F.col("right_value"))).select("key", "left_value", "right_value")
 
 

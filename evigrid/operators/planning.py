@@ -21,13 +21,13 @@ def wanted_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls(spark, sf_dir).groupBy("request_id").agg(F.array_join(k, ",").alias("wanted"), F.arrays_overlap(k, F.array(F.lit("purchase"), F.lit("click"))).alias("fits"))
 
 
-@query("WITH w AS (SELECT DISTINCT user_id, event_type FROM events), m AS (SELECT * FROM (VALUES ('purchase','error'),('signup','click')) t(trigger_, must)) SELECT w.user_id AS request_id, m.must AS source_id FROM w JOIN m ON w.event_type = m.trigger_ WHERE NOT EXISTS (SELECT 1 FROM w x WHERE x.user_id = w.user_id AND x.event_type = m.must)")
+@query("WITH w AS (SELECT DISTINCT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type FROM events), m AS (SELECT * FROM (VALUES ('purchase','error'),('signup','click')) t(trigger_, must)) SELECT w.user_id AS reader, w.hour, m.must AS source_id FROM w JOIN m ON w.event_type = m.trigger_ WHERE NOT EXISTS (SELECT 1 FROM w x WHERE x.user_id = w.user_id AND x.hour = w.hour AND x.event_type = m.must)")
 def must_consult(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that a request's procedures require and that it did not ask: visible gaps, without a call."""
-    w = calls(spark, sf_dir).select("request_id", "source_id").distinct()
+    """Sources that a request's procedures require and that it did not ask: visible gaps, without a call. A request is a reader's hour."""
+    w = calls(spark, sf_dir).select(F.col("request_id").alias("reader"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "source_id").distinct()
     must = spark.createDataFrame([("purchase", "error"), ("signup", "click")], "source_id string, must string")
-    due = w.join(F.broadcast(must), "source_id").select("request_id", F.col("must").alias("source_id"))
-    return due.join(w, ["request_id", "source_id"], "left_anti")
+    due = w.join(F.broadcast(must), "source_id").select("reader", "hour", F.col("must").alias("source_id"))
+    return due.join(w, ["reader", "hour", "source_id"], "left_anti")
 
 
 @query("SELECT page_id, CASE WHEN url LIKE 'https://blog.%' THEN 'https://blog.' WHEN starts_with('https://blog.', url) THEN 'https://blog.' ELSE NULL END AS selector, NOT starts_with(url, 'https://blog.') AS conflict FROM pages")
