@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evigrid.operators.ordering import running
 from evigrid.plans.registry import query
+from evigrid.sources.scratch import written
 from evigrid.sources.tables import calls, table
 
 
@@ -15,16 +19,34 @@ def deduplicated(units: DataFrame, key: str, rank: str, authoritative: str) -> D
     return units.groupBy(key).agg(F.min(order).alias("m"), (F.count("*") - 1).alias("copies")).select(key, F.col("m.r").alias(rank), "copies")
 
 
-def greedy_pack(units: DataFrame, group: str, rank: str, cost: str, budget: int) -> DataFrame:
-    """Units of each group in rank order; one that does not fit is skipped and smaller ones still go in."""
-    units = units.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("rank"), F.col(cost).alias("cost")))).alias("u"))
-    empty = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<bigint>").alias("taken"))
+#: Units of a group that are folded in one go.
+STEP = 1000
+
+
+def greedy_pack(units: DataFrame, group: str, rank: str, cost: str, budget: int, step: int = STEP) -> DataFrame:
+    """(group, rank) of the units that go in, in rank order; one that does not fit is skipped and smaller ones still go in.
+
+    Each round folds the first `step` units of every group, then drops what can no longer fit, until none is left: no list grows
+    with a group. Costs are whole numbers from 0 on; units that cost nothing always go in, units without a cost never. Ranks are unique in a group.
+    """
+    units = units.select(F.col(group).alias("g"), F.col(rank).cast("bigint").alias("rank"), F.col(cost).cast("bigint").alias("cost"))
+    taken = [units.where("cost = 0").select("g", "rank")]
+    left = units.where((F.col("cost") > 0) & (F.col("cost") <= budget)).withColumn("room", F.lit(budget).cast("bigint"))
+    first = F.row_number().over(Window.partitionBy("g").orderBy("rank"))
 
-    def step(acc, x):
-        fits = acc["used"] + x["cost"] <= budget
-        return F.struct(F.when(fits, acc["used"] + x["cost"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.array_append(acc["taken"], x["rank"])).otherwise(acc["taken"]).alias("taken"))
+    def fold(acc, x):
+        fits = x["cost"] <= acc["room"]
+        return F.struct(F.when(fits, acc["room"] - x["cost"]).otherwise(acc["room"]).alias("room"), F.when(fits, F.array_append(acc["taken"], x["rank"])).otherwise(acc["taken"]).alias("taken"))
 
-    return units.select(group, F.explode(F.aggregate("u", empty, step, lambda a: a["taken"])).alias(rank))
+    while not left.isEmpty():
+        start = F.struct(F.col("room").alias("room"), F.array().cast("array<bigint>").alias("taken"))
+        lists = left.withColumn("n", first).where(F.col("n") <= step).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("rank", "cost"))).alias("u"), F.min("room").alias("room"))
+        folded = written(lists.select("g", F.element_at("u", -1)["rank"].alias("last"), F.aggregate("u", start, fold).alias("f")).select("g", "last", "f.*"))
+        taken.append(folded.select("g", F.explode("taken").alias("rank")))
+        state = folded.select(F.col("g").alias("h"), "last", F.col("room").alias("rest"))
+        left = left.drop("room").join(state, F.col("g").eqNullSafe(F.col("h"))).where("rank > last AND cost <= rest")
+        left = written(left.select("g", "rank", "cost", F.col("rest").alias("room")))
+    return reduce(DataFrame.unionByName, taken).select(F.col("g").alias(group), F.col("rank").alias(rank))
 
 
 @query("SELECT text_hash, CAST(substr(m, 3) AS BIGINT) AS doc_id, copies FROM (SELECT sha256(text) AS text_hash, min(CAST(source <> 'src0' AS INT) || ':' || lpad(CAST(doc_id AS VARCHAR), 12, '0')) AS m, count(*) - 1 AS copies FROM documents GROUP BY 1)")
@@ -52,8 +74,8 @@ def greedy_pack_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT source, doc_id FROM (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS running FROM documents) WHERE running <= 9000")
 def prefix_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest prefix inside the budget: unlike packing, it stops at the first unit that does not fit."""
-    running = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return table(spark, sf_dir, "documents").select("source", "doc_id", running.alias("r")).where("r <= 9000").select("source", "doc_id")
+    units = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    return running(units, ["source"], ["doc_id"], F.col("n_chars"), "used").where("used <= 9000").select("source", "doc_id")
 
 
 @query("SELECT request_id, source_id, call_id FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY source_id, pos) AS n FROM (SELECT user_id AS request_id, event_type AS source_id, event_id AS call_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS pos FROM events) WHERE pos <= 5) WHERE n <= 12")
@@ -70,7 +92,7 @@ def partial_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partial answers keep a share of their rows and always lose one."""
     rows = calls(spark, sf_dir).select("request_id", "call_id")
     n = rows.groupBy("request_id").agg(F.count("*").alias("n"))
-    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("request_id").orderBy("call_id"))).join(n, "request_id")
+    ranked = running(rows, ["request_id"], ["call_id"], F.lit(1), "rn").join(n, "request_id")
     return ranked.where(F.col("rn") <= F.greatest(F.lit(0), F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(0.6))))).select("request_id", "call_id")
 
 

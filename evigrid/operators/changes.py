@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evigrid.operators.ordering import running
 from evigrid.plans.registry import query
 from evigrid.sources.tables import calls, table
 
 
 def numbered(events: DataFrame) -> DataFrame:
-    """A strictly increasing number over all events. Ranges are numbered in parallel: each takes up where those before end.
-
-    One global window would put all events into one task; here only the counts of the ranges meet.
-    """
-    ordered = events.repartitionByRange("ts", "event_id").sortWithinPartitions("ts", "event_id").withColumn("_part", F.spark_partition_id())
-    counts = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy("ts", "event_id"))
-    return ordered.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn("seq", F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+    """A strictly increasing number over all events."""
+    return running(events, [], ["ts", "event_id"], F.lit(1), "seq")
 
 
 _SEQ = "s AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS seq FROM events)"
@@ -31,8 +25,8 @@ def change_log_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reader_view(events: DataFrame) -> DataFrame:
     """What each reader is shown, densely numbered: filtered first, then counted."""
-    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint")
-    return events.where("event_type <> 'error'").select(F.col("user_id").alias("reader"), seq.alias("reader_seq"), "event_id", F.col("event_type").alias("kind"))
+    shown = events.where("event_type <> 'error'").select(F.col("user_id").alias("reader"), "ts", "event_id", F.col("event_type").alias("kind"))
+    return running(shown, ["reader"], ["ts", "event_id"], F.lit(1), "reader_seq").select("reader", "reader_seq", "event_id", "kind")
 
 
 _VIEW = "v AS (SELECT user_id AS reader, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS reader_seq, event_id, event_type AS kind FROM events WHERE event_type <> 'error')"
@@ -50,8 +44,8 @@ def reader_after_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id AS call_id, user_id AS request_id, event_type AS tool, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS call_index FROM events")
 def call_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.row_number().over(Window.partitionBy("request_id", "source_id").orderBy("ts", "call_id")) - 1
-    return calls(spark, sf_dir).select("call_id", "request_id", F.col("source_id").alias("tool"), i.cast("bigint").alias("call_index"))
+    rows = calls(spark, sf_dir).select("call_id", "request_id", F.col("source_id").alias("tool"), "ts")
+    return running(rows, ["request_id", "tool"], ["ts", "call_id"], F.lit(1), "n").select("call_id", "request_id", "tool", (F.col("n") - 1).alias("call_index"))
 
 
 @query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(*) > 15)")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evigrid.functions import text as X
+from evigrid.operators.ordering import last_before
 from evigrid.operators.search import _CTE, GROUPS, QUESTION, readable
 from evigrid.plans.registry import query
 from evigrid.sources.tables import calibration_records, calls, hub_rows, table, versioned_rows
@@ -105,9 +106,8 @@ def entity_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id AS artifact_id, turn AS revision, CASE WHEN role <> before THEN 'environment_difference' WHEN turn <> bt THEN 'version_difference' ELSE 'contradiction' END AS relation FROM v WHERE before IS NOT NULL""")
 def relation_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How each version stands to the one before it: another environment first, another version next, else a contradiction."""
-    w = Window.partitionBy("artifact_id").orderBy("revision", "role", "text")
-    v = versioned_rows(spark, sf_dir).withColumn("before", F.lag("role").over(w)).withColumn("bt", F.lag("revision").over(w)).where("before IS NOT NULL")
-    kind = F.when(F.col("role") != F.col("before"), "environment_difference").when(F.col("revision") != F.col("bt"), "version_difference").otherwise("contradiction")
+    v = last_before(versioned_rows(spark, sf_dir), ["artifact_id"], ["revision", "role", "text"], F.struct("role", "revision"), "earlier").where("earlier.role IS NOT NULL")
+    kind = F.when(F.col("role") != F.col("earlier.role"), "environment_difference").when(F.col("revision") != F.col("earlier.revision"), "version_difference").otherwise("contradiction")
     return v.select("artifact_id", "revision", kind.alias("relation"))
 
 
@@ -165,3 +165,23 @@ def search_fts_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     gain = F.col("idf") * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("average")))
     seen = readable(tf, GROUPS).join(F.broadcast(idf), "word")  # as many rows as the question has words
     return seen.groupBy("artifact_id").agg(F.round(-F.sum(gain), 6).alias("rank"))
+
+
+#: Words of a snippet.
+SNIPPET = 16
+
+
+@query(rf"""WITH q AS (SELECT DISTINCT unnest({_FTS_WORDS.format("'" + QUESTION + "'")}) AS w), d AS (SELECT doc_id, {_FTS_WORDS.format("coalesce(text, '')")} AS w FROM documents WHERE lang IN ('en', 'fr')),
+h AS (SELECT doc_id, pos FROM (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS pos FROM d) WHERE x IN (SELECT w FROM q)),
+n AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id ORDER BY pos RANGE BETWEEN CURRENT ROW AND {SNIPPET - 1} FOLLOWING) AS n FROM h), b AS (SELECT doc_id, min(pos) AS pos FROM n SEMI JOIN (SELECT doc_id, max(n) AS n FROM n GROUP BY 1) m USING (doc_id, n) GROUP BY 1)
+SELECT doc_id AS artifact_id, CASE WHEN pos > 0 THEN '… ' ELSE '' END || array_to_string(w[pos + 1:pos + {SNIPPET}], ' ') || CASE WHEN pos + {SNIPPET} < len(w) THEN ' …' ELSE '' END AS snippet FROM b JOIN d USING (doc_id)""")
+def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each readable text with a hit, the words from the hit on whose window holds the most hits, the first of them."""
+    wanted = F.array_distinct(fts_words(F.lit(QUESTION)))
+    rows = readable(hub_rows(spark, sf_dir), GROUPS).select("artifact_id", fts_words(F.col("text")).alias("w"))
+    hits = rows.select("artifact_id", F.posexplode(F.transform("w", lambda w: F.array_contains(wanted, w))).alias("pos", "hit")).where("hit")
+    reach = Window.partitionBy("artifact_id").orderBy("pos").rangeBetween(0, SNIPPET - 1)
+    best = hits.withColumn("n", F.count("*").over(reach)).groupBy("artifact_id").agg(F.min(F.struct(-F.col("n"), "pos"))["pos"].alias("pos"))
+    middle = F.array_join(F.slice("w", F.col("pos") + 1, F.lit(SNIPPET)), " ")
+    text = F.concat(F.when(F.col("pos") > 0, "… ").otherwise(""), middle, F.when(F.col("pos") + SNIPPET < F.size("w"), " …").otherwise(""))
+    return rows.join(best, "artifact_id").select("artifact_id", text.alias("snippet"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evigrid.operators.ordering import running
 from evigrid.plans.registry import query
 from evigrid.sources.tables import calls, table
 
@@ -94,8 +95,8 @@ def first_support_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_SPANS}, r AS (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM documents) SELECT r.source, k, count(DISTINCT sp.item_id) FILTER (used <= k) AS covered FROM r CROSS JOIN (VALUES (20000), (60000), (120000)) t(k) LEFT JOIN sp ON sp.doc_id = r.doc_id GROUP BY ALL")
 def prefix_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items supported by the units inside the first k characters of each source."""
-    used = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", used.alias("used")).join(required_spans(spark, sf_dir).select("doc_id", "item_id"), "doc_id", "left")
+    units = running(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), ["source"], ["doc_id"], F.col("n_chars"), "used")
+    rows = units.join(required_spans(spark, sf_dir).select("doc_id", "item_id"), "doc_id", "left")
     rows = rows.withColumn("k", F.explode(F.array(F.lit(20000), F.lit(60000), F.lit(120000))))
     return rows.groupBy("source", "k").agg(F.countDistinct(F.when(F.col("used") <= F.col("k"), F.col("item_id"))).alias("covered"))
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from evigrid.plans.registry import query
+from evigrid.sources.scratch import shared_folder
 from evigrid.sources.tables import table
-from evigrid.streaming.feed import shared_folder
 
 HUB_ROW = "hub string, acl array<string>, artifact_id string, environment string, kind string, location string, metadata map<string,string>, path string, text string, title string, version string"
 CAPABILITY = "hub string, version_reads boolean, filters array<string>, max_results int, principal_scoped boolean, error_semantics string, place_version_reads map<string,boolean>"

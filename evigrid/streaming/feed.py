@@ -6,8 +6,6 @@ failure overwrites its own folder, so each event counts once. Folders lie under
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,12 +13,7 @@ from pyspark.sql import functions as F
 
 from evigrid.operators.changes import _VIEW
 from evigrid.plans.registry import query
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+from evigrid.sources.scratch import shared_folder
 
 
 def file_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
