@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +20,8 @@ from evigrid.llm.common import table, thrifty
 
 #: Consecutive item words that make a window.
 WINDOW = 13
-#: Bytes of benchmark text that may be collected and sent to executors; more is refused, never cut.
-MOST_BENCHMARK_BYTES = 64 << 20
+#: Bytes of benchmark text for one automaton, which takes some 150 times as much memory in each worker; a larger benchmark goes in blocks.
+BLOCK_BYTES = 1 << 20
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOLD = {i: i + 32 for i in range(65, 91)}
@@ -80,13 +82,77 @@ class Automaton:
         return runs, items
 
 
-def _items(benchmark: DataFrame) -> list[tuple[int, str | None]]:
-    """The benchmark on the driver, behind a check of its size."""
-    rows = benchmark.select("item_id", "text")
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if size > MOST_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes of text; the automaton is built for {MOST_BENCHMARK_BYTES} at most: split it")
-    return [(r[0], r[1]) for r in rows.where("item_id IS NOT NULL").collect()]
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
+    """The benchmark's items, in blocks dealt by a hash of their ids, one after another on the driver, behind a check of their sizes."""
+    rows = benchmark.select("item_id", "text").where("item_id IS NOT NULL")
+    size = F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")
+    n = max(1, -(-2 * rows.agg(size).first()[0] // BLOCK_BYTES))
+    block = F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int")
+    for own in rows.groupBy(block.alias("i")).agg(size).orderBy("i").collect():
+        if own["size"] > 4 * BLOCK_BYTES:
+            raise ValueError(f"{own['size']} bytes of benchmark text share a block: items of millions of bytes need splitting")
+        yield [(r[0], r[1]) for r in rows.where(block == own["i"]).collect()]
+
+
+def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs (first, end) in any order, with those that touch or overlap joined."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and out[-1][1] >= a:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, Callable]:
+    """docs, and what makes, once a task, a function from a batch to (text, words, runs, items) of each row.
+
+    A benchmark of one block is scanned for right there. Of several blocks, each scans the documents by itself; their hits, by doc_id
+    and a hash of the text, are joined to docs as two more columns, and the function only merges them.
+    """
+    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(benchmark)]
+
+    def direct() -> Callable:
+        automaton = Automaton(blocks[0].value if blocks else [], window)
+
+        def scan(batch: pa.RecordBatch) -> Iterator[tuple]:
+            for text in batch.column("text"):
+                text = text.as_py() or ""
+                ws = words_of(text)
+                yield (text, ws, *automaton.scan(ws))
+
+        return scan
+
+    if len(blocks) < 2:
+        return docs, direct
+
+    def hits(items: Broadcast) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = Automaton(items.value, window)
+            for batch in batches:
+                found = [(i, *x) for i, text in enumerate(batch.column(2)) if (x := automaton.scan(words_of(text.as_py())))[0]]
+                at = pa.array([i for i, _, _ in found], pa.int64())
+                runs = pa.array([[{"first": a, "end": b} for a, b in r] for _, r, _ in found], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), runs, pa.array([[str(x) for x in who] for _, _, who in found], pa.list_(pa.string()))], ["_id", "_key", "_runs", "_items"])
+
+        return run
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    schema = "_id long, _key long, _runs array<struct<first:long,end:long>>, _items array<string>"
+    rows = reduce(DataFrame.unionByName, [texts.mapInArrow(thrifty(hits(b)), schema).withColumn("_block", F.lit(i)) for i, b in enumerate(blocks)])
+    own = rows.dropDuplicates(["_id", "_key", "_block"]).groupBy("_id", "_key").agg(F.flatten(F.collect_list("_runs")).alias("_runs"), F.array_distinct(F.flatten(F.collect_list("_items"))).alias("_items"))
+
+    def joined() -> Callable:
+        def scan(batch: pa.RecordBatch) -> Iterator[tuple]:
+            for text, runs, who in zip(batch.column("text"), batch.column("_runs").to_pylist(), batch.column("_items").to_pylist(), strict=True):
+                text = text.as_py() or ""
+                yield text, words_of(text), merged([(r["first"], r["end"]) for r in runs or []]), set(who or [])
+
+        return scan
+
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    return docs.join(own, same, "left").select(*docs.columns, "_runs", "_items"), joined
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = 5) -> DataFrame:
@@ -97,17 +163,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     contaminated: some word is hit, and at least `percent` percent of the words are. Null or empty text: no words.
     Null item_ids and items without words have no windows; an empty benchmark hits nothing. Repeated rows give repeated rows.
     """
-    context = docs.sparkSession.sparkContext
-    items = context.broadcast(_items(benchmark))
+    rows, maker = _scanned(docs.select("doc_id", "text"), benchmark, window)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(items.value, window)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = maker()
         for batch in batches:
             out: list[tuple] = []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                ws = words_of(text)
-                runs, found = automaton.scan(ws)
+            for text, ws, runs, found in scan(batch):
                 spans = []
                 if runs:
                     at = offsets_of(text)
@@ -118,26 +180,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], ["doc_id", "n_words", "n_hit", "n_items", "items", "spans", "contaminated"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(thrifty(scan), "doc_id long, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:long,end:long>>, contaminated boolean")
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.mapInArrow(thrifty(run), "doc_id long, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:long,end:long>>, contaminated boolean")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = 5) -> DataFrame:
-    """docs, all columns, without the contaminated rows; rows are judged one by one, so no row is joined back."""
-    items = docs.sparkSession.sparkContext.broadcast(_items(benchmark))
-    at = docs.columns.index("text")
+    """docs, all columns, without the contaminated rows, by the rule of contamination().
+
+    Columns named _id, _key, _runs or _items would clash and are refused.
+    """
+    if clash := {"_id", "_key", "_runs", "_items"} & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} clash with the operator's own")
+    rows, maker = _scanned(docs, benchmark, window)
+    names = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(items.value, window)
+        scan = maker()
         for batch in batches:
             take = []
-            for text in batch.column(at):
-                ws = words_of(text.as_py())
-                hit = sum(b - a for a, b in automaton.scan(ws)[0])
+            for _, ws, runs, _ in scan(batch):
+                hit = sum(b - a for a, b in runs)
                 take.append(not (hit and 100 * hit >= percent * len(ws)))
-            yield batch.filter(pa.array(take, pa.bool_()))
+            yield batch.select(names).filter(pa.array(take, pa.bool_()))
 
-    return docs.mapInArrow(thrifty(keep), docs.schema)
+    return rows.mapInArrow(thrifty(keep), docs.schema)
 
 
 def items_digest(items: list[str]) -> str:

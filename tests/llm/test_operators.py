@@ -201,3 +201,16 @@ def test_contextual_patterns(spark, monkeypatch, held):
 def test_digests_of_nothing(spark):
     rows = chat.formatted(spark.sql(chat.PROBE)).collect()
     assert len(rows) == 1 and hashlib.sha256(b"").hexdigest() == decontaminate.items_digest([])
+
+
+def test_benchmark_in_blocks(spark, monkeypatch):
+    """A benchmark of several automata gives what one gives, with repeated rows, nulls and further columns."""
+    docs = table(spark, "documents").select("doc_id", "text", "lang")
+    docs = docs.unionByName(docs.where("doc_id < 40")).unionByName(spark.createDataFrame([(-1, None, "x"), (None, "", None)], DOC))
+    items = table(spark, "benchmark")
+    want, kept = decontaminate.contamination(docs, items).collect(), decontaminate.clean_documents(docs, items).collect()
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2000)
+    assert len(list(decontaminate._blocks(items))) > 3
+    assert sorted(map(repr, decontaminate.contamination(docs, items).collect())) == sorted(map(repr, want))
+    assert sorted(map(repr, decontaminate.clean_documents(docs, items).collect())) == sorted(map(repr, kept))
+    assert any(r["contaminated"] for r in want) and len(kept) < len(want)
