@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from evigrid.operators import assembly, calibration, changes, decisions, generation, generators, integrity, mutations, planning, provider, scoring, search, statistics, versions
 from evigrid.plans import registry
-from evigrid.sources import files
+from evigrid.sources import files, runs
 from evigrid.streaming import feed
 
-MODULES = (search, versions, assembly, planning, decisions, provider, scoring, statistics, calibration, integrity, changes, mutations, feed, generators, generation, files)
+MODULES = (search, versions, assembly, planning, decisions, provider, scoring, statistics, calibration, integrity, changes, mutations, feed, generators, generation, files, runs)
 
 
 def queries() -> dict[str, registry.Query]:
