@@ -26,8 +26,8 @@ STEP = 1000
 def greedy_pack(units: DataFrame, group: str, rank: str, cost: str, budget: int, step: int = STEP) -> DataFrame:
     """(group, rank) of the units that go in, in rank order; one that does not fit is skipped and smaller ones still go in.
 
-    Each round folds the first `step` units of every group, then drops what can no longer fit, until none is left: no list grows
-    with a group. Costs are whole numbers from 0 on; units that cost nothing always go in, units without a cost never. Ranks are unique in a group.
+    Each round folds the first `step` units of every group, then drops what can no longer fit, until no group has more: no list grows
+    with a group, and groups of fewer units take one round. Costs are whole numbers from 0 on; units that cost nothing always go in, units without a cost never. Ranks are unique in a group.
     """
     units = units.select(F.col(group).alias("g"), F.col(rank).cast("bigint").alias("rank"), F.col(cost).cast("bigint").alias("cost"))
     taken = [units.where("cost = 0").select("g", "rank")]
@@ -38,12 +38,15 @@ def greedy_pack(units: DataFrame, group: str, rank: str, cost: str, budget: int,
         fits = x["cost"] <= acc["room"]
         return F.struct(F.when(fits, acc["room"] - x["cost"]).otherwise(acc["room"]).alias("room"), F.when(fits, F.array_append(acc["taken"], x["rank"])).otherwise(acc["taken"]).alias("taken"))
 
-    while not left.isEmpty():
+    while True:
         start = F.struct(F.col("room").alias("room"), F.array().cast("array<bigint>").alias("taken"))
         lists = left.withColumn("n", first).where(F.col("n") <= step).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("rank", "cost"))).alias("u"), F.min("room").alias("room"))
-        folded = written(lists.select("g", F.element_at("u", -1)["rank"].alias("last"), F.aggregate("u", start, fold).alias("f")).select("g", "last", "f.*"))
+        whole = F.when(F.size("u") == step, F.element_at("u", -1)["rank"])
+        folded = written(lists.select("g", whole.alias("last"), F.aggregate("u", start, fold).alias("f")).select("g", "last", "f.*"))
         taken.append(folded.select("g", F.explode("taken").alias("rank")))
-        state = folded.select(F.col("g").alias("h"), "last", F.col("room").alias("rest"))
+        state = folded.where("last IS NOT NULL AND room > 0").select(F.col("g").alias("h"), "last", F.col("room").alias("rest"))
+        if state.isEmpty():
+            break
         left = left.drop("room").join(state, F.col("g").eqNullSafe(F.col("h"))).where("rank > last AND cost <= rest")
         left = written(left.select("g", "rank", "cost", F.col("rest").alias("room")))
     return reduce(DataFrame.unionByName, taken).select(F.col("g").alias(group), F.col("rank").alias(rank))
