@@ -274,7 +274,8 @@ def similar_documents(docs: DataFrame, k: int, percent: int) -> DataFrame:
     groups = linkable.groupBy("g", "n").agg(F.first("prefix").alias("prefix")).join(classes.groupBy("g", "n").agg(F.count("*").alias("m")), ["g", "n"])
     meetings = groups.select("g", "m", (F.col("n") * F.lit(1 << 31)).alias("big"), F.posexplode("prefix").alias("at", "token")).select("token", "g", "m", (F.col("big") + F.col("at")).alias("place")).repartition("token")
     met = meetings.groupBy("token").agg(F.sum("m").alias("size"), F.count("*").alias("groups"), F.bit_xor(F.xxhash64("g")).alias("who"), F.bit_xor(F.xxhash64("g", F.lit(1))).alias("who2"), F.min("place").alias("x"), F.max("place").alias("y"))
-    met = met.where("size > 1").where((F.col("groups") > 2) | _can_link(F.col("x"), F.col("y"), percent))
+    # members of one group are alike whatever the other group is, so only two groups of one member each can be refused
+    met = met.where("size > 1").where((F.col("groups") > 2) | (F.col("size") > F.col("groups")) | _can_link(F.col("x"), F.col("y"), percent))
     chosen = met.groupBy("size", "who", "who2").agg(F.min("token").alias("token"))
     present = checkpointed(
         meetings.join(chosen.select("token", "size"), "token").select("token", "size", "g").join(classes, "g").select("token", "size", "doc_id", "c1", "c2", "n", "outline")

@@ -61,6 +61,21 @@ def test_ngram_join(spark, monkeypatch, block):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == groups(docs, 3, 90)
 
 
+@pytest.mark.parametrize("bits", [ngram_join.SKETCH_BITS, 8])
+def test_ngram_join_members_of_one_group(spark, monkeypatch, bits):
+    """Two near copies of one size and prefix, whose prefix only a much longer document shares."""
+    sketch = ngram_join._sketch
+    monkeypatch.setattr(ngram_join, "_sketch", lambda docs, k: sketch(docs, k, bits))
+    rare, common = [f"r{i}" for i in range(97)], [f"c{i}" for i in range(903)]
+    licences = [rare[-2:] + [f"l{v}{i}" for i in range(5)] for v in (1, 2)]
+    docs = [(v, " ".join(rare + licences[v][2:])) for v in (0, 1)] + [(2, " ".join(rare + common))]
+    docs += [(3 + i, " ".join([*licences[i % 2], *common[i % 3 :], f"x{i}", f"y{i}"])) for i in range(16)]
+    want = groups(docs, 3, 90)
+    assert want[0] == (100, 0) and want[1] == (100, 0) and want[2][1] == 2
+    got = ngram_join.similar_documents(spark.createDataFrame([(*d, "x") for d in docs], DOC), 3, 90)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == want
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOC)
     items = spark.createDataFrame([], "item_id long, text string")
