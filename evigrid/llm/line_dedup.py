@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from evigrid.llm.common import BITMAP_BITS, bit_of, bitmap, checkpointed, in_bitmap, table, thrifty
 from evigrid.llm.hashing import POWERS, U, mix, prefix_sums, slices
 
-#: Shorter lines are no evidence of copying and always stay.
+#: Lines that are one edit apart count as copies from this length on; equal lines do at any length.
 LEAST_CHARS = 40
 #: Parts of a line, one of which holds the edit: variants are emitted only for parts that another line could differ in.
 BLOCKS = 8
@@ -34,7 +34,7 @@ def normal(line: str) -> str:
 
 
 def _pieces(texts: list[str | None], least: int) -> Iterator[tuple[list[int], list[int], list[str]]]:
-    """Text numbers, line numbers and normal forms of the lines that are compared, in runs of bounded size."""
+    """Text numbers, line numbers and normal forms of the lines of `least` characters or more, in runs of bounded size."""
     docs, numbers, lines, size = [], [], [], 0
     for d, text in enumerate(texts):
         if not text:
@@ -72,18 +72,20 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
     """(doc_id, line, h, keys): a line's hash, and the four keys of which it shares one with any line one edit away.
 
     One edit leaves the first or the last half of the shorter line as it is; so the halves are taken by the line's own
-    length and, for a neighbour one shorter, by the length below. Repeats of a line inside a piece carry no keys.
+    length and, for a neighbour one shorter, by the length below. All lines but blank ones have a hash; repeats of a line
+    inside a piece and lines of fewer than `least` characters carry no keys.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for docs_, numbers, lines in _pieces(batch.column(1).to_pylist(), least):
+            for docs_, numbers, lines in _pieces(batch.column(1).to_pylist(), 1):
                 sums, start, end = _sums(lines)
                 n = end - start
                 h = slices(sums, start, end)
                 new = np.zeros(len(h), bool)
                 new[np.unique(h, return_index=True)[1]] = True
+                new &= n >= least
                 half, below = n // 2, (n - 1) // 2
                 salt = [U(0x632BE59BD9B4E019), U(0x85157AF5D1B4C3A7)]
                 own, under = n.astype(U), (n - 1).astype(U)
@@ -189,8 +191,8 @@ def _variants(lines: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     """(doc_id, line) of every line of docs (doc_id, text) that goes, numbered from 0 in texts split at newlines.
 
-    A line goes when an earlier one, by (doc_id, line), is equal or one edit (a character put in, left out or changed) away, in
-    normal form: white space at the ends dropped, lower-cased. Lines of fewer than `least` characters stay.
+    A line goes when an earlier one, by (doc_id, line), is equal or, both having `least` characters or more, one edit (a character
+    put in, left out or changed) away, in normal form: white space at the ends dropped, lower-cased. Blank lines stay.
 
     Equal lines are one class with its earliest place. Only classes that share half of themselves with another can have a
     neighbour, of those only the ones that are equal but for one part, and only they emit variants, for that part. For each key the earliest classes are aggregated, never its pairs; what
@@ -247,10 +249,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def brute_force(texts: list[tuple[int, str | None]], least: int = LEAST_CHARS) -> set[tuple[int, int]]:
     """The lines that go, by comparing all pairs; for tests."""
-    lines = sorted((d, i, normal(x)) for d, t in texts for i, x in enumerate((t or "").split("\n")) if len(normal(x)) >= least)
+    lines = sorted((d, i, normal(x)) for d, t in texts for i, x in enumerate((t or "").split("\n")) if normal(x))
 
     def near(a: str, b: str) -> bool:
-        if abs(len(a) - len(b)) > 1:
+        if a == b:
+            return True
+        if min(len(a), len(b)) < least or abs(len(a) - len(b)) > 1:
             return False
         i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
         return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]

@@ -130,6 +130,15 @@ def test_line_dedup(spark):
         assert (kept[d]["text"] or "") == "\n".join(x for i, x in enumerate(lines) if (d, i) not in want) and kept[d]["lang"] == "x"
 
 
+def test_short_lines(spark):
+    """Equal lines go at any length, near ones from LEAST_CHARS on; blank lines stay."""
+    long = "x" * (line_dedup.LEAST_CHARS - 1)
+    docs = [(0, "}\n\n Return X \nb\n" + long), (1, "return x\n}\n\n  \nc\n" + long + "y\n" + long + "yz"), (2, "}\n" + long + "\n" + long + "y\nb "), (3, None)]
+    df = spark.createDataFrame([(*d, "x") for d in docs], DOC)
+    got = {tuple(r) for r in line_dedup.repeated_lines(df).collect()}
+    assert got == {(1, 0), (1, 1), (1, 6), (2, 0), (2, 1), (2, 2), (2, 3)} == line_dedup.brute_force(docs)
+
+
 def test_packing(spark):
     got = packing.packed(table(spark, "documents"), packing.tokenizer_path(), with_ids=True).collect()
     import tokenizers
