@@ -32,11 +32,19 @@ def provider_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT r.user_id AS request_id, r.k AS artifact_id, substr(text, 1, 80) AS text FROM (SELECT DISTINCT user_id, k FROM e WHERE event_type = 'purchase') r
 JOIN (SELECT DISTINCT user_id, k FROM e WHERE event_type <> 'purchase') f ON f.user_id = r.user_id AND f.k = r.k JOIN documents d ON d.doc_id = r.k WHERE lang IN ('en', 'fr')""")
 def trusted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References that a request sends (purchases) become texts only if the request fetched them itself and its caller may read them."""
+    """The first 80 characters of what whole_trusted_texts hands over."""
+    return whole_trusted_texts(spark, sf_dir).withColumn("text", F.substring("text", 1, 80))
+
+
+@query("""WITH e AS (SELECT user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT r.user_id AS request_id, r.k AS artifact_id, text FROM (SELECT DISTINCT user_id, k FROM e WHERE event_type = 'purchase') r
+JOIN (SELECT DISTINCT user_id, k FROM e WHERE event_type <> 'purchase') f ON f.user_id = r.user_id AND f.k = r.k JOIN documents d ON d.doc_id = r.k WHERE lang IN ('en', 'fr')""")
+def whole_trusted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References that a request sends (purchases) become texts, whole, only if the request fetched them itself and its caller may read them."""
     k = F.get_json_object("props", "$.k").try_cast("bigint")
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("request_id"), k.alias("artifact_id"), "event_type")
     sent, fetched = (e.where(c).select("request_id", "artifact_id") for c in ("event_type = 'purchase'", "event_type <> 'purchase'"))
-    may = table(spark, sf_dir, "documents").where(F.col("lang").isin("en", "fr")).select(F.col("doc_id").alias("artifact_id"), F.substring("text", 1, 80).alias("text"))
+    may = table(spark, sf_dir, "documents").where(F.col("lang").isin("en", "fr")).select(F.col("doc_id").alias("artifact_id"), "text")
     return sent.distinct().join(fetched, ["request_id", "artifact_id"], "left_semi").join(may, "artifact_id").select("request_id", "artifact_id", "text")
 
 
