@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evigrid.operators.ordering import last_before
 from evigrid.plans.registry import query
 from evigrid.sources.tables import hub_rows, table, versioned_rows
 
@@ -41,8 +42,8 @@ def artifact_with_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH v AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS was FROM conversations) SELECT conv_id AS artifact_id, turn AS revision, was AS role_before, role AS role_after FROM v WHERE was IS NOT NULL AND was <> role")
 def revision_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = versioned_rows(spark, sf_dir).select("artifact_id", "revision", "role")
-    before = rows.select("artifact_id", (F.col("revision") + 1).alias("revision"), F.col("role").alias("role_before"))
-    return rows.join(before, ["artifact_id", "revision"]).where("role <> role_before").select("artifact_id", "revision", "role_before", F.col("role").alias("role_after"))
+    rows = last_before(rows, ["artifact_id"], ["revision"], F.struct("role"), "before")
+    return rows.where("role <> before.role").select("artifact_id", "revision", F.col("before.role").alias("role_before"), F.col("role").alias("role_after"))
 
 
 @query("SELECT DISTINCT source AS location FROM documents WHERE lang = 'de'")
