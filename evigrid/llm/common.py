@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +34,7 @@ def thrifty(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # no glibc
-                pass
+            give_back()
 
     return thrifty_run
 
@@ -43,15 +42,46 @@ def thrifty(run):
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the cluster's shared checkpoint folder and read back.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests) a temporary one is made.
+    The folder is the session's spark.checkpoint.dir; only where that is unset and all runs on one machine a temporary one is made.
     """
     limit_batches(df.sparkSession)
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def lent(spark: SparkSession, value) -> Iterator[Broadcast]:
+    """A broadcast of value for what is written inside the block; afterwards nothing keeps it."""
+    given = spark.sparkContext.broadcast(value)
+    try:
+        yield given
+    finally:
+        given.destroy()
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
+#: Rows of a small join side that are sent to every executor, at most.
+FEW = 200_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A side of a join, of a few numbers a row: broadcast if its checked size allows, else left to a shuffled join."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def bit_of(column: Column) -> Column:
     """The bitmap position of a hashed BIGINT column."""
     return column.bitwiseAND(F.lit(BITMAP_BITS - 1).cast("bigint"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrid.llm.common import table, thrifty
+from evigrid.llm.common import give_back, table, thrifty
 from evigrid.llm.hashing import U, mix, pieces, words
 
 #: Hash slots for words and for runs of punctuation, and slots for the binned shares that follow them.
@@ -22,6 +22,8 @@ SLOTS = 1 << 18
 _BINS, _SHARES = 20, 6
 #: Labelled documents that the model is fitted on, at most, chosen by a hash of doc_id: a documented bound on driver memory.
 SAMPLE = 20_000
+#: Rows of the sample that are multiplied at a time.
+ROWS = 1024
 #: Features get a weight from so many documents of the sample on, and from one in so many.
 RARE, RARE_SHARE = 4, 800
 
@@ -92,20 +94,22 @@ def fit(found: list[np.ndarray], grades: np.ndarray, levels: int, rounds: int =
     start = np.maximum.accumulate(start + np.arange(levels - 1) * 1e-6)
     if n == 0 or len(np.unique(grades)) < 2:
         return Model(np.zeros(size), start)
-    flat = np.concatenate(found).astype(np.int32, copy=False)
-    row = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in found])
-    common = np.bincount(flat, minlength=size) >= min(max(RARE, n // RARE_SHARE), n)
-    used = np.flatnonzero(common)
-    number = np.zeros(size, np.int32)
+    counts = np.zeros(size, np.int64)
+    for at in range(0, n, ROWS):
+        counts += np.bincount(np.concatenate(found[at : at + ROWS]), minlength=size)
+    used = np.flatnonzero(counts >= min(max(RARE, n // RARE_SHARE), n))
+    number = np.full(size, -1, np.int32)
     number[used] = np.arange(len(used))
-    keep = common[flat]
-    flat, row = number[flat[keep]].astype(np.intp), row[keep].astype(np.intp)
+    blocks = []
+    for at in range(0, n, ROWS):
+        flat, row = number[np.concatenate(found[at : at + ROWS])], np.repeat(np.arange(at, min(n, at + ROWS), dtype=np.int32), [len(x) for x in found[at : at + ROWS]])
+        blocks.append((slice(at, min(n, at + ROWS)), flat[flat >= 0], row[flat >= 0] - at))
     parameters = np.concatenate([np.zeros(len(used)), start[:1], np.log(np.maximum(np.diff(start), 1e-3))])
     first, second = np.zeros_like(parameters), np.zeros_like(parameters)
     w = len(used)
     for t in range(1, rounds + 1):
         cuts = parameters[w] + np.concatenate([[0], np.cumsum(np.exp(parameters[w + 1 :]))])
-        score = np.bincount(row, weights=parameters[flat], minlength=n)
+        score = np.concatenate([np.bincount(row, weights=parameters[flat], minlength=own.stop - own.start) for own, flat, row in blocks])
         tail = 1 / (1 + np.exp(-np.clip(score[:, None] - cuts, -40, 40)))
         slope = tail * (1 - tail)
         edges = np.hstack([np.ones((n, 1)), tail, np.zeros((n, 1))])
@@ -118,9 +122,10 @@ def fit(found: list[np.ndarray], grades: np.ndarray, levels: int, rounds: int =
         by_score = -by_cut.sum(axis=1) / n
         cut_gradient = by_cut[:, 1:-1].sum(axis=0) / n
         gaps = np.exp(parameters[w + 1 :])
-        gradient = np.concatenate(
-            [np.bincount(flat, weights=by_score[row], minlength=w) + decay * parameters[:w], [cut_gradient.sum()], [cut_gradient[i + 1 :].sum() * gaps[i] for i in range(levels - 2)]]
-        )
+        by_weight = decay * parameters[:w]
+        for own, flat, row in blocks:
+            by_weight += np.bincount(flat, weights=by_score[own][row], minlength=w)
+        gradient = np.concatenate([by_weight, [cut_gradient.sum()], [cut_gradient[i + 1 :].sum() * gaps[i] for i in range(levels - 2)]])
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         parameters -= step * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
@@ -149,8 +154,12 @@ def trained(docs: DataFrame, ratings: DataFrame, levels: int = 3, sample: int =
 
     rated = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")  # at most `sample` rows of two numbers
     rows = rated.mapInArrow(thrifty(run), "doc_id long, grade int, found array<int>").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toArrow()
-    found = [np.asarray(x.values) for x in rows.column("found").combine_chunks()] if len(rows) else []
-    return fit(found, rows.column("grade").to_numpy().astype(np.int64), levels)
+    grades = rows.column("grade").to_numpy().astype(np.int64)
+    found = [x.values.to_numpy() for chunk in rows.column("found").chunks for x in chunk]  # views, no copies
+    model = fit(found, grades, levels)
+    del rows, found
+    give_back()
+    return model
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
