@@ -15,11 +15,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrid.llm.common import BITMAP_BITS, bit_of, bitmap, checkpointed, in_bitmap, table, thrifty
+from evigrid.llm.common import BITMAP_BITS, bit_of, bitmap, checkpointed, in_bitmap, lent, table, thrifty
 from evigrid.llm.hashing import POWERS, U, mix, prefix_sums, slices
 
-#: Lines that are one edit apart count as copies from this length on; equal lines do at any length.
-LEAST_CHARS = 40
+#: The edit bound is a share of a line: one edit in so many characters. Shorter lines have copies at distance 0 only.
+LEAST_CHARS = 10
 #: Parts of a line, one of which holds the edit: variants are emitted only for parts that another line could differ in.
 BLOCKS = 8
 #: Characters hashed at a time.
@@ -40,8 +40,6 @@ def _pieces(texts: list[str | None], least: int) -> Iterator[tuple[list[int], li
         if not text:
             continue
         for i, line in enumerate(text.split("\n")):
-            if len(line) < least:
-                continue
             line = normal(line)
             if len(line) < least:
                 continue
@@ -205,8 +203,10 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     first = F.min(F.struct("doc_id", "line")).alias("first")
     classes = lines.groupBy("h").agg(first, F.count("*").alias("n"))
     able = checkpointed(_sharing(lines.where("keys IS NOT NULL")).select("h").distinct().join(classes, "h").select("h", "first.*"))
-    wanted = [spark.sparkContext.broadcast(bitmap(able, position)) for position in (bit_of(F.xxhash64("doc_id")), _spot_of(F.col("doc_id"), F.col("line")))]
-    found = checkpointed(able.join(_texts(docs, least, *wanted), ["h", "doc_id", "line"]).groupBy("h").agg(first, F.first("text").alias("text"), F.first("keys").alias("keys")))
+    if able.isEmpty():  # no two lines share a key
+        return _repeats(lines, classes, spark.createDataFrame([], "h long, near boolean"))
+    with lent(spark, bitmap(able, bit_of(F.xxhash64("doc_id")))) as documents, lent(spark, bitmap(able, _spot_of(F.col("doc_id"), F.col("line")))) as places:
+        found = checkpointed(able.join(_texts(docs, least, documents, places), ["h", "doc_id", "line"]).groupBy("h").agg(first, F.first("text").alias("text"), F.first("keys").alias("keys")))
     texts = checkpointed(_sharing(found).groupBy("h").agg(F.collect_set("part").alias("parts")).join(found, "h").select("h", "first", "text", "parts"))
     keys = _variants(texts).repartition("key")
     held = F.struct("first", "h")
@@ -219,6 +219,11 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     pairs = keys.join(met, "key").select("h", "first", other.alias("o")).where("o IS NOT NULL AND o.first < first").select("h", F.col("o.h").alias("earlier")).distinct()
     pairs = pairs.join(texts.select("h", F.col("text").alias("t")), "h").join(texts.select(F.col("h").alias("earlier"), F.col("text").alias("u")), "earlier")
     near = pairs.where(F.levenshtein("t", "u", 1) >= 0).select("h").distinct().withColumn("near", F.lit(True))
+    return _repeats(lines, classes, near)
+
+
+def _repeats(lines: DataFrame, classes: DataFrame, near: DataFrame) -> DataFrame:
+    """(doc_id, line) of the lines that are no first one of their class, or of a class near an earlier one."""
     judged = classes.where("n > 1").select("h", "first").join(near, "h", "full_outer")
     gone = lines.select("doc_id", "line", "h").join(judged, "h").where(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "line") > F.col("first")))
     return gone.select("doc_id", "line")

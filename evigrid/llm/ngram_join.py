@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrid.llm.common import bit_of, bitmap, checkpointed, in_bitmap, table, thrifty
+from evigrid.llm.common import bit_of, bitmap, checkpointed, few, in_bitmap, lent, table, thrifty
 from evigrid.llm.graph import components
 from evigrid.llm.hashing import U, mix, shingle_sets
 
@@ -25,7 +25,7 @@ _SLICES = 256
 #: Regions of the hash space whose counts bound the overlap of two sets: bytes of a member's outline.
 REGIONS = 128
 #: Members that are compared in one go; larger meetings are split into blocks.
-BLOCK = 512
+BLOCK = 256
 
 
 def _sketch(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -230,8 +230,10 @@ def _verified(members: DataFrame, percent: int) -> DataFrame:
 def _links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
     """Links among the members (token, part, doc_id, c1, c2, label) of each meeting, by their whole sets."""
     members = checkpointed(members)
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(members, bit_of(F.xxhash64("doc_id"))))
-    return checkpointed(_verified(members.join(_sets(docs, k, wanted), ["doc_id", "c1", "c2"]), percent))
+    if members.isEmpty():  # else the join would end before its other side, which still reads the bitmap
+        return docs.sparkSession.createDataFrame([], "a long, b long")
+    with lent(docs.sparkSession, bitmap(members, bit_of(F.xxhash64("doc_id")))) as wanted:
+        return checkpointed(_verified(members.join(_sets(docs, k, wanted), ["doc_id", "c1", "c2"]), percent))
 
 
 def _can_link(x, y, percent: int):
@@ -246,6 +248,24 @@ def _can_link(x, y, percent: int):
     return rest * F.lit(100 + percent) >= (sizes[0] + sizes[1]) * F.lit(percent)
 
 
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """Rows of large meetings (token, doc_id, label, ...), dealt to parts such that any two with different labels share one.
+
+    Members with a meeting's most frequent label, its bulk, need none of each other: each lies in one block, which meets
+    all blocks of the others; so a meeting that is nearly connected takes little more than its own number of rows.
+    """
+    counts = members.groupBy("token", "label").agg(F.count("*").alias("c"))
+    of_token = few(counts.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.max("c").alias("bulk"), F.sum("c").alias("all")))
+    half, salted = F.lit(BLOCK // 2), F.xxhash64("doc_id", F.lit(3))
+    rows = members.join(of_token, "token").withColumns({"ours": F.ceil(F.col("bulk") / half), "theirs": F.ceil((F.col("all") - F.col("bulk")) / half)})
+    width, bulk = F.lit(1 << 15), F.col("label") == F.col("top")
+    i, j = F.pmod(salted, F.greatest("theirs", F.lit(1))), F.pmod(salted, F.col("ours"))
+    with_bulk = F.transform(F.sequence(F.lit(0).cast("long"), F.col("ours") - 1), lambda x: i * width + x)
+    among = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest("theirs", F.lit(1)) - 1), lambda x: -(F.least(i, x) * width + F.greatest(i, x)) - 1)
+    mine = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest("theirs", F.lit(1)) - 1), lambda x: x * width + j)
+    return rows.withColumn("part", F.explode(F.when(bulk, mine).otherwise(F.concat(with_bulk, among)).cast("array<int>")))
+
+
 def similar_documents(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text).
 
@@ -267,8 +287,8 @@ def similar_documents(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = spark.sparkContext.broadcast(_sketch(docs, k))
-    known = checkpointed(_prefixes(docs, k, percent, sketch))
+    with lent(spark, _sketch(docs, k)) as sketch:
+        known = checkpointed(_prefixes(docs, k, percent, sketch))
     linkable = known.where("n > 0 AND doc_id IS NOT NULL")
     classes = checkpointed(linkable.groupBy("g", "n", "c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.first("outline").alias("outline")))
     groups = linkable.groupBy("g", "n").agg(F.first("prefix").alias("prefix")).join(classes.groupBy("g", "n").agg(F.count("*").alias("m")), ["g", "n"])
@@ -296,30 +316,29 @@ def similar_documents(docs: DataFrame, k: int, percent: int) -> DataFrame:
     near = met.select("doc_id", "head")
     if some:
         near = near.unionByName(large.select("token", "doc_id").join(large.groupBy("token").agg(F.min("doc_id").alias("head")), "token").select("doc_id", "head"))
-    family = components(near, "doc_id", "head").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-    wide = checkpointed(family.join(family.groupBy("family").agg(F.count("*").alias("k")), "family").withColumn("wide", F.col("k") > BLOCK))
-    once = met.select(*member, "label").distinct().join(wide.where("NOT wide"), "doc_id").select(F.col("family").alias("token"), F.lit(-1).alias("part"), *member, "label")
+    family = components(near, "doc_id", "head", contract=True).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    sizes = few(checkpointed(family.groupBy("family").agg(F.count("*").alias("k")).where(F.col("k") > BLOCK)))
+    once = met.select(*member, "label").distinct().join(family.join(sizes, "family", "left_anti"), "doc_id").select(F.col("family").alias("token"), F.lit(-1).alias("part"), *member, "label")
     links = _links(docs, once, k, percent)
     edges = links
-    wide = wide.where("wide").select("doc_id", "family", "k")
+    wide = checkpointed(family.join(sizes, "family").select("doc_id", "family", "k"))
     if not wide.isEmpty():
         rest = met.join(wide.select("doc_id"), "doc_id")
         largest = rest.where("NOT pivot").groupBy(*member).agg(F.max(F.struct("met", "token", "part")).alias("m"), F.first("label").alias("label"))
         edges = links.unionByName(_links(docs, largest.select("m.token", "m.part", *member, "label").unionByName(rest.where("pivot").select(key)), k, percent))
-        found = checkpointed(components(edges)).withColumnRenamed("node", "doc_id")
+        found = checkpointed(components(edges, contract=True)).withColumnRenamed("node", "doc_id")
         named = checkpointed(present.join(wide, "doc_id").join(found, "doc_id", "left").withColumns({"label": F.coalesce("component", "doc_id"), "pivot": F.lit(False), "part": F.lit(0)}))
         apart = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
         named = checkpointed(named.join(apart, "token"))
         # a family's meetings overlap: where comparing all its members takes fewer rows than all its meetings, it is one meeting
-        cost = named.groupBy("family", "k").agg(F.sum(blocks).alias("rows")).where(F.col("k") * F.ceil(F.col("k") * 2 / BLOCK) <= F.col("rows")).select("family")
+        cost = few(checkpointed(named.groupBy("family", "k").agg(F.sum(blocks).alias("rows")).where(F.col("k") * F.ceil(F.col("k") * 2 / BLOCK) <= F.col("rows")).select("family")))
         one = named.join(cost, "family", "left_semi").groupBy("doc_id", "c1", "c2").agg(*(F.first(c).alias(c) for c in ("label", "n", "outline", "family", "k")))
         one = one.select(F.col("family").alias("token"), F.col("k").alias("size"), F.lit(0).alias("part"), "doc_id", "c1", "c2", "label", F.lit(False).alias("pivot"), "n", "outline")
         named = one.unionByName(named.join(cost, "family", "left_anti").select(one.columns))
-        every = named.where(F.col("size") > BLOCK).withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        second = named.where(F.col("size") <= BLOCK).select(columns).unionByName(every.withColumn("part", F.least("i", "j") * F.lit(1 << 15) + F.greatest("i", "j")).select(columns))
+        second = named.where(F.col("size") <= BLOCK).select(columns).unionByName(_in_blocks(named.where(F.col("size") > BLOCK)).select(columns))
         known_edges = found.select(F.col("doc_id").alias("a"), F.col("component").alias("b"))  # stars already: few rounds more
         edges = known_edges.unionByName(_links(docs, _promising(second, percent).select(key), k, percent))
-    found = components(edges)
+    found = components(edges, contract=True)
     labelled = classes.select("c1", "c2", "n", F.col("doc_id").alias("least")).join(found, F.col("least") == F.col("node"), "left").select("c1", "c2", "n", F.coalesce("component", "least").alias("component_id"))
     return known.select("doc_id", F.col("n").alias("n_shingles"), "c1", "c2", "n").join(labelled, ["c1", "c2", "n"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
