@@ -45,7 +45,7 @@ def span_table(docs: DataFrame, scanner: Callable[[], Callable[..., tuple[list[S
 
 
 def digested(spans: DataFrame, kinds: tuple[str, ...], added: str) -> DataFrame:
-    """(doc_id, n_<kind> of the base spans, base_sha256, spans) from span_table's rows."""
+    """(doc_id, n_<kind> of the base spans, base_sha256, spans, n_spans of all of them) from span_table's rows."""
     every = (*kinds, added)
 
     def ordered(only_base: bool):
@@ -57,7 +57,7 @@ def digested(spans: DataFrame, kinds: tuple[str, ...], added: str) -> DataFrame:
         return F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == kind))).cast("long").alias(f"n_{kind}")
 
     counts = [counted(k) for k in kinds]
-    return spans.select("doc_id", *counts, F.sha2(ordered(True).cast("binary"), 256).alias("base_sha256"), ordered(False).alias("spans"))
+    return spans.select("doc_id", *counts, F.sha2(ordered(True).cast("binary"), 256).alias("base_sha256"), ordered(False).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def sha256(text: str) -> str:

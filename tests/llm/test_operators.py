@@ -83,7 +83,7 @@ def test_empty_tables(spark):
     assert line_dedup.deduplicated(none).count() == 0
     assert decontaminate.contamination(none, items).count() == 0
     assert packing.packed(none, packing.tokenizer_path()).count() == 0
-    assert secrets_scan.secrets(none, []).count() == 0
+    assert secrets_scan.secrets(none, secrets_scan.learnt(none)).count() == 0
     assert pii.personal_data(none, pii.trusted_patterns(pii.occurrences(none))).count() == 0
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert nearest.nearest(vectors, vectors).count() == 0
