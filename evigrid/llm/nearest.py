@@ -14,19 +14,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evigrid.llm.common import table
+from evigrid.llm.common import table, thrifty
 
 TREES = 96
 #: Bits of a hash string.
 DEPTH = 32
-#: Rows of a shard; a shard and a block of queries meet in one task.
+#: Rows of a shard.
 SHARD = 8192
-#: Queries of a block.
-QUERIES = 1024
-#: Part of a shard's rows at which the ascent stops: what recall needs on data without structure (see the README).
-SHARE = 0.5
-#: Candidates from a shard at least: a small table is searched whole.
-LEAST = 1024
+#: Queries that are multiplied with a shard's vectors at a time.
+PIECE = 256
+#: The ascent stops at so many candidates for each neighbour wanted and so large a part of the shard's rows: what recall needs on data without structure (see the README).
+CANDIDATES, SHARE = 8, 0.4
 
 
 class Forest:
@@ -43,7 +41,7 @@ class Forest:
         for planes in self.planes:
             s = self._strings(vectors, lift, planes)
             order = np.argsort(s, kind="stable")
-            self.order.append(order)
+            self.order.append(order.astype(np.int32))
             self.strings.append(s[order])
 
     def _strings(self, vectors: np.ndarray, lift: np.ndarray, planes: np.ndarray) -> np.ndarray:
@@ -83,10 +81,47 @@ def _clean(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & e.isNotNull()).where(~bad & F.exists(e, lambda x: x != 0)).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
 
 
-def _rows(column: pa.Array) -> list[np.ndarray]:
+def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All components in a row, in double precision, and where each vector begins."""
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    ends = np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths()))])
-    return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return values, np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths(), np.int64))]).astype(np.int64)
+
+
+def _by_dimension(values: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimension, numbers of the vectors that have it, these vectors as a matrix)."""
+    sizes = np.diff(begin)
+    for d in np.unique(sizes[sizes > 0]):
+        at = np.flatnonzero(sizes == d)
+        yield int(d), at, values[begin[at][:, None] + np.arange(d)]
+
+
+class Shard:
+    """Rows of one shard that have one dimension: ids, distinct vectors, their forest."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, trees: int, share: float, k: int) -> None:
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.k = ids[order], k
+        self.kinds, inverse = np.unique(vectors[order], axis=0, return_inverse=True)
+        inverse = inverse.ravel()
+        self.by_kind = np.argsort(inverse, kind="stable")  # ids ascend inside each kind
+        self.begin = np.searchsorted(inverse[self.by_kind], np.arange(len(self.kinds) + 1))
+        self.forest = Forest(self.kinds, trees)
+        self.enough = CANDIDATES * k + int(share * len(self.kinds))
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(query_id, vec_id, score) of the k nearest candidates of each query, another row's id each."""
+        k = self.k
+        for at in range(0, len(queries), PIECE):
+            rough = queries[at : at + PIECE] @ self.kinds.T
+            for j, found in enumerate(self.forest.candidates(queries[at : at + PIECE], self.enough)):
+                if len(found) > k + 1:
+                    near = rough[j][found]
+                    least = np.partition(near, len(near) - k - 1)[len(near) - k - 1]
+                    found = found[near >= least - 1e-9 * (1 + abs(least))]
+                scores = (self.kinds[found] * queries[at + j]).sum(axis=1)
+                own = query_ids[at + j]
+                pairs = [(-s, i) for x, s in zip(found, scores, strict=True) for i in self.ids[self.by_kind[self.begin[x] : self.begin[x + 1]]][: k + 1] if i != own]
+                yield from ((own, i, -s) for s, i in sorted(pairs)[:k])
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, share: float = SHARE) -> DataFrame:
@@ -95,53 +130,41 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TR
     Both tables: (vec_id, embedding). A row with the query's own id is no candidate. Scores are double-precision inner products of
     the original vectors; ties go to the smaller vec_id. Vectors that are null, zero or hold a null or non-finite
     component take no part; a vector meets only vectors of its own dimension. Equal vectors are one entry of the index and all
-    of them are found with it (k + 1 smallest ids are kept for each shard, which no result can exceed). Ids are unique.
+    of them are found with it (k + 1 smallest ids are kept for each shard, which no result can exceed). Repeated rows count once.
+    Other columns are ignored; an empty table gives no row.
 
-    Rows are dealt to shards of about SHARD rows, queries to blocks of QUERIES: every block visits every shard, so that
-    no shard and no task grows with the data, and each sends k rows a query on.
+    Rows are dealt to shards of about SHARD rows; each shard's forest is built once and all queries stream through it after its rows,
+    so that no shard and no task's memory grows with the data; each shard sends k rows a query on.
     """
     rows, asked = _clean(vectors), _clean(queries)
-    n, m = rows.count(), asked.count()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // QUERIES))
-    base = rows.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("query"))
-    base = base.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else base.withColumn("block", F.lit(0))
-    ask = asked.select("vec_id", "embedding", F.lit(True).alias("query"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
-    ask = ask.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    both = base.unionByName(ask)
-
-    def search(key: tuple, group: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-        flags = group.column("query").to_numpy()
-        ids = group.column("vec_id").to_numpy()
-        vectors_ = np.array(_rows(group.column("embedding").combine_chunks()), dtype=object)
-        sizes = np.array([len(v) for v in vectors_])
-        for d in np.unique(sizes[flags]):
-            b, q = np.flatnonzero(~flags & (sizes == d)), np.flatnonzero(flags & (sizes == d))
-            if len(b) and len(q):
-                _search(ids[b], np.vstack(list(vectors_[b])).astype(float), ids[q], np.vstack(list(vectors_[q])).astype(float), out)
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
-
-    def _search(ids: np.ndarray, vs: np.ndarray, query_ids: np.ndarray, qs: np.ndarray, out: dict[str, list]) -> None:
-        order = np.argsort(ids, kind="stable")
-        ids, vs = ids[order], vs[order]
-        kinds, inverse = np.unique(vs, axis=0, return_inverse=True)
-        inverse = inverse.ravel()
-        by_kind = np.argsort(inverse, kind="stable")  # ids ascend inside each kind
-        begin = np.searchsorted(inverse[by_kind], np.arange(len(kinds) + 1))
-        forest = Forest(kinds, trees)
-        enough = max(LEAST, 4 * k, int(share * len(kinds)))
-        for j, found in enumerate(forest.candidates(qs, enough)):
-            scores = (kinds[found] * qs[j]).sum(axis=1)
-            if len(found) > k + 1:
-                least = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
-                found, scores = found[scores >= least], scores[scores >= least]
-            pairs = [(-s, i) for x, s in zip(found, scores, strict=True) for i in ids[by_kind[begin[x] : begin[x + 1]]][: k + 1] if i != query_ids[j]]
-            for s, i in sorted(pairs)[:k]:
-                out["query_id"].append(query_ids[j])
-                out["vec_id"].append(i)
-                out["score"].append(-s)
-
-    found = both.groupBy("shard", "block").applyInArrow(search, "query_id long, vec_id long, score double")
+    shards = max(1, -(-rows.count() // SHARD))
+    base = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("query"), "vec_id", "embedding")
+    ask = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("query"), "vec_id", "embedding")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, index = None, [], None
+        for batch in batches:
+            shard, query = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((np.diff(shard) != 0) | (np.diff(query.astype(np.int8)) != 0)) + 1).tolist(), len(batch)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if shard[a] != now:
+                    now, held, index = shard[a], [], None
+                part = batch.slice(a, b - a)
+                ids, own = part.column(2).to_numpy(), list(_by_dimension(*_vectors(part.column(3))))
+                if not query[a]:
+                    held += [(d, ids[at], m) for d, at, m in own]
+                    continue
+                if index is None:
+                    index = {d: Shard(np.concatenate([i for e, i, _ in held if e == d]), np.concatenate([m for e, _, m in held if e == d]), trees, share, k) for d in {e for e, _, _ in held}}
+                    held = []
+                found = [x for d, at, m in own if d in index for x in index[d].search(ids[at], m)]
+                q, v, s = zip(*found, strict=True) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
+
+    dealt = base.unionByName(ask).repartition(shards, "shard").sortWithinPartitions("shard", "query")
+    found = dealt.mapInArrow(thrifty(search), "query_id long, vec_id long, score double").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))  # limited before the shuffle too
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

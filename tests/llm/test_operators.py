@@ -187,6 +187,29 @@ def test_nearest_recall(spark):
     assert hit >= 0.9 * 20 * len(got) and -2 not in got
 
 
+def test_nearest_large(spark, monkeypatch):
+    """Several shards, with repeated rows, equal vectors, ties, two dimensions and another column, against brute force."""
+    monkeypatch.setattr(nearest, "SHARD", 1500)
+    rng = np.random.default_rng(4)
+    e = rng.standard_normal((4000, 16)).astype(np.float32)
+    e[100:130] = e[7]
+    rows = [(i, e[i].tolist(), "x") for i in range(4000)]
+    vectors = spark.createDataFrame([*rows, *rows[:50], (9001, [1.0, 2.0], None), (9002, [2.0, 1.0], None)], "vec_id long, embedding array<float>, score string").repartition(8)
+    found = defaultdict(list)
+    for r in nearest.nearest(vectors, vectors.where("vec_id % 20 = 0 OR vec_id > 9000")).orderBy("query_id", "rank").collect():
+        assert r["rank"] == len(found[r["query_id"]]) + 1
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert [v for v, _ in found.pop(9001)] == [9002] and [v for v, _ in found.pop(9002)] == [9001] and len(found) == 200
+    hit, x = 0, e.astype(float)
+    for q, own in found.items():
+        score = (x * x[q]).sum(axis=1)
+        assert all(abs(score[v] - s) < 1e-12 for v, s in own) and own == sorted(own, key=lambda p: (-p[1], p[0])) and len(set(own)) == 20
+        best = [i for _, i in sorted((-s, i) for i, s in enumerate(score) if i != q)[:20]]
+        hit += len({v for v, _ in own} & set(best))
+    assert hit >= 0.9 * 20 * len(found)
+    assert {v for v, _ in found[100]} >= {7, *range(101, 119)}
+
+
 def test_quality_held_out(spark):
     docs, grades = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), quality.graded(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
     model = quality.trained(docs, grades.where("doc_id % 4 <> 0"))
