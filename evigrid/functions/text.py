@@ -20,8 +20,9 @@ SUFFIXES = (("ization", ""), ("ation", ""), ("ize", ""), ("ies", "y"), ("ied", "
 
 
 def words(text: Column) -> Column:
-    """ASCII words, camel case split, lower-cased."""
-    return F.regexp_extract_all(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "(?<=[a-z0-9])(?=[A-Z])", " ")), F.lit("[a-z0-9]+"), F.lit(0))
+    """ASCII words, camel case split, lower-cased. Only a text with camel case pays for its splitting."""
+    split = F.when(text.rlike("[a-z0-9][A-Z]"), F.regexp_replace(text, "(?<=[a-z0-9])(?=[A-Z])", " ")).otherwise(F.coalesce(text, F.lit("")))
+    return F.regexp_extract_all(F.lower(split), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def stem(token: Column) -> Column:
@@ -33,6 +34,11 @@ def stem(token: Column) -> Column:
     return out
 
 
+def forms(term: str) -> set[str]:
+    """All tokens that could have a term as their stem."""
+    return {term, *(term.removesuffix(put) + suffix for suffix, put in SUFFIXES if term.endswith(put))}
+
+
 def content_terms(text: Column) -> Column:
     """Distinct stems of words that are neither stop words nor numbers, in order."""
     kept = F.filter(words(text), lambda w: ~w.isin(STOPWORDS) & ~w.rlike("^[0-9]+$"))

@@ -18,6 +18,8 @@ BLOCK = 4 << 20
 def required_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, doc_id, lang, source, start, end): where a whole benchmark item first stands in a document, half-open, from 0.
 
+    An item between whose first and last blank other words stand can only be in a document that has its longest such word between
+    blanks too: an equi-join on that word finds the pairs to verify. Only items of one or two words are looked for everywhere.
     Items are the stated set of texts searched for: each block of them, by hash of the id, is one broadcast of a checked size.
     """
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
@@ -25,7 +27,16 @@ def required_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = items.agg(F.coalesce(F.sum(F.length("item")), F.lit(0))).first()[0]
     blocks = -(-total // BLOCK) or 1
     start = (F.instr("text", F.col("item")) - 1).cast("bigint")
-    parts = [docs.join(F.broadcast(items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i)), F.expr("contains(text, item)")) for i in range(blocks)]
+    inner = F.split("item", " ")
+    inner = F.filter(F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    items = items.withColumn("anchor", longest)
+    each = docs.withColumn("word", F.explode(F.array_distinct(F.split("text", " "))))
+    parts = []
+    for i in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i)
+        parts.append(each.join(F.broadcast(block), F.expr("word = anchor")).drop("word").where("contains(text, item)"))
+        parts.append(docs.join(F.broadcast(block.where("anchor IS NULL")), F.expr("contains(text, item)")))
     return reduce(DataFrame.union, parts).select("item_id", "doc_id", "lang", "source", start.alias("start"), (start + F.length("item")).alias("end"))
 
 

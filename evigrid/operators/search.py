@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evigrid.functions import text as X
 from evigrid.plans.registry import query
+from evigrid.sources.scratch import written
 from evigrid.sources.tables import hub_rows, table
 
 #: The query of the search examples, and who asks.
@@ -29,18 +30,18 @@ def term_frequencies(rows: DataFrame, key: str = "artifact_id") -> DataFrame:
 def bm25(rows: DataFrame, question: str, key: str = "artifact_id", keep: tuple[str, ...] = ("location",)) -> DataFrame:
     """(key, *keep, raw, coverage) of rows with a term of the question.
 
-    Only terms of the question leave the scan; statistics of the pool are one row of sums, joined back by broadcast of
-    as many rows as the question has terms.
+    The texts are read once: what is written of a row is its length and the stems of the few words that could be terms of the
+    question. Statistics of the pool are one row of sums, joined back by broadcast of as many rows as the question has terms.
     """
-    spark = rows.sparkSession
-    terms = spark.range(1).select(F.explode(X.content_terms(F.lit(question))).alias("term"))
-    tokens = rows.select(key, *keep, F.transform(X.words(F.col("text")), X.stem).alias("w"))
-    wanted = X.content_terms(F.lit(question))
-    counted = tokens.select(key, *keep, F.size("w").alias("len"), F.explode_outer(F.filter("w", lambda w: F.array_contains(wanted, w))).alias("term"))
-    tf = counted.groupBy(key, *keep, "len", "term").agg(F.count("term").alias("tf")).where("tf > 0")
-    pool = tokens.agg(F.count("*").alias("n"), F.avg(F.greatest(F.size("w"), F.lit(1)).cast("double")).alias("average"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = df.join(F.broadcast(terms), "term").crossJoin(F.broadcast(pool))
+    wanted = rows.sparkSession.range(1).select(X.content_terms(F.lit(question)).alias("t")).first()["t"]
+    forms = sorted({form for term in wanted for form in X.forms(term)})
+    tokens = rows.select(key, *keep, X.words(F.col("text")).alias("w"))
+    stems = F.filter(F.transform(F.filter("w", lambda w: w.isin(forms)), X.stem), lambda t: t.isin(list(wanted)))
+    counted = written(tokens.select(key, *keep, F.size("w").alias("len"), stems.alias("terms")))
+    each = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).alias("tf")))
+    tf = counted.where(F.size("terms") > 0).select(key, *keep, "len", F.inline(each))  # counted inside the row: no shuffle
+    pool = counted.agg(F.count("*").alias("n"), F.avg(F.greatest("len", F.lit(1)).cast("double")).alias("average"))
+    weighed = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(pool))
     weighed = weighed.select("term", "average", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), F.log(1 + (F.col("n") + 1) / (F.col("df") + 0.5)).alias("w"))
     total = weighed.agg(F.sum("w").alias("total"))
     length = F.greatest(F.col("len"), F.lit(1)).cast("double")
@@ -127,7 +128,8 @@ def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH t AS (SELECT doc_id, unnest({X.sql_words('text')}) AS w FROM documents) SELECT {X.sql_stem('w')} AS term, count(DISTINCT doc_id) AS df FROM t GROUP BY ALL")
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    distinct = hub_rows(spark, sf_dir).select(F.explode(F.array_distinct(F.transform(X.words(F.col("text")), X.stem))).alias("term"))
+    own = F.array_distinct(F.transform(F.array_distinct(X.words(F.col("text"))), X.stem))
+    distinct = hub_rows(spark, sf_dir).select(F.explode(own).alias("term"))
     return distinct.groupBy("term").agg(F.count("*").alias("df"))  # distinct inside the row: one shuffle of partial counts
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evigrid.functions import numeric as N
+from evigrid.operators.ordering import running
 from evigrid.plans.registry import query
 from evigrid.sources.tables import calibration_records, calls, table
 
@@ -56,7 +57,7 @@ _DRAW = "CAST(('0x' || left(md5('7|' || b || '|' || slot), 8)) AS BIGINT)"
 
 
 @query(f"""WITH {_ARMS}, k AS (SELECT cluster, sum(d) AS s, count(*) AS n, row_number() OVER (ORDER BY cluster) - 1 AS i FROM arms GROUP BY cluster), m AS (SELECT count(*) AS m FROM k),
-g AS (SELECT b, slot, {_DRAW} % m AS i FROM range(200) x(b), range(25) y(slot), m WHERE slot < m),
+g AS (SELECT b, slot, {_DRAW} % m AS i FROM range(200) x(b), (SELECT i AS slot FROM k), m),
 st AS (SELECT b, sum(s) / sum(n) AS v FROM g JOIN k USING (i) GROUP BY b), o AS (SELECT list_sort(list(v)) AS vs FROM st)
 SELECT round(vs[CAST(floor(0.025 * 199) AS INT) + 1], 2) AS low, round(vs[CAST(floor(0.975 * 199) AS INT) + 1], 2) AS high FROM o""")
 def cluster_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,10 +66,10 @@ def cluster_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     Clusters are summed first: what is resampled has as many rows as there are clusters, not cases.
     """
     sums = _arms(spark, sf_dir).groupBy("cluster").agg(F.sum("d").alias("s"), F.count("*").alias("n"))
-    numbered = sums.withColumn("i", (F.row_number().over(Window.orderBy("cluster")) - 1).cast("bigint"))
+    numbered = running(sums, [], ["cluster"], F.lit(1), "place").withColumn("i", (F.col("place") - 1).cast("bigint"))
     m = numbered.agg(F.count("*").alias("m"))
     slots = spark.range(200).select(F.col("id").alias("b")).crossJoin(F.broadcast(m)).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    drawn = slots.select("b", F.pmod(N.draw(F.lit(7), F.col("b"), F.col("slot")), F.col("m")).alias("i")).join(F.broadcast(numbered), "i")
+    drawn = slots.select("b", F.pmod(N.draw(F.lit(7), F.col("b"), F.col("slot")), F.col("m")).alias("i")).join(numbered, "i")
     values = drawn.groupBy("b").agg((F.sum("s") / F.sum("n")).alias("v")).agg(F.sort_array(F.collect_list("v")).alias("vs"))
     return values.select(F.round(F.col("vs")[int(0.025 * 199)], 2).alias("low"), F.round(F.col("vs")[int(0.975 * 199)], 2).alias("high"))
 
@@ -84,8 +85,10 @@ def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_CAL}, o AS (SELECT y, sum(y) OVER w / row_number() OVER w::DOUBLE AS prec FROM cal WINDOW w AS (ORDER BY p DESC, c ROWS UNBOUNDED PRECEDING)) SELECT round(avg(prec), 6) AS pr_auc FROM o WHERE y = 1")
 def pr_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.orderBy(F.desc("p_raw"), "case").rowsBetween(Window.unboundedPreceding, 0)
-    rows = calibration_records(spark, sf_dir).select("label", (F.sum("label").over(w) / F.count("*").over(w)).alias("p"))
+    """Average precision; both counts of a record's place are running sums over ranges, not one window."""
+    rows = calibration_records(spark, sf_dir).select((-F.col("p_raw")).alias("least"), "case", "label")
+    rows = running(running(rows, [], ["least", "case"], F.col("label"), "hits"), [], ["least", "case"], F.lit(1), "seen")
+    rows = rows.select("label", (F.col("hits") / F.col("seen")).alias("p"))
     return rows.where("label = 1").agg(F.round(F.avg("p"), 6).alias("pr_auc"))
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType, StructType
 
 from evigrid.plans.registry import query
 from evigrid.sources.files import json_rows, names_in, write_json_lines
@@ -75,10 +77,28 @@ def canned(requests: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def store_exchanges(exchanges: DataFrame, folder: str) -> None:
-    """Appends raw exchanges (request_id, round, body: JSON) to a store; a field that could hold a credential is left out of every level that is an object of the body."""
-    body = F.from_json("body", "map<string,string>")
-    kept = F.map_filter(body, lambda k, v: ~F.lower(k).isin(CREDENTIALS))
-    exchanges.select("request_id", "round", F.to_json(kept).alias("body")).write.mode("append").parquet(folder)
+    """Appends raw exchanges (request_id, round, body: JSON) to a store; a field that could hold a credential is left out at every level.
+
+    Bodies of one store differ in their fields, so each is parsed by itself, in batches; one that is no JSON object is stored as null.
+    """
+    exchanges.select("request_id", "round", _without_credentials("body").alias("body")).write.mode("append").parquet(folder)
+
+
+@pandas_udf(StringType())
+def _without_credentials(bodies: pd.Series) -> pd.Series:
+    def kept(value):
+        if isinstance(value, dict):
+            return {k: kept(v) for k, v in value.items() if k.lower() not in CREDENTIALS}
+        return [kept(v) for v in value] if isinstance(value, list) else value
+
+    def one(body: str | None) -> str | None:
+        try:
+            value = json.loads(body or "null")
+        except ValueError:
+            return None
+        return json.dumps(kept(value), separators=(",", ":")) if isinstance(value, dict) else None
+
+    return bodies.map(one)
 
 
 @query("SELECT source AS hub, count(*) AS rows, sum(CAST('0x' || left(sha256('{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\"}'), 8) AS BIGINT))::BIGINT AS digest FROM documents GROUP BY source")

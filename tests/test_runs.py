@@ -42,3 +42,7 @@ def test_exchanges_hold_no_credentials(spark, tmp_path):
     for _ in range(2):
         runs.store_exchanges(rows, str(tmp_path / "x"))
     assert [r["body"] for r in spark.read.parquet(str(tmp_path / "x")).collect()] == ['{"answer":"y"}'] * 2
+    nested = spark.sql("""SELECT 'r' AS request_id, stack(4, 1, '{"headers": {"authorization": "Bearer S", "n": 1}, "a": [{"Token": "S"}, 2]}', 2, '{"headers": "plain"}', 3, '[1]', 4, null) AS (round, body)""")
+    runs.store_exchanges(nested, str(tmp_path / "y"))
+    got = {r["round"]: r["body"] for r in spark.read.parquet(str(tmp_path / "y")).collect()}
+    assert got == {1: '{"headers":{"n":1},"a":[{},2]}', 2: '{"headers":"plain"}', 3: None, 4: None}
