@@ -35,21 +35,26 @@ def distinctive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(lines).cast("bigint").alias("distinctive")).where("distinctive > 0")
 
 
-@query("SELECT doc_id, n_chars AS declared, length(text) AS actual FROM documents WHERE n_chars <> length(text)")
+@query("SELECT * FROM (SELECT doc_id, n_chars + CASE WHEN doc_id % 97 = 0 THEN 1 ELSE 0 END AS declared, length(text) AS actual FROM documents) WHERE declared <> actual")
 def span_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("declared"), F.length("text").cast("bigint").alias("actual")).where("declared <> actual")
+    """Spans whose declared end is not their text's; one in 97 is declared wrongly."""
+    declared = F.col("n_chars") + F.when(F.col("doc_id") % 97 == 0, 1).otherwise(0)
+    return table(spark, sf_dir, "documents").select("doc_id", declared.alias("declared"), F.length("text").cast("bigint").alias("actual")).where("declared <> actual")
 
 
-@query("SELECT a.source, list_aggregate(list_sort(list(DISTINCT a.lang)), 'string_agg', ',') AS acl FROM documents a GROUP BY a.source HAVING count(DISTINCT a.lang) < 4")
+@query("SELECT source, acl FROM (SELECT source, list_aggregate(list_sort(list(DISTINCT lang)), 'string_agg', ',') AS acl FROM documents GROUP BY source) WHERE acl <> CASE WHEN source LIKE '%5' THEN 'de,en' ELSE 'de,en,es,fr' END")
 def acl_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places whose rendered acl is not the authored one (all four languages)."""
-    acl = F.sort_array(F.collect_set("lang"))
-    return table(spark, sf_dir, "documents").groupBy("source").agg(acl.alias("a")).where(F.size("a") < 4).select("source", F.array_join("a", ",").alias("acl"))
+    """Places whose rendered acl is not the authored one: all four languages, and in some places two."""
+    acl = F.array_join(F.sort_array(F.collect_set("lang")), ",")
+    authored = F.when(F.col("source").endswith("5"), "de,en").otherwise("de,en,es,fr")
+    return table(spark, sf_dir, "documents").groupBy("source").agg(acl.alias("acl")).where(F.col("acl") != authored)
 
 
-@query("SELECT regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS path, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT regexp_replace(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '[0-9]+$', '') AS path, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) > 1")
 def duplicate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").groupBy(F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1).alias("path")).agg(F.count("*").alias("n")).where("n > 1")
+    """Paths that several pages have, a trailing number apart."""
+    path = F.regexp_replace(F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1), "[0-9]+$", "")
+    return table(spark, sf_dir, "pages").groupBy(path.alias("path")).agg(F.count("*").alias("n")).where("n > 1")
 
 
 @query("SELECT coalesce(l.doc_id, d.doc_id) AS ref, CASE WHEN d.doc_id IS NULL THEN 'dangling' ELSE 'unreferenced' END AS problem FROM labels l FULL JOIN documents d ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL OR d.doc_id IS NULL")
