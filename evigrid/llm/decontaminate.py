@@ -6,8 +6,8 @@ so that a document is scanned in one pass of one step a word and hits carry word
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -82,16 +82,42 @@ class Automaton:
         return runs, items
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
-    """The benchmark's items, in blocks dealt by a hash of their ids, one after another on the driver, behind a check of their sizes."""
+def _segments(item: int, text: str | None, window: int) -> Iterator[tuple[int, str | None]]:
+    """The item, or, of a very long one, runs of its words that overlap by window - 1 words: together they have the same windows."""
+    if len(text or "") * 4 <= BLOCK_BYTES or len(ws := words_of(text)) <= window:
+        yield item, text
+        return
+    most = max(1, BLOCK_BYTES // (1 + max(map(len, ws))), len(ws) * BLOCK_BYTES // (4 * len(text)))
+    for at in range(0, len(ws) - window + 1, most):
+        yield item, b" ".join(ws[at : at + most + window - 1]).decode("utf-8", "surrogatepass")
+
+
+def _blocks(benchmark: DataFrame, window: int = WINDOW) -> Iterator[list[tuple[int, str | None]]]:
+    """The benchmark's items, in blocks dealt by a hash of their ids, one after another on the driver; a block of very long items is split."""
     rows = benchmark.select("item_id", "text").where("item_id IS NOT NULL")
     size = F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")
     n = max(1, -(-2 * rows.agg(size).first()[0] // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int")
     for own in rows.groupBy(block.alias("i")).agg(size).orderBy("i").collect():
-        if own["size"] > 4 * BLOCK_BYTES:
-            raise ValueError(f"{own['size']} bytes of benchmark text share a block: items of millions of bytes need splitting")
-        yield [(r[0], r[1]) for r in rows.where(block == own["i"]).collect()]
+        now, held = [], 0
+        for item, text in (x for r in rows.where(block == own["i"]).collect() for x in _segments(r[0], r[1], window)):
+            if now and held + len(text or "") > 2 * BLOCK_BYTES:
+                yield now
+                now, held = [], 0
+            now.append((item, text))
+            held += len(text or "")
+        yield now
+
+
+_kept: dict[str, Automaton] = {}
+
+
+def _built(name: str, items: Broadcast | None, window: int) -> Automaton:
+    """The automaton of that name: a worker builds it once for all its tasks and keeps no other."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = Automaton(items.value if items else [], window)
+    return _kept[name]
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -111,10 +137,11 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFr
     A benchmark of one block is scanned for right there. Of several blocks, each scans the documents by itself; their hits, by doc_id
     and a hash of the text, are joined to docs as two more columns, and the function only merges them.
     """
-    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(benchmark)]
+    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(benchmark, window)]
+    name = uuid.uuid4().hex
 
     def direct() -> Callable:
-        automaton = Automaton(blocks[0].value if blocks else [], window)
+        automaton = _built(f"{name} 0", blocks[0] if blocks else None, window)
 
         def scan(batch: pa.RecordBatch) -> Iterator[tuple]:
             for text in batch.column("text"):
@@ -127,9 +154,9 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFr
     if len(blocks) < 2:
         return docs, direct
 
-    def hits(items: Broadcast) -> Callable:
+    def hits(i: int, items: Broadcast) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = Automaton(items.value, window)
+            automaton = _built(f"{name} {i}", items, window)
             for batch in batches:
                 found = [(i, *x) for i, text in enumerate(batch.column(2)) if (x := automaton.scan(words_of(text.as_py())))[0]]
                 at = pa.array([i for i, _, _ in found], pa.int64())
@@ -140,7 +167,7 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFr
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     schema = "_id long, _key long, _runs array<struct<first:long,end:long>>, _items array<string>"
-    rows = reduce(DataFrame.unionByName, [texts.mapInArrow(thrifty(hits(b)), schema).withColumn("_block", F.lit(i)) for i, b in enumerate(blocks)])
+    rows = reduce(DataFrame.unionByName, [texts.mapInArrow(thrifty(hits(i, b)), schema).withColumn("_block", F.lit(i)) for i, b in enumerate(blocks)])
     own = rows.dropDuplicates(["_id", "_key", "_block"]).groupBy("_id", "_key").agg(F.flatten(F.collect_list("_runs")).alias("_runs"), F.array_distinct(F.flatten(F.collect_list("_items"))).alias("_items"))
 
     def joined() -> Callable:
@@ -206,10 +233,6 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     return rows.mapInArrow(thrifty(keep), docs.schema)
 
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
-
-
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against the whole benchmark."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -6,7 +6,6 @@ share a key meet, the distance of what meets is verified, and the earliest line
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -250,22 +249,3 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: how many lines each has and loses, and the digest of the text that stays."""
     rows = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
-
-
-def brute_force(texts: list[tuple[int, str | None]], least: int = LEAST_CHARS) -> set[tuple[int, int]]:
-    """The lines that go, by comparing all pairs; for tests."""
-    lines = sorted((d, i, normal(x)) for d, t in texts for i, x in enumerate((t or "").split("\n")) if normal(x))
-
-    def near(a: str, b: str) -> bool:
-        if a == b:
-            return True
-        if min(len(a), len(b)) < least or abs(len(a) - len(b)) > 1:
-            return False
-        i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-        return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
-
-    return {(d, i) for k, (d, i, x) in enumerate(lines) if any(near(x, y) for _, _, y in lines[:k])}
-
-
-def digest(text: str | None) -> str:
-    return hashlib.sha256((text or "").encode()).hexdigest()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -58,7 +57,3 @@ def digested(spans: DataFrame, kinds: tuple[str, ...], added: str) -> DataFrame:
 
     counts = [counted(k) for k in kinds]
     return spans.select("doc_id", *counts, F.sha2(ordered(True).cast("binary"), 256).alias("base_sha256"), ordered(False).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
-
-
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

@@ -16,8 +16,11 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 #: Rules go into the plan as literals; more than so many are refused.
 MOST_RULES = 5000
 
-_CANONICAL = r"(?is)<link\b(?=[^>]{0,2000}\brel\s*=\s*[\x22']?canonical\b)[^>]{0,2000}?\bhref\s*=\s*(?:\x22([^\x22>]*)\x22|'([^'>]*)'|([^\s>\x22']+))"
-_REFRESH = r"(?is)<meta\b(?=[^>]{0,2000}\bhttp-equiv\s*=\s*[\x22']?refresh\b)[^>]{0,2000}?\bcontent\s*=\s*[\x22']?\s*[0-9.]*\s*[;,]?\s*url\s*=\s*[\x22']?([^\s\x22'>]+)"
+# Tags first, then what they hold: each pattern goes over a tag once, however long it is.
+_LINK, _META = r"(?is)<link\b[^>]*>", r"(?is)<meta\b[^>]*>"
+_IS_CANONICAL, _IS_REFRESH = r"(?is)(?<![-\w])rel\s*=\s*[\x22']?\s*canonical\b", r"(?is)(?<![-\w])http-equiv\s*=\s*[\x22']?\s*refresh\b"
+_HREF = r"(?is)(?<![-\w])href\s*=\s*(?:\x22([^\x22>]*)\x22|'([^'>]*)'|([^\s>\x22']+))"
+_REFRESH = r"(?is)(?<![-\w])content\s*=\s*[\x22']?\s*[0-9.]*\s*[;,]?\s*url\s*=\s*[\x22']?([^\s\x22'>]+)"
 
 
 def ascii_lower(c: Column) -> Column:
@@ -61,6 +64,10 @@ def best_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) ->
     return out
 
 
+def _tags(tag: str, kind: str) -> Column:
+    return F.filter(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: t.rlike(kind))
+
+
 def links(pages: DataFrame) -> DataFrame:
     """(a, b): nodes joined by a canonical link or a refresh in the page's html. Relative targets are taken on the page's own host."""
     rows = pages.where(F.coalesce(F.col("html").rlike(r"(?i)canonical|http-equiv"), F.lit(False))).select("url", "html")
@@ -68,7 +75,10 @@ def links(pages: DataFrame) -> DataFrame:
         node_of(F.col("url")).alias("a"),
         host_of(F.col("url")).alias("host"),
         F.regexp_extract(path_of(F.col("url")), r"^(.*/)?", 0).alias("folder"),
-        F.concat(*(F.regexp_extract_all("html", F.lit(_CANONICAL), F.lit(i)) for i in (1, 2, 3)), F.regexp_extract_all("html", F.lit(_REFRESH), F.lit(1))).alias("targets"),
+        F.concat(
+            F.transform(_tags(_LINK, _IS_CANONICAL), lambda t: F.concat(*(F.regexp_extract(t, _HREF, i) for i in (1, 2, 3)))),
+            F.transform(_tags(_META, _IS_REFRESH), lambda t: F.regexp_extract(t, _REFRESH, 1)),
+        ).alias("targets"),
     )
     found = found.select("a", "host", "folder", F.explode("targets").alias("to")).where("a IS NOT NULL AND to <> ''")
     target = F.replace(F.col("to"), F.lit("&amp;"), F.lit("&"))

@@ -1,6 +1,5 @@
 """The llm operators against SQL, brute force, round trips and held-out rows, with nulls, empty and repeated rows."""
 
-import hashlib
 import re
 import zlib
 from collections import defaultdict
@@ -8,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from oracle import SMALL, same
+from plain import brute_force
 from pyspark.sql import functions as F
 
 from evigrid.llm import chat, decontaminate, line_dedup, nearest, ngram_join, packing, pii, quality, queries, secrets_scan, url_filter
@@ -100,6 +100,46 @@ def test_aliases(spark):
     assert got == {1: "allow", 2: "allow", 3: "allow", 4: "allow", 5: "allow", 6: "block"}  # 1, 2 and 5 share a component with an explicit allow
 
 
+def test_alias_graph(spark):
+    """Verdicts of many aliases against a plain union-find; very long tags, repeated rows, nulls, more columns, redirects."""
+    rng = np.random.default_rng(8)
+    hosts = ["a.net", "b.net", "example.org", "c.com", "d.io"]
+    folders = ["es/", "fr/", "de/", "x/"]
+    urls = [f"http://{hosts[rng.integers(5)]}/{folders[rng.integers(4)]}{i}" for i in range(200)]
+    edges = [(i, int(rng.integers(200))) for i in range(0, 200, 2)]
+    pad = 'title="' + "t" * 5000 + '" '
+    tags = {i: (f'<LINK {pad}rel=canonical {pad} href="{urls[j]}">' if i % 4 else f"<p><meta http-equiv='refresh' {pad}content='0; url={urls[j]}'>") for i, j in edges}
+    pages = [(i, u, f"<html>{tags.get(i, '')}{'y' * 100}", "z") for i, u in enumerate(urls)]
+    pages += [pages[3], (None, None, None, None), (500, "no scheme", "<link rel=canonical href=http://example.org/es/7>", "z"), (501, "http://e.io/", "", None)]
+    redirects = [(urls[10], urls[11]), (urls[11], urls[12]), (None, urls[1]), ("http://e.io/", urls[10])]
+    parent = {u: u for u in [*urls, "http://e.io/"]}
+
+    def root(u):
+        while parent[u] != u:
+            u = parent[u]
+        return u
+
+    for a, b in [(urls[i], urls[j]) for i, j in edges] + [r for r in redirects if r[0]]:
+        parent[root(a)] = root(b)
+
+    def own(u):
+        host, path = u.split("/")[2], "/" + "/".join(u.split("/")[3:])
+        fits = [(len(r), v) for v, r in url_filter.RULES if (host == r.partition("/")[0] or host.endswith("." + r.partition("/")[0])) and path.startswith("/" + r.partition("/")[2])]
+        return max(fits)[1] if fits else None
+
+    groups_ = defaultdict(set)
+    for u in parent:
+        groups_[root(u)].add(own(u))
+    got = defaultdict(list)
+    for r in url_filter.judged(spark.createDataFrame(pages, "page_id long, url string, html string, verdict string"), redirects=spark.createDataFrame(redirects, "from_url string, to_url string")).collect():
+        got[r["page_id"]].append(r["verdict"])
+    assert len(got[3]) == 2 and got[None] == got[500] == ["allow"]
+    for i, u in [*enumerate(urls), (501, "http://e.io/")]:
+        held = groups_[root(u)]
+        assert set(got[i]) == {own(u) or ("allow" if "allow" in held else "block" if "block" in held else "allow")}, u
+    assert any(own(u) is None and "block" in groups_[root(u)] for u in urls)
+
+
 def test_chat_round_trip(spark):
     turns = [(1, 2, "assistant", "&lt;[x]</s>"), (1, 1, "user", None), (1, 3, "assistant", "two"), (1, 0, "a]b[", "[INST]"), (2, None, None, "<sep>")]
     rows = chat.formatted(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
@@ -122,7 +162,7 @@ def test_line_dedup(spark):
             lines.append("".join(line))
         docs.append((i, "\n".join(lines)))
     df = spark.createDataFrame([(*d, "x") for d in docs], DOC)
-    want = line_dedup.brute_force(docs)
+    want = brute_force(docs)
     assert {tuple(r) for r in line_dedup.repeated_lines(df).collect()} == want
     kept = {r["doc_id"]: r for r in line_dedup.deduplicated(df).collect()}
     for d, t in docs:
@@ -136,7 +176,7 @@ def test_short_lines(spark):
     docs = [(0, "}\n\n Return X \nb\n" + long), (1, "return x\n}\n\n  \nc\n" + long + "y\n" + long + "yz"), (2, "}\n" + long + "\n" + long + "y\nb "), (3, None)]
     df = spark.createDataFrame([(*d, "x") for d in docs], DOC)
     got = {tuple(r) for r in line_dedup.repeated_lines(df).collect()}
-    assert got == {(1, 0), (1, 1), (1, 6), (2, 0), (2, 1), (2, 2), (2, 3)} == line_dedup.brute_force(docs)
+    assert got == {(1, 0), (1, 1), (1, 6), (2, 0), (2, 1), (2, 2), (2, 3)} == brute_force(docs)
 
 
 def test_packing(spark):
@@ -245,11 +285,6 @@ def test_contextual_patterns(spark, monkeypatch, held):
     assert [s["kind"] for s in got[99]] == ["context"] == [s["kind"] for s in got[None]] and got[100] == [] and got[0][0]["kind"] == "phone"
 
 
-def test_digests_of_nothing(spark):
-    rows = chat.formatted(spark.sql(chat.PROBE)).collect()
-    assert len(rows) == 1 and hashlib.sha256(b"").hexdigest() == decontaminate.items_digest([])
-
-
 def test_benchmark_in_blocks(spark, monkeypatch):
     """A benchmark of several automata gives what one gives, with repeated rows, nulls and further columns."""
     docs = table(spark, "documents").select("doc_id", "text", "lang")
@@ -261,3 +296,51 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     assert sorted(map(repr, decontaminate.contamination(docs, items).collect())) == sorted(map(repr, want))
     assert sorted(map(repr, decontaminate.clean_documents(docs, items).collect())) == sorted(map(repr, kept))
     assert any(r["contaminated"] for r in want) and len(kept) < len(want)
+
+
+def test_very_long_item(spark, monkeypatch):
+    """An item of 5 MB, a document inside it and ties of items, against plain windows."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1 << 19)
+    rng = np.random.default_rng(6)
+    text = " ".join(f"w{x}" for x in rng.integers(0, 10**6, 650_000))
+    assert len(text) > 4_900_000
+    ws = text.split()
+    docs = [(1, " ".join(ws[70_000:70_100])), (2, " ".join(ws[5:17])), (3, " ".join(ws[-13:]) + " and more"), (4, " ".join(ws[300_000:300_020]) + " x " * 1000), (4, None)]
+    items = spark.createDataFrame([(7, text), (8, " ".join(ws[-13:])), (9, "and more")], "item_id long, text string")
+    got = {(r["doc_id"], r["n_words"]): (r["n_hit"], r["items"], r["contaminated"]) for r in decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == {(1, 100): (100, ["7"], True), (2, 12): (0, [], False), (3, 15): (15, ["7", "8", "9"], True), (4, 1020): (20, ["7"], False), (4, 0): (0, [], False)}
+
+
+def test_packing_of_odd_texts(spark):
+    """Null, empty and very long texts, repeated rows and null ids; no sequence is padded."""
+    docs = spark.createDataFrame([(None, None), (1, ""), (2, "a " * 300_000), (3, "same"), (3, "same")], "doc_id long, text string")
+    got = packing.packed(docs, packing.tokenizer_path(), with_ids=True).collect()
+    sizes = defaultdict(int)
+    for r in got:
+        sizes[r["sequence_id"]] += r["length"]
+    assert all(n == 1024 or n & (n - 1) == 0 and n <= 1024 for n in sizes.values())
+    by = defaultdict(list)
+    for r in sorted(got, key=lambda r: r["start"]):
+        by[r["doc_id"]] += r["ids"]
+    import tokenizers
+
+    own = tokenizers.Tokenizer.from_file(packing.tokenizer_path())
+    assert by[None] == [0] == by[1] and by[2] == [*own.encode("a " * 300_000, add_special_tokens=False).ids, 0]
+    assert sorted(by[3]) == sorted([*own.encode("same", add_special_tokens=False).ids, 0] * 2)
+
+
+def test_quality_by_brute_force(spark):
+    """Scores of every document of the table by a plain sum over its features; repeated labels count once, at their lowest grade."""
+    docs, labels = table(spark, "documents").select("doc_id", "text", "lang"), table(spark, "labels")
+    more = spark.createDataFrame([(None, None, "x"), (-1, "", None), (-1, "", None)], docs.schema)
+    twice = labels.unionByName(labels.withColumn("toxic", F.lit(1)).where("doc_id % 3 = 0").select(labels.columns))
+    grades = {r["doc_id"]: r["grade"] for r in quality.graded(twice).collect()}
+    assert len(grades) == labels.select("doc_id").distinct().count() and all(grades[d] == 0 for d in grades if d % 3 == 0)
+    model = quality.trained(docs, quality.graded(labels))
+    import pyarrow as pa
+
+    for r in quality.scored(docs.unionByName(more), model).collect():
+        (found,) = quality.features(pa.array([r["text"]], pa.string()))
+        score = sum(model.weights[int(x)] for x in found)
+        tails = [1 / (1 + np.exp(-(score - t))) for t in model.thresholds]
+        assert abs(r["p_best"] - tails[-1]) < 1e-9 and abs(r["expected_grade"] - sum(tails)) < 1e-9
