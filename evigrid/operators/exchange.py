@@ -14,7 +14,7 @@ from evigrid.plans.registry import query
 from evigrid.sources.tables import calibration_records, table
 
 #: What a provider declares: kinds of questions, questions a call, options a question, characters of a call's state, calls a request.
-PRIMITIVES, QUESTIONS, OPTIONS, STATE, ROUND_CALLS = ("click", "view", "signup", "purchase"), 20, 90, 600, 7
+PRIMITIVES, QUESTIONS, OPTIONS, STATE, ROUND_CALLS = ("click", "view", "signup", "purchase"), 20, 90, 600, 30
 
 
 def question_calls(questions: DataFrame, primitives: tuple[str, ...] = PRIMITIVES, size: int = QUESTIONS, options: int = OPTIONS, state: int = STATE, calls: int = ROUND_CALLS) -> DataFrame:
@@ -49,7 +49,7 @@ def question_calls(questions: DataFrame, primitives: tuple[str, ...] = PRIMITIVE
     return asked.unionByName(q.where("NOT fits").select("request", "question", F.lit("refused").alias("status"), F.lit(None).cast("bigint").alias("call")))
 
 
-_ASKED = f"""WITH RECURSIVE q AS (SELECT user_id AS request, event_id AS question, event_type IN ({", ".join(f"'{p}'" for p in PRIMITIVES)}) AND CAST(json_extract_string(props, '$.k') AS BIGINT) <= {OPTIONS} AS fits, CAST(floor(value * 10) AS BIGINT) AS chars FROM events),
+_ASKED = f"""WITH RECURSIVE q AS (SELECT user_id AS request, event_id AS question, event_type IN ({", ".join(f"'{p}'" for p in PRIMITIVES)}) AND CAST(json_extract_string(props, '$.k') AS BIGINT) <= {OPTIONS} AS fits, CAST(floor(value * 6) AS BIGINT) AS chars FROM events),
 b AS MATERIALIZED (SELECT request, question, chars, (row_number() OVER (PARTITION BY request ORDER BY question) - 1) // {QUESTIONS} AS batch, (row_number() OVER (PARTITION BY request ORDER BY question) - 1) % {QUESTIONS} AS i FROM q WHERE fits),
 f AS (SELECT request, batch, -1 AS i, 0 AS part, 0::BIGINT AS used, NULL::BIGINT AS question, false AS alone FROM b WHERE i = 0 UNION ALL
 SELECT b.request, b.batch, f.i + 1, CASE WHEN chars <= {STATE} AND used > 0 AND used + chars > {STATE} THEN part + 1 ELSE part END, CASE WHEN chars > {STATE} THEN used WHEN used > 0 AND used + chars > {STATE} THEN chars ELSE used + chars END, b.question, chars > {STATE} FROM f JOIN b ON b.request = f.request AND b.batch = f.batch AND b.i = f.i + 1),
@@ -60,9 +60,9 @@ UNION ALL SELECT request, question, 'refused', NULL FROM q WHERE NOT fits"""
 
 @query(_ASKED)
 def question_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as questions of their users: the kind is the type, the number of options the key, the size of the state ten times the value."""
+    """events as questions of their users: the kind is the type, the number of options the key, the size of the state six times the value."""
     k = F.get_json_object("props", "$.k").try_cast("bigint")
-    q = table(spark, sf_dir, "events").select(F.col("user_id").alias("request"), F.col("event_id").alias("question"), F.col("event_type").alias("primitive"), k.alias("options"), F.floor(F.col("value") * 10).alias("chars"))
+    q = table(spark, sf_dir, "events").select(F.col("user_id").alias("request"), F.col("event_id").alias("question"), F.col("event_type").alias("primitive"), k.alias("options"), F.floor(F.col("value") * 6).alias("chars"))
     return question_calls(q)
 
 
