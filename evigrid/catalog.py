@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from evigrid.operators import assembly, evaluation, exchange, planted, reservation, calibration, changes, decisions, generation, generators, identity, integrity, mutations, planning, provider, requests, scoring, search, statistics, versions
+from evigrid.operators import assembly, evaluation, excerpts, exchange, planted, reservation, calibration, changes, decisions, generation, generators, identity, integrity, mutations, planning, provider, requests, scoring, search, statistics, versions
 from evigrid.plans import registry
 from evigrid.sources import files, runs
 from evigrid.streaming import feed
 
-MODULES = (search, identity, versions, assembly, evaluation, reservation, planning, decisions, provider, requests, exchange, planted, scoring, statistics, calibration, integrity, changes, mutations, feed, generators, generation, files, runs)
+MODULES = (search, identity, versions, assembly, evaluation, reservation, planning, decisions, provider, requests, excerpts, exchange, planted, scoring, statistics, calibration, integrity, changes, mutations, feed, generators, generation, files, runs)
 
 
 def queries() -> dict[str, registry.Query]:

@@ -29,11 +29,11 @@ def provider_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
-SELECT r.user_id AS request_id, r.k AS artifact_id, substr(text, 1, 80) AS text FROM (SELECT DISTINCT user_id, k FROM e WHERE event_type = 'purchase') r
+SELECT r.user_id AS request_id, r.k AS artifact_id, sha256(text) AS text FROM (SELECT DISTINCT user_id, k FROM e WHERE event_type = 'purchase') r
 JOIN (SELECT DISTINCT user_id, k FROM e WHERE event_type <> 'purchase') f ON f.user_id = r.user_id AND f.k = r.k JOIN documents d ON d.doc_id = r.k WHERE lang IN ('en', 'fr')""")
 def trusted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 80 characters of what whole_trusted_texts hands over."""
-    return whole_trusted_texts(spark, sf_dir).withColumn("text", F.substring("text", 1, 80))
+    """Digests of what whole_trusted_texts hands over."""
+    return whole_trusted_texts(spark, sf_dir).withColumn("text", F.sha2(F.col("text").cast("binary"), 256))
 
 
 @query("""WITH e AS (SELECT user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
