@@ -101,6 +101,21 @@ def _without_credentials(bodies: pd.Series) -> pd.Series:
     return bodies.map(one)
 
 
+def write_markdown(rows: DataFrame, path: str, most: int = 10_000) -> None:
+    """A table for readers, in the order of rows, as one Markdown file; null is a dash. It is for summaries: more than `most` rows are refused."""
+    cells = [F.coalesce(F.replace(F.col(f"`{c}`").cast("string"), F.lit("|"), F.lit("\\|")), F.lit("-")) for c in rows.columns]
+    body = rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+    if len(found := body.head(most + 1)) > most:
+        raise ValueError(f"a report's table has {most} rows at most; write larger ones as JSON lines")
+    lines = [f"| {' | '.join(rows.columns)} |", "|" + "---|" * len(rows.columns), *(r["value"] for r in found)]
+    rows.sparkSession.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, text) of one file's lines, from 1."""
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("i", "text")).select((F.col("i") + 1).cast("bigint").alias("line"), "text")
+
+
 @query("SELECT source AS hub, count(*) AS rows, sum(CAST('0x' || left(sha256('{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\"}'), 8) AS BIGINT))::BIGINT AS digest FROM documents GROUP BY source")
 def rendered_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents' ids and languages rendered by source, and the manifest of the files."""

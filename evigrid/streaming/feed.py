@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evigrid.operators.changes import _VIEW
+from evigrid.operators.ordering import last_before
 from evigrid.plans.registry import query
 from evigrid.sources.scratch import shared_folder
 
@@ -80,6 +81,44 @@ def deliver_permitted(stream: DataFrame, revoked: DataFrame, folder: str) -> tup
     return rows.where("side = 'shown'").drop("side"), rows.where("side = 'refused'").drop("side")
 
 
+def deliver_anomalies(stream: DataFrame, folder: str) -> DataFrame:
+    """(event_id, anomaly): what should not happen in a request (user_id) at that moment.
+
+    A click opens a call, a purchase closes it. A signup inside a call is a token issued during it, a view outside of one uses a
+    binding that is not active, a click inside one is a second binding, an error is a mismatch. Whether a request is inside a call
+    is kept as a table of its own for each batch; inside a batch the last opening or closing before an event counts.
+    """
+    opens = F.when(F.col("event_type") == "click", True).when(F.col("event_type") == "purchase", False)
+
+    def batch(df: DataFrame, i: int) -> None:
+        spark = df.sparkSession
+        before = spark.read.parquet(f"{folder}/requests/batch={i - 1}") if i else spark.createDataFrame([], "user_id bigint, open boolean")
+        rows = last_before(df.select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], opens, "was").join(before, "user_id", "left")
+        inside = F.coalesce("was", "open", F.lit(False))
+        kind = F.col("event_type")
+        anomaly = F.when(kind == "error", "mismatch").when((kind == "signup") & inside, "issued_during_call").when((kind == "view") & ~inside, "inactive_binding").when((kind == "click") & inside, "second_binding")
+        rows.select("event_id", anomaly.alias("anomaly")).where("anomaly IS NOT NULL").write.mode("overwrite").parquet(f"{folder}/anomalies/batch={i}")
+        now = df.where(opens.isNotNull()).groupBy("user_id").agg(F.max_by(opens, F.struct("ts", "event_id")).alias("now"))
+        before.join(now, "user_id", "full").select("user_id", F.coalesce("now", "open").alias("open")).write.mode("overwrite").parquet(f"{folder}/requests/batch={i}")
+
+    drained(stream, folder, batch)
+    return stream.sparkSession.read.schema("event_id bigint, anomaly string, batch int").parquet(f"{folder}/anomalies").drop("batch")
+
+
+@query("""WITH s AS (SELECT *, coalesce(last_value(CASE event_type WHEN 'click' THEN true WHEN 'purchase' THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS inside FROM events),
+a AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'mismatch' WHEN event_type = 'signup' AND inside THEN 'issued_during_call' WHEN event_type = 'view' AND NOT inside THEN 'inactive_binding' WHEN event_type = 'click' AND inside THEN 'second_binding' END AS anomaly FROM s) SELECT * FROM a WHERE anomaly IS NOT NULL""")
+def stream_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deliver_anomalies(file_stream(spark, f"{sf_dir}/events.parquet"), shared_folder(spark))
+
+
+@query("SELECT user_id AS reader, CAST(props->>'$.k' AS BIGINT) AS subject, max(event_id) AS at_event FROM events WHERE event_type <> 'view' GROUP BY ALL")
+def stream_invalidations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each reader must read anew, with the change that said so last: a row for each reader and subject, so no reader's set is one value."""
+    changed = file_stream(spark, f"{sf_dir}/events.parquet").where("event_type <> 'view'")
+    state = changed.groupBy(F.col("user_id").alias("reader"), F.get_json_object("props", "$.k").cast("bigint").alias("subject")).agg(F.max("event_id").alias("at_event"))
+    return deliver_latest(state, shared_folder(spark), ["reader", "subject"])
+
+
 @query(f"WITH {_VIEW} SELECT * FROM v")
 def stream_reader_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deliver_views(file_stream(spark, f"{sf_dir}/events.parquet"), shared_folder(spark))

@@ -92,3 +92,49 @@ def test_templates(spark):
     assert (row["t"], [tuple(s) for s in row["s"]]) == ("éxy.", [("a", 1, 3), ("b", 3, 3)])
     rows = spark.createDataFrame([("f@r",), ("f@r/e",), ("none",)], "x string").select(assertion(F.col("x")).alias("a"))
     assert [r["a"] and tuple(r["a"]) for r in rows.collect()] == [("f", "r", None), ("f", "r", "e"), None]
+
+
+def case(name, **more):
+    spans = {"spans": [{"source_id": "s", "artifact_id": "a", "version": "v", "start": 0, "end": 2}]}
+    one = {"case_id": name, "family": "f", "interpretation_policy": "unique", "request": {"request_id": "req-1", "query": "q"}, "interpretations": [{"interpretation_id": "i", "entity_ref": "e"}]}
+    return one | {"obligations": [{"obligation_id": "o", "interpretation_id": "i", "weight": 2, "bundles": [spans]}]} | more
+
+
+def test_cases(spark, tmp_path):
+    one, two = put(tmp_path / "one", c1=case("c1")), put(tmp_path / "two", c2=case("c2", obligations=None))
+    rows = {r["case_id"]: r for r in declared.cases(spark, one, two).collect()}
+    assert (rows["c1"]["obligations"][0]["obtainable"], rows["c1"]["obligations"][0]["weight"], rows["c2"]["obligations"], rows["c2"]["relations"]) == (True, 2.0, [], [])
+    with pytest.raises(ValueError, match="of one name"):
+        declared.cases(spark, one, put(tmp_path / "three", c1=case("c3")))
+
+
+@pytest.mark.parametrize("bad", [{"interpretations": []}, {"interpretation_policy": "separate_alternatives"}, {"request": {"request_id": "req-x"}}, {"obligations": [{"obligation_id": "o", "interpretation_id": "i", "weight": 0}]}])
+def test_no_case(spark, tmp_path, bad):
+    with pytest.raises(ValueError, match="not a case"):
+        declared.cases(spark, put(tmp_path / "c", x=case("x", **bad)))
+
+
+def test_filler_dictionary(spark, tmp_path):
+    good = {"services": [{"key": "k", "repo": "r", "skill_name": "s", "doc_space": "d", "memory_name": "m"}], "noise_sentences": ["a", "b", "c"]}
+    rows = declared.filler_dictionary(spark, put(tmp_path / "f", filler=good))
+    assert {tuple(r) for r in declared.filler_natives(rows).collect()} == {("codehub", "r"), ("skillhub", "s"), ("dochub", "d"), ("memoryhub", "m")}
+    with pytest.raises(ValueError, match="three sentences"):
+        declared.filler_dictionary(spark, put(tmp_path / "g", filler=good | {"noise_sentences": ["a"]}))
+
+
+def test_providers(spark, tmp_path):
+    rows = declared.providers(spark, put(tmp_path / "p", p={"providers": {"a": {"kind": "http", "api_key_env": "KEY", "capabilities": {"max_options": 3}}, "b": {"kind": "standin"}}})).collect()
+    assert {r["name"]: (r["timeout_retry"], r["capabilities"]["max_options"], r["capabilities"]["primitives"]) for r in rows} == {"a": (1, 3, ["noul"]), "b": (1, 20, ["noul"])}
+    for bad in ({"kind": "http", "timeout_retry": 2}, {"kind": "http", "capabilities": {"max_options": 0}}, {}):
+        with pytest.raises(ValueError, match="out of its bounds"):
+            declared.providers(spark, put(tmp_path / "bad", p={"providers": {"a": bad}}))
+
+
+def test_template_of_hub_or_shared(spark, tmp_path):
+    for name, text in (("h/doc", "own"), ("shared/doc", "common"), ("shared/note", "note")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / f"{name}.txt").write_text(text)
+    wanted = spark.createDataFrame([("h", "doc"), ("k", "doc"), ("h", "note")], "hub string, kind string")
+    assert {tuple(r) for r in declared.templates(spark, str(tmp_path), wanted).collect()} == {("h", "doc", "own"), ("k", "doc", "common"), ("h", "note", "note")}
+    with pytest.raises(ValueError, match="no template"):
+        declared.templates(spark, str(tmp_path), spark.createDataFrame([("h", "gone")], "hub string, kind string"))

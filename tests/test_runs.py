@@ -46,3 +46,11 @@ def test_exchanges_hold_no_credentials(spark, tmp_path):
     runs.store_exchanges(nested, str(tmp_path / "y"))
     got = {r["round"]: r["body"] for r in spark.read.parquet(str(tmp_path / "y")).collect()}
     assert got == {1: '{"headers":{"n":1},"a":[{},2]}', 2: '{"headers":"plain"}', 3: None, 4: None}
+
+
+def test_markdown(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a|b"), (2, None)], "n int, t string").orderBy("n")
+    runs.write_markdown(rows, str(tmp_path / "r"))
+    assert [r["text"] for r in runs.read_lines(spark, str(tmp_path / "r")).orderBy("line").collect()] == ["| n | t |", "|---|---|", "| 1 | a\\|b |", "| 2 | - |"]
+    with pytest.raises(ValueError, match="1 rows at most"):
+        runs.write_markdown(rows, str(tmp_path / "s"), most=1)
