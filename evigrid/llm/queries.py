@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigrid.llm import chat, decontaminate, line_dedup, nearest, ngram_join, packing, pii, quality, secrets_scan, url_filter
+from evigrid.llm import chat, decontaminate, divergence, infill, line_dedup, nearest, ngram_join, packing, pii, quality, secrets_scan, token_files, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         secrets_scan.op8_secret_scan,
         pii.op9_personal_data,
         decontaminate.op10_benchmark_decontamination,
+        token_files.op11_token_files,
+        infill.op12_fill_in_middle,
+        divergence.op13_source_divergence,
     )
     return {f.__name__: f for f in functions}
 
@@ -31,4 +34,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_url_filters": url_filter.ORACLE,
         "op3_chat_formatting": chat.ORACLE,
         "op10_benchmark_decontamination": decontaminate.ORACLE,
+        "op12_fill_in_middle": infill.ORACLE,
+        "op13_source_divergence": divergence.ORACLE,
     }
