@@ -14,37 +14,35 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Ids in a block and blocks in a wave: together they bound what a wave holds (some 60 KB a block).
-BLOCK = 4096
-WAVE = 2048
+#: Ids in a block and blocks in a wave: together they bound what a wave holds (some 30 KB a block).
+BLOCK = 2048
+WAVE = 4096
 
 _U = np.uint64
 _32 = _U(32)
 _LOW = _U(1 << 32)
-#: The mixture's weights are parts of 2^12, and so are order 0's chances; an order's weight lies between the least and the most.
-_BITS = 12
-_ALL = 1 << _BITS
+#: The mixture's weights are parts of 2^12, order 0's chances of 2^11; an order's weight lies between the least and the most.
+_BITS, _PART_BITS = 12, 11
+_ALL, _PARTS = 1 << _BITS, 1 << _PART_BITS
 _LEAST, _MOST = 16, 3968
 #: Weights move by 1/2^4 of the way.
 _RATE = 4
 #: What an occurrence adds to an id's order-0 count, which begins at 1.
 _GAIN = 2
 #: First weight of a prediction by its confidence (0: none yet).
-_FIRST = np.array([16, 1700, 2600, 3100, 3350, 3500, 3600, 3680, 3740, 3790, 3830, 3860, 3890, 3910, 3930, 3950])
-#: The next confidence at [hit * 16 + confidence], and whether the named id stays.
-_NEXT = np.array([1, 1, 1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 6, 6, 7, 7, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 15], np.uint16)
-_STAYS = np.array([i > 15 or i > 1 for i in range(32)])
+_FIRST = np.array([16, 1700, 2600, 3100, 3400, 3600, 3750, 3900])
+_SURE = np.uint16(len(_FIRST) - 1)
 #: Contexts of order 2 in a block: hashed, without a check, as the decoder meets the same ones.
-_SLOTS = 1 << 12
+_SLOTS = 1 << 11
 
 
 def _first_weights() -> np.ndarray:
-    """Weights of orders 2 and 1 at [order, agree * 256 + confidence 2 * 16 + confidence 1]."""
+    """Weights of orders 2 and 1 at [order, agree * 64 + confidence 2 * 8 + confidence 1]."""
     sure2, sure1 = np.meshgrid(_FIRST, _FIRST, indexing="ij")
     free = _MOST + _LEAST - sure2
     apart = np.stack([sure2, np.maximum(_LEAST, sure1 * free >> _BITS)])
     agreed = np.stack([np.minimum(_MOST, sure2 + (sure1 * free >> _BITS)), np.full_like(sure1, _LEAST)])
-    return np.concatenate([apart.reshape(2, 256), agreed.reshape(2, 256)], axis=1).astype(np.int16)
+    return np.concatenate([apart.reshape(2, 64), agreed.reshape(2, 64)], axis=1).astype(np.int16)
 
 
 _WEIGHTS = _first_weights()
@@ -61,14 +59,14 @@ class _Wave:
         self.row2 = n * self.stride + np.arange(n, dtype=np.int64) * _SLOTS
         self.named = np.zeros(n * (self.stride + _SLOTS), np.uint16)
         self.weights = np.repeat(_WEIGHTS[:, None, :], n, axis=1).reshape(-1)
-        self.weight_row = np.arange(2, dtype=np.int64)[:, None] * (n * 512) + np.arange(n, dtype=np.int64) * 512
+        self.weight_row = np.arange(2, dtype=np.int64)[:, None] * (n * 128) + np.arange(n, dtype=np.int64) * 128
         self.alphabets = alphabets
         self.counts = (np.arange(self.stride)[None, :] < alphabets[:, None]).astype(np.int32)
 
     def spans(self) -> Iterator[tuple[int, int, int]]:
         """(from, to, m): runs of steps with the same m open blocks and the same order-0 parts, which are made up here.
 
-        parts[i, s] of the 2^12 parts are symbol s's: one, and its share of the rest; what rounding leaves is the first one's.
+        parts[i, s] of the 2^11 parts are symbol s's: one, and its share of the rest; what rounding leaves is the first one's.
         """
         t, again, end = 0, 0, int(self.lengths.max(initial=0))
         closing = np.unique(self.lengths)
@@ -76,9 +74,11 @@ class _Wave:
             m = int(np.count_nonzero(self.lengths > t))
             if t == again:
                 counts = self.counts[:m]
-                free = (_ALL - self.alphabets[:m]).astype(np.float64)
+                free = (_PARTS - self.alphabets[:m]).astype(np.float64)
                 self.parts = (counts > 0) + (counts * (free / counts.sum(axis=1))[:, None]).astype(np.int32)
-                self.parts[:, 0] += _ALL - self.parts.sum(axis=1, dtype=np.int32)
+                self.parts[:, 0] += _PARTS - self.parts.sum(axis=1, dtype=np.int32)
+                ends = np.cumsum(self.parts, axis=1, dtype=np.int32)
+                self.spread = (((ends - self.parts) << 12) | self.parts).reshape(-1)
                 again = t + max(8, min(256, t // 4))
             to = min(again, int(closing[np.searchsorted(closing, t, "right")]))
             yield t, to, m
@@ -92,22 +92,19 @@ class _Wave:
     def predict(self, at: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Names of orders 2 and 1 in the contexts `at` (2, m), order 2's weight, and both weights' sum."""
         self.at, self.entry = at, self.named.take(at)
-        self.sure, name = self.entry & np.uint16(15), self.entry >> np.uint16(4)
-        joint = (self.sure[0] << np.uint16(4)) | self.sure[1] | ((name[0] == name[1]).view(np.uint8).astype(np.uint16) << np.uint16(8))
+        self.sure, name = self.entry & _SURE, self.entry >> np.uint16(3)
+        joint = (self.sure[0] << np.uint16(3)) | self.sure[1] | ((name[0] == name[1]).view(np.uint8).astype(np.uint16) << np.uint16(6))
         self.weight_at = self.weight_row[:, :m] + joint
         self.weight = self.weights.take(self.weight_at)
         first = self.weight[0].astype(np.int64)
         return name, first, first + self.weight[1]
 
-    def narrow(self, by: np.ndarray, r: np.ndarray, first: np.ndarray, both: np.ndarray, start: np.ndarray, width: np.ndarray, m: int) -> None:
-        """Take the id's part of 2^24: the weight of the order that names it (by: (2, m)), else its order-0 start and width out of what both leave."""
+    def narrow(self, by: np.ndarray, r: np.ndarray, first: np.ndarray, both: np.ndarray, spread: np.ndarray, m: int) -> None:
+        """Take the id's part of 2^23: the weight of the order that names it (by: (2, m)), else its order-0 start and width out of what both leave."""
         left = _ALL - both
-        start = (both << _BITS) + start * left
-        width = width * left
-        np.copyto(start, first << _BITS, where=by[1])
-        np.copyto(width, (both - first) << _BITS, where=by[1])
-        np.copyto(start, 0, where=by[0])
-        np.copyto(width, first << _BITS, where=by[0])
+        two, upto = first << _PART_BITS, both << _PART_BITS
+        start = np.where(by[0], 0, np.where(by[1], two, upto + (spread >> 12) * left))
+        width = np.where(by[0], two, np.where(by[1], upto - two, (spread & 4095) * left))
         self.low[:m] += r * start.view(_U)
         np.multiply(r, width.view(_U), out=self.range[:m])
 
@@ -130,8 +127,8 @@ class _Wave:
 
     def learn(self, x: np.ndarray, hit: np.ndarray, by: np.ndarray) -> None:
         """x: the symbols; hit: which orders named them; by: which order's part was taken."""
-        state = (hit.view(np.uint8) << np.uint8(4)) | self.sure
-        self.named[self.at] = np.where(_STAYS.take(state), self.entry & np.uint16(0xFFF0), x.astype(np.uint16) << np.uint16(4)) | _NEXT.take(state)
+        surer = np.where(hit, np.minimum(self.sure + np.uint16(1), _SURE), np.maximum(self.sure >> np.uint16(1), np.uint16(1)))
+        self.named[self.at] = np.where(hit | (self.sure > 1), self.entry & np.uint16(0xFFF8), x.astype(np.uint16) << np.uint16(3)) | surer
         goal = np.where(by, np.int16(_MOST), np.int16(_LEAST))
         self.weights[self.weight_at] = self.weight + ((goal - self.weight) >> np.int16(_RATE))
 
@@ -157,16 +154,14 @@ def encoded(blocks: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
         near = symbols[t : to + 2, :m].astype(np.int64)
         xs, contexts = near[2:], _contexts(wave, near[1:-1], near[:-2], m)
         place = xs + wave.row[:m]
-        ends = np.cumsum(wave.parts, axis=1, dtype=np.int64)
-        widths = wave.parts.reshape(-1).take(place).astype(np.int64)
-        starts = ends.reshape(-1).take(place) - widths
+        spreads = wave.spread.take(place).astype(np.int64)
         for i in range(to - t):
             x = xs[i]
             name, first, both = wave.predict(contexts[i], m)
             hit = name == x
             by = hit.copy()
             by[1] &= ~hit[0]
-            wave.narrow(by, wave.range[:m] >> _U(2 * _BITS), first, both, starts[i], widths[i], m)
+            wave.narrow(by, wave.range[:m] >> _U(_BITS + _PART_BITS), first, both, spreads[i], m)
             short = wave.short(m)
             words[short, filled.take(short)] = wave.low.take(short) >> _32
             filled[short] += 1
@@ -192,26 +187,20 @@ def decoded(blocks: list[tuple[np.ndarray, np.ndarray, int]]) -> list[np.ndarray
     code, taken = (words[:, 0].astype(_U) << _32) | words[:, 1], np.full(n, 2)
     symbols = np.zeros((int(lengths.max(initial=0)), n), np.uint16)
     before, before2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    part_row = np.arange(n, dtype=np.int64) << _BITS
+    part_row = np.arange(n, dtype=np.int64) << _PART_BITS
     each = np.tile(np.arange(wave.stride, dtype=np.uint16), n)
     for t, to, m in wave.spans():
-        ends = np.cumsum(wave.parts, axis=1, dtype=np.int64).reshape(-1)
-        widths = wave.parts.reshape(-1)
-        owner = np.repeat(each[: len(widths)], widths)  # the symbol of each of a block's 2^12 parts
+        owner = np.repeat(each[: wave.parts.size], wave.parts.reshape(-1))  # the symbol of each of a block's 2^11 parts
         for i in range(t, to):
             name, first, both = wave.predict(_contexts(wave, before[:m], before2[:m], m), m)
-            r = wave.range[:m] >> _U(2 * _BITS)
-            v = np.minimum((code[:m] - wave.low[:m]) // r, _U(_ALL * _ALL - 1)).view(np.int64)
-            slot = v >> _BITS
+            r = wave.range[:m] >> _U(_BITS + _PART_BITS)
+            v = np.minimum((code[:m] - wave.low[:m]) // r, _U(_ALL * _PARTS - 1)).view(np.int64)
+            slot = v >> _PART_BITS
             by = np.stack([slot < first, slot < both])
             by[1] &= ~by[0]
-            part = np.maximum(v - (both << _BITS), 0).astype(np.int32) // (_ALL - both).astype(np.int32)
-            x = owner.take(part_row[:m] + part).astype(np.int64)
-            np.copyto(x, name[1], where=by[1])
-            np.copyto(x, name[0], where=by[0])
-            place = wave.row[:m] + x
-            width = widths.take(place).astype(np.int64)
-            wave.narrow(by, r, first, both, ends.take(place) - width, width, m)
+            part = np.maximum(v - (both << _PART_BITS), 0).astype(np.int32) // (_ALL - both).astype(np.int32)
+            x = np.where(by[0], name[0], np.where(by[1], name[1], owner.take(part_row[:m] + part))).astype(np.int64)
+            wave.narrow(by, r, first, both, wave.spread.take(wave.row[:m] + x).astype(np.int64), m)
             short = wave.short(m)
             code[short] = (code.take(short) << _32) | words[short, taken.take(short)]
             taken[short] += 1

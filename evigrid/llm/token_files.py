@@ -30,10 +30,13 @@ _PIECE = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("ordinal", "<i8"), ("beg
 _AFTER_CRC = 8
 
 #: Chunks between ASCII white space whose ids a worker remembers, and their bytes, at most; then it starts anew.
-CHUNKS, CHUNK_BYTES = 1 << 17, 1 << 24
+CHUNKS, CHUNK_BYTES = 1 << 19, 1 << 25
 #: A text is split in pieces of about so many bytes, at white space.
 SPAN = 1 << 20
 _SPACE = re.compile(rb"[\t-\r ]")
+# What the vocabulary's file splits text by, for letters, digits and signs up to U+00FF, all of which are normalised and lower-cased one by one.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_TOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\\[-`{-~]+")
 
 
 class ChunkTokenizer(dict):
@@ -46,27 +49,50 @@ class ChunkTokenizer(dict):
         import tokenizers
 
         self.library = tokenizers.Tokenizer.from_file(path)
+        self.model = self.library.model
+        self.written = str.maketrans({chr(byte): letter for byte, letter in _stand_ins().items()})
         self.forget()
 
     def forget(self) -> None:
         self.clear()
         self.new: list[bytes] = []
-        self.bytes, self.begin, self.size, self.ids = 0, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.tokens: dict[str, list[int]] = {}
+        self.bytes, self.n, self.filled = 0, 0, 0
+        self.begin, self.size, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
 
     def __missing__(self, chunk: bytes) -> int:
         code = self[chunk] = len(self)
         self.new.append(chunk)
         return code
 
+    def _ids(self, chunk: bytes) -> list[int]:
+        """A chunk's ids: of plain characters, token by token, as the library's model gives them; of others by the whole library."""
+        text = chunk.decode()
+        if "<|" in text or not _PLAIN.fullmatch(text):
+            return self.library.encode(text, add_special_tokens=False).ids
+        out = []
+        for token in _TOKEN.findall(text.lower()):
+            ids = self.tokens.get(token)
+            if ids is None:
+                ids = self.tokens[token] = [t.id for t in self.model.tokenize(token.encode().decode("latin-1").translate(self.written))]
+            out += ids
+        return out
+
     def _learn(self) -> None:
-        if self.new:
-            found = [e.ids for e in self.library.encode_batch([c.decode() for c in self.new], add_special_tokens=False)]
-            sizes = np.array([len(x) for x in found], np.int64)
-            self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(sizes) - sizes])
-            self.size = np.concatenate([self.size, sizes])
-            self.ids = np.concatenate([self.ids, *(np.array(x, np.uint32) for x in found)])
-            self.bytes += sum(map(len, self.new))
-            self.new = []
+        if not self.new:
+            return
+        found = [self._ids(c) for c in self.new]
+        sizes = np.array([len(x) for x in found], np.int64)
+        end, filled = self.n + len(found), self.filled + int(sizes.sum())
+        for name, most in (("begin", end), ("size", end), ("ids", filled)):
+            held = getattr(self, name)
+            if most > len(held):
+                setattr(self, name, np.concatenate([held, np.zeros(max(most, 2 * len(held)) - len(held), held.dtype)]))
+        self.begin[self.n : end] = self.filled + np.cumsum(sizes) - sizes
+        self.size[self.n : end] = sizes
+        self.ids[self.filled : filled] = [i for x in found for i in x]
+        self.bytes += sum(map(len, self.new))
+        self.n, self.filled, self.new = end, filled, []
 
     def __call__(self, text: bytes) -> Iterator[np.ndarray]:
         """The ids, in runs."""
@@ -86,6 +112,23 @@ class ChunkTokenizer(dict):
             at = to
 
 
+def _stand_ins() -> dict[int, str]:
+    """The printable letter for each byte in such vocabularies: printable Latin-1 for itself, the others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_TOKENIZERS: dict[str, ChunkTokenizer] = {}
+
+
+def _tokenizer(path: str) -> ChunkTokenizer:
+    """One a worker, kept from task to task with what it remembers."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = ChunkTokenizer(path)
+    return _TOKENIZERS[path]
+
+
 def _written(ids: np.ndarray, alphabet: np.ndarray, words: np.ndarray, pieces: list[tuple]) -> bytes:
     """A block's bytes."""
     gaps = np.diff(alphabet.astype(np.int64), prepend=-1) - 1
@@ -130,7 +173,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> N
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = ChunkTokenizer(tokenizer_path)
+        tokenizer = _tokenizer(tokenizer_path)
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
         full: list[tuple[np.ndarray, list[tuple]]] = []
         runs: list[np.ndarray] = []

@@ -41,9 +41,9 @@ def test_coder_extremes():
     """Blocks of one id, of one id repeated, of all different ids, random ones, and a repeated passage, which orders 1 and 2 make short."""
     rng = np.random.default_rng(1)
     passage = rng.integers(0, 40_000, 400)
-    blocks = [[7], [49_407] * 4096, list(range(4096)), rng.integers(0, 49_408, 4096), np.tile(passage, 10), rng.integers(0, 2, 4095)]
+    blocks = [[7], [49_407] * 2048, list(range(2048)), rng.integers(0, 49_408, 2048), np.tile(passage, 5), rng.integers(0, 2, 2047)]
     words = [len(w) for _, w in check(blocks)]
-    assert words[1] < 10 and words[4] < words[3] / 3
+    assert words[1] < 10 and words[4] < words[3] / 2
     alone = context_coder.encoded([np.array(blocks[4], np.uint32)])[0]  # a block's bytes don't depend on its wave
     assert (alone[1] == context_coder.encoded([np.array(b, np.uint32) for b in blocks])[4][1]).all()
     assert context_coder.encoded([]) == [] and context_coder.decoded([]) == []
@@ -56,7 +56,7 @@ def test_joined_crc():
 
 def test_tokenizer_like_library():
     """Chunks between ASCII white space, special strings, other white space, combining letters, contractions, emptied memory."""
-    texts = ["", " \n", "It's  o'clock\tDON'T", "a b\x1cc d\x85e", "x<|endoftext|>y <|startoftext|>", "é ́e ΣΑΣ Σ", "1234 $%&_ 日本語 😀", "İstanbul ﬁ", "a" * 5000]
+    texts = ["", " \n", "It's  o'clock\tDON'T", "a b\x1cc d\x85e", "x<|endoftext|>y <|startoftext|>", "é ́e ΣΑΣ Σ", "1234 $%&_ 日本語 😀", "İstanbul ﬁ", "a" * 5000, "Ünïcödé ÑANDÚ× ÷ ªº ÿŸ", "x_y[z]\\^`{|}~ 1st 2nd", "'S 'll'D", "<|x|> <|ENDOFTEXT|>", "ǅ ŉ ẞß"]
     tokenizer = token_files.ChunkTokenizer(token_files.tokenizer_path())
     for text, want in zip(texts, library(texts), strict=True):
         runs = list(tokenizer(text.encode()))
