@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +22,26 @@ experiment experimental version""".split()
 SUFFIXES = (("ization", ""), ("ation", ""), ("ize", ""), ("ies", "y"), ("ied", "y"), ("ing", ""), ("es", ""), ("ed", ""), ("s", ""))
 
 
+@cache
+def _bare_letters() -> tuple[str, str]:
+    """All letters (of alphabets, up to U+2FFF) that are another letter and marks, with that letter; then the marks themselves, which have no counterpart."""
+    letters, marks = {}, []
+    for code in range(0xC0, 0x3000):
+        c = chr(code)
+        if unicodedata.category(c) == "Mn":
+            marks.append(c)
+        elif c.isalpha():
+            base = [x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn"]
+            if len(base) == 1 and base[0] != c:
+                letters[c] = base[0]
+    return "".join([*letters, *marks]), "".join(letters.values())
+
+
+def without_marks(text: Column) -> Column:
+    """Letters of any script without accents and other marks."""
+    return F.translate(text, *_bare_letters())
+
+
 def words(text: Column) -> Column:
     """ASCII words, camel case split, lower-cased. Only a text with camel case pays for its splitting."""
     split = F.when(text.rlike("[a-z0-9][A-Z]"), F.regexp_replace(text, "(?<=[a-z0-9])(?=[A-Z])", " ")).otherwise(F.coalesce(text, F.lit("")))

@@ -145,8 +145,8 @@ _FTS_WORDS = r"regexp_extract_all(strip_accents(lower({})), '[\p{{L}}\p{{N}}]+')
 
 
 def fts_words(text: Column) -> Column:
-    """Words of any script, without the accents that the corpus holds."""
-    return F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), "äçèéêíñóöü", "aceeeinoou"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Words of any script, without accents."""
+    return F.regexp_extract_all(X.without_marks(F.lower(F.coalesce(text, F.lit("")))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 @query(rf"""WITH q AS (SELECT DISTINCT unnest({_FTS_WORDS.format("'" + QUESTION + "'")}) AS w), d AS (SELECT doc_id, lang, {_FTS_WORDS.format("coalesce(text, '')")} AS w FROM documents), s AS (SELECT count(*)::DOUBLE AS n, avg(len(w)::DOUBLE) AS average FROM d),

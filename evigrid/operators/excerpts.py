@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evigrid.plans.registry import query
 from evigrid.sources.tables import table
 
-#: Characters of an excerpt, of the compact one, and of the text's beginning where no line is taken.
+# Characters of an excerpt, of the compact one (also of its beginning), and of the text's beginning where no line is taken.
 MOST, COMPACT, BEGINNING = 1200, 350, 400
 
 # What assigns a value to a name, and what qualifies a line.
@@ -68,20 +68,20 @@ m AS (SELECT doc_id, i, length(line) AS size, regexp_matches(line, '[^ \t\r\f]')
 list_has_any(regexp_extract_all(lower(line), '[a-z0-9]+'), [{", ".join(f"'{t}'" for t in TERMS)}]) AND regexp_matches(line, '[^ \t\r\f]') OR (regexp_matches(line, '{ASSIGNMENT.replace("'", "''")}') AND regexp_matches(line, '[0-9]')) AS hit FROM l),
 n AS (SELECT *, sum(size + 1) OVER (PARTITION BY doc_id ORDER BY i) - size - 1 AS start, hit OR coalesce(lag(hit) OVER w, false) OR coalesce(lead(hit) OVER w, false) AS near FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 c AS (SELECT doc_id, i, start, size, qualifies FROM (SELECT *, bool_or(near AND filled) OVER (PARTITION BY doc_id) AS any_hit FROM n) WHERE filled AND (near OR (qualifies AND any_hit)))"""
-_TAKEN = f"SELECT doc_id AS artifact_id, CAST(start AS BIGINT) AS start, CAST(start + size AS BIGINT) AS end FROM k UNION ALL SELECT doc_id, 0, least(length(text), {BEGINNING}) FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM k)"
+_TAKEN = "SELECT doc_id AS artifact_id, CAST(start AS BIGINT) AS start, CAST(start + size AS BIGINT) AS end FROM k UNION ALL SELECT doc_id, 0, least(length(text), {}) FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM k)"
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("artifact_id"), "text")
 
 
-@query(f"WITH {_CHOSEN}, k AS (SELECT doc_id, start, size FROM (SELECT *, sum(size + 1) OVER (PARTITION BY doc_id ORDER BY i) AS used FROM c) WHERE used <= {MOST}) {_TAKEN}")
+@query(f"WITH {_CHOSEN}, k AS (SELECT doc_id, start, size FROM (SELECT *, sum(size + 1) OVER (PARTITION BY doc_id ORDER BY i) AS used FROM c) WHERE used <= {MOST}) {_TAKEN.format(BEGINNING)}")
 def text_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return excerpts(_texts(spark, sf_dir), TERMS)
 
 
 @query(f"""WITH RECURSIVE {_CHOSEN}, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY NOT qualifies, i) AS r FROM c WHERE size < {COMPACT}),
 f AS (SELECT doc_id, r, start, size, size + 1 AS used, true AS kept FROM o WHERE r = 1 UNION ALL SELECT o.doc_id, o.r, o.start, o.size, CASE WHEN used + o.size + 1 <= {COMPACT} THEN used + o.size + 1 ELSE used END, used + o.size + 1 <= {COMPACT} FROM f JOIN o ON o.doc_id = f.doc_id AND o.r = f.r + 1),
-k AS (SELECT doc_id, start, size FROM f WHERE kept) {_TAKEN}""")
+k AS (SELECT doc_id, start, size FROM f WHERE kept) {_TAKEN.format(COMPACT)}""")
 def compact_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return excerpts(_texts(spark, sf_dir), TERMS, COMPACT, qualifiers_first=True)
+    return excerpts(_texts(spark, sf_dir), TERMS, COMPACT, COMPACT, qualifiers_first=True)

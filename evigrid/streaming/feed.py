@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigrid.operators.changes import _VIEW
-from evigrid.operators.ordering import last_before
+from evigrid.operators.ordering import last_before, running
 from evigrid.plans.registry import query
 from evigrid.sources.scratch import shared_folder
 
@@ -31,16 +31,15 @@ def drained(stream: DataFrame, folder: str, batch: Callable[[DataFrame, int], No
 def deliver_views(stream: DataFrame, folder: str) -> DataFrame:
     """(reader, reader_seq, event_id, kind): each reader's events, densely numbered across batches.
 
-    A reader's last number is kept as a table of its own for each batch; numbers inside a batch are a window by reader, which spills.
+    A reader's last number is kept as a table of its own for each batch; numbers inside a batch are running sums over ranges.
     Errors are never shown. Order holds inside a batch by (ts, event_id), between batches by arrival.
     """
 
     def batch(df: DataFrame, i: int) -> None:
         spark = df.sparkSession
         last = spark.read.parquet(f"{folder}/readers/batch={i - 1}") if i else spark.createDataFrame([], "reader bigint, delivered bigint")
-        own = F.row_number().over(Window.partitionBy("reader").orderBy("ts", "event_id"))
-        shown = df.where("event_type <> 'error'").select(F.col("user_id").alias("reader"), "ts", "event_id", F.col("event_type").alias("kind")).withColumn("own", own)
-        rows = shown.join(last, "reader", "left").select("reader", (F.col("own") + F.coalesce("delivered", F.lit(0))).cast("bigint").alias("reader_seq"), "event_id", "kind")
+        shown = df.where("event_type <> 'error'").select(F.col("user_id").alias("reader"), "ts", "event_id", F.col("event_type").alias("kind"))
+        rows = running(shown, ["reader"], ["ts", "event_id"], F.lit(1), "own").join(last, "reader", "left").select("reader", (F.col("own") + F.coalesce("delivered", F.lit(0))).cast("bigint").alias("reader_seq"), "event_id", "kind")
         rows.write.mode("overwrite").parquet(f"{folder}/views/batch={i}")
         now = spark.read.parquet(f"{folder}/views/batch={i}").groupBy("reader").agg(F.max("reader_seq").alias("now"))
         kept = last.join(now, "reader", "full").select("reader", F.coalesce("now", "delivered").alias("delivered"))
