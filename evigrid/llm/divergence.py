@@ -7,6 +7,7 @@ combination occurs. Combinations with a zero are not made from rows: they follow
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,25 +21,58 @@ from evigrid.llm.common import checkpointed, limit_batches, table, thrifty
 LEAST, RANKS = 30, 50
 #: What p is a share of, and what each count is raised by.
 UNIT, RAISE = 1_000_000_000, 5
-#: ASCII characters that aren't letters: they stand between terms.
-_BETWEEN = "[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes to bytes: A-Z lower-cased, other ASCII characters that aren't letters to spaces, which stand between terms.
+_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
+#: Counted terms that a worker holds before it hands them on, and bytes of a text that are split at a time.
+HELD, SPAN = 1 << 18, 1 << 22
 #: Source-by-term cells that a worker looks at together.
 CELLS = 1 << 18
 
 
-def terms_of(text: Column) -> Column:
-    """A text's terms, in order, with repeats."""
-    return F.filter(F.split(F.translate(text, _UPPER, _LOWER), _BETWEEN), lambda t: t != "")
+def _runs(text: bytes) -> Iterator[list[bytes]]:
+    """A text's terms, in order, with repeats, a span at a time."""
+    text = text.translate(_TABLE)
+    at = 0
+    while at < len(text):
+        cut = text.find(b" ", at + SPAN)
+        to = cut if cut >= 0 else len(text)
+        yield text[at:to].split()
+        at = to
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences of each term, and documents that hold it, in each group. Nulls are read as ''."""
-    read = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), terms_of(F.coalesce("text", F.lit(""))).alias("t"))
-    # each occurrence, and each document's own terms once: added up before anything is shuffled
-    marks = [F.transform("t", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("docs"))), F.transform(F.array_distinct("t"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("docs")))]
-    each = read.select("lang", "source", F.explode(F.array(*marks)).alias("m")).select("lang", "source", F.explode("m").alias("m"))
-    return each.groupBy("lang", "source", "m.term").agg(F.sum("m.n").alias("n"), F.sum("m.docs").alias("docs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (n, in_docs) in counts.items():
+                terms = list(n)
+                columns = [pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()), pa.array(terms, pa.binary()).cast(pa.string())]
+                columns += [pa.array([n[t] for t in terms], pa.int64()), pa.array([in_docs[t] for t in terms], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+            counts.clear()
+
+        held = 0
+        for batch in batches:
+            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                n, in_docs = counts[lang, source]
+                own: set[bytes] = set()
+                held -= len(n)
+                for terms in _runs(text.as_buffer().to_pybytes()):
+                    n.update(terms)
+                    own.update(terms)
+                in_docs.update(own)
+                held += len(n)
+                if held > HELD:
+                    yield from handed_on()
+                    held = 0
+        yield from handed_on()
+
+    read = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    each = read.mapInArrow(thrifty(run), "lang string, source string, term string, n long, docs long")
+    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _share(count: Column, total: Column, terms: Column) -> Column:

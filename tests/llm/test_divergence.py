@@ -45,6 +45,9 @@ def rows(df, **how):
 def test_cases(spark, monkeypatch, cells):
     """Nulls, empty texts, groups without terms, a language without kept terms, ties, non-ASCII letters, repeated rows, clashing columns."""
     monkeypatch.setattr(divergence, "CELLS", cells)
+    if cells == 3:
+        monkeypatch.setattr(divergence, "HELD", 5)
+        monkeypatch.setattr(divergence, "SPAN", 50)
     rng = np.random.default_rng(4)
     vocabulary = ["Alpha", "beta", "élan", "ÉLAN", "日本", "x_y", "don't", "gamma1delta", "İ", "zeta", "ab", "aB"]
     docs = [(" ".join(rng.choice(vocabulary, rng.integers(0, 40))), ["en", "de"][i % 2], f"s{rng.integers(0, 6)}") for i in range(120)]
