@@ -50,8 +50,10 @@ def bm25(rows: DataFrame, question: str, key: str = "artifact_id", keep: tuple[s
     return scored.crossJoin(F.broadcast(total)).select(key, *keep, "raw", (F.col("w") / F.col("total")).alias("coverage"))
 
 
-_CTE = f"""
-q AS (SELECT DISTINCT {X.sql_stem("w")} AS term FROM (SELECT unnest({X.sql_words(f"'{QUESTION}'")}) AS w) WHERE w NOT IN ({X.SQL_STOPWORDS}) AND NOT regexp_matches(w, '^[0-9]+$')),
+def cte(question: str) -> str:
+    """CTEs up to s (artifact_id, location, raw, coverage) for one question of the example's reader."""
+    return f"""
+q AS (SELECT DISTINCT {X.sql_stem("w")} AS term FROM (SELECT unnest({X.sql_words(f"'{question}'")}) AS w) WHERE w NOT IN ({X.SQL_STOPWORDS}) AND NOT regexp_matches(w, '^[0-9]+$')),
 rows_ AS (SELECT * FROM documents WHERE lang IN ('en', 'fr')),
 tok AS (SELECT doc_id, source, unnest({X.sql_words("text")}) AS w FROM rows_),
 st AS (SELECT doc_id, source, {X.sql_stem("w")} AS term FROM tok),
@@ -65,8 +67,11 @@ s AS (SELECT tf.doc_id AS artifact_id, source AS location, sum(idf * tf * 2.2 /
 """
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25(readable(hub_rows(spark, sf_dir), GROUPS), QUESTION)
+_CTE = cte(QUESTION)
+
+
+def _scored(spark: SparkSession, sf_dir: str, question: str = QUESTION) -> DataFrame:
+    return bm25(readable(hub_rows(spark, sf_dir), GROUPS), question)
 
 
 def _rounded(*names: str) -> list[Column]:

@@ -60,9 +60,10 @@ def _gain(tf: Column, length: Column) -> Column:
 
 
 def search_batch(index: Index, questions: DataFrame, k: int = 10, first: int = FIRST) -> DataFrame:
-    """(question, rank, artifact_id, score): the k best artifacts for each of questions (question, groups, text) among those that its reader may see.
+    """(question, rank, artifact_id, score, coverage): the k best artifacts for each of questions (question, groups, text) among those that its reader may see.
 
-    Scores are BM25 in the reader's own pool, rounded to six places; ties go to the smaller artifact_id. A question without terms, or a reader
+    Scores are BM25 in the reader's own pool, rounded to six places; ties go to the smaller artifact_id. Coverage is the weighted share of the question's terms, of those
+    that the pool has at all, that the artifact has. A question without terms, or a reader
     without groups, finds nothing. Readers are told apart by their groups, so that those with the same ones share their statistics.
     """
     asked = questions.select("question", F.sort_array(F.array_distinct("groups")).alias("groups"), F.explode(X.content_terms(F.col("text"))).alias("term"))
@@ -73,15 +74,16 @@ def search_batch(index: Index, questions: DataFrame, k: int = 10, first: int = F
     # each reader's terms meet the blocks' heads; how many postings a reader sees of a term is a sum over them
     wanted = asked.select("groups", "term").distinct().join(seen.select("groups", "acl"), "groups").join(heads, ["term", "acl"])
     df = wanted.groupBy("groups", "term").agg(F.sum("n").alias("df"))
-    idf = df.join(pool, "groups").select("groups", "term", "average", F.log(1 + (F.col("pool") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weighed = written(asked.join(idf, ["groups", "term"]))  # (question, groups, term, average, idf)
+    idf = df.join(pool, "groups").select("groups", "term", "average", F.log(1 + (F.col("pool") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), F.log(1 + (F.col("pool") + 1) / (F.col("df") + 0.5)).alias("weight"))
+    weighed = asked.join(idf, ["groups", "term"])
+    weighed = written(weighed.join(weighed.groupBy("question").agg(F.sum("weight").alias("all")), "question"))  # (question, groups, term, average, idf, weight, all)
     bounds = weighed.join(seen.select("groups", "acl"), "groups").join(heads, ["term", "acl"])
     bounds = written(bounds.groupBy("question", "acl", "block").agg(F.sum(F.col("idf") * _gain(F.col("max_tf"), F.col("min_len"))).alias("bound")))
 
     def scored(chosen: DataFrame) -> DataFrame:
         each = weighed.join(chosen, "question").join(index.blocks.select("term", "acl", "block", "postings"), ["term", "acl", "block"])
-        each = each.select("question", "idf", "average", F.inline("postings"))
-        return each.groupBy("question", "artifact_id").agg(F.round(F.sum(F.col("idf") * _gain(F.col("tf"), F.col("len"))), 6).alias("score"))
+        each = each.select("question", "idf", "average", (F.col("weight") / F.col("all")).alias("part"), F.inline("postings"))
+        return each.groupBy("question", "artifact_id").agg(F.round(F.sum(F.col("idf") * _gain(F.col("tf"), F.col("len"))), 6).alias("score"), F.round(F.sum("part"), 6).alias("coverage"))
 
     def best(rows: DataFrame) -> DataFrame:
         order = Window.partitionBy("question").orderBy(F.desc("score"), "artifact_id")
@@ -90,10 +92,7 @@ def search_batch(index: Index, questions: DataFrame, k: int = 10, first: int = F
     highest = bounds.withColumn("r", F.row_number().over(Window.partitionBy("question").orderBy(F.desc("bound"), "acl", "block"))).where(F.col("r") <= first)
     needed = best(scored(highest.drop("bound", "r"))).where(F.col("rank") == k).select("question", F.col("score").alias("needed"))
     chosen = bounds.join(needed, "question", "left").where(F.col("needed").isNull() | (F.col("bound") >= F.col("needed") - SLACK)).select("question", "acl", "block")
-    return best(scored(chosen)).select("question", F.col("rank").cast("bigint").alias("rank"), "artifact_id", "score")
-
-
-_READER = "CASE item_id % 3 WHEN 0 THEN ['en'] WHEN 1 THEN ['en', 'fr'] ELSE ['de', 'es', 'fr'] END"
+    return best(scored(chosen)).select("question", F.col("rank").cast("bigint").alias("rank"), "artifact_id", "score", "coverage")
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +101,9 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question"), groups.alias("groups"), "text")
 
 
-_BATCH = f"""q0 AS (SELECT item_id AS question, item_id % 3 AS reader, unnest({X.sql_words("text")}) AS w FROM benchmark),
+def batch_sql(asked: str) -> str:
+    """CTEs up to s (question, artifact_id, score, coverage) for a relation asked (question, reader, text)."""
+    return f"""q0 AS (SELECT question, reader, unnest({X.sql_words("text")}) AS w FROM {asked}),
 q AS (SELECT DISTINCT question, reader, {X.sql_stem("w")} AS term FROM q0 WHERE w NOT IN ({X.SQL_STOPWORDS}) AND NOT regexp_matches(w, '^[0-9]+$')),
 seen AS (SELECT r AS reader, doc_id, text FROM documents, (VALUES (0, ['en']), (1, ['en', 'fr']), (2, ['de', 'es', 'fr'])) v(r, g) WHERE list_contains(g, lang)),
 tok AS (SELECT doc_id, unnest({X.sql_words("text")}) AS w FROM documents),
@@ -111,14 +112,18 @@ len AS (SELECT doc_id, greatest(len({X.sql_words("text")}), 1) AS len FROM docum
 pool AS (SELECT reader, count(*) AS n, avg(CAST(len AS DOUBLE)) AS average FROM seen JOIN len USING (doc_id) GROUP BY reader),
 tf AS (SELECT reader, doc_id, term, tf FROM tf0 JOIN seen USING (doc_id)),
 df AS (SELECT reader, term, count(*) AS df FROM tf GROUP BY ALL),
-s AS (SELECT question, tf.doc_id AS artifact_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / average))), 6) AS score
-  FROM q JOIN tf ON tf.reader = q.reader AND tf.term = q.term JOIN df ON df.reader = q.reader AND df.term = q.term JOIN pool ON pool.reader = q.reader JOIN len ON len.doc_id = tf.doc_id GROUP BY ALL)"""
+a AS (SELECT question, sum(ln(1 + (n + 1) / (df + 0.5))) AS total FROM q JOIN df USING (reader, term) JOIN pool USING (reader) GROUP BY question),
+s AS (SELECT question, tf.doc_id AS artifact_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / average))), 6) AS score, round(sum(ln(1 + (n + 1) / (df + 0.5)) / total), 6) AS coverage
+  FROM q JOIN a USING (question) JOIN tf ON tf.reader = q.reader AND tf.term = q.term JOIN df ON df.reader = q.reader AND df.term = q.term JOIN pool ON pool.reader = q.reader JOIN len ON len.doc_id = tf.doc_id GROUP BY ALL)"""
+
+
+_BATCH = batch_sql("(SELECT item_id AS question, item_id % 3 AS reader, text FROM benchmark)")
 
 
 @query(f"WITH {_BATCH} SELECT question, row_number() OVER (PARTITION BY question ORDER BY score DESC, artifact_id) AS rank, artifact_id, score FROM s QUALIFY rank <= 10")
 def search_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten hits for each benchmark text, from an index of all documents."""
-    return search_batch(build_index(hub_rows(spark, sf_dir), shared_folder(spark)), _questions(spark, sf_dir))
+    return search_batch(build_index(hub_rows(spark, sf_dir), shared_folder(spark)), _questions(spark, sf_dir)).drop("coverage")
 
 
 @query(f"WITH {_BATCH} SELECT question, count(*) AS visible_total FROM s GROUP BY question")
