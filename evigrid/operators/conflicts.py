@@ -91,7 +91,7 @@ QUESTIONS = (
 READERS = (("en",), ("en", "fr"), ("de", "es", "fr"))
 DOMAIN = ("en", "fr", "de", "es")
 
-_TRAITS = """'hub' || doc_id % 3 AS source, doc_id % 15 AS artifact, CASE WHEN doc_id % 9 > 0 THEN doc_id // 15 % 4 END AS version, CASE doc_id % 5 WHEN 0 THEN 'prod' WHEN 1 THEN 'staging' END AS environment,
+TRAITS = """'hub' || doc_id % 3 AS source, doc_id % 15 AS artifact, CASE WHEN doc_id % 9 > 0 THEN doc_id // 15 % 4 END AS version, CASE doc_id % 5 WHEN 0 THEN 'prod' WHEN 1 THEN 'staging' END AS environment,
   CASE doc_id % 6 WHEN 0 THEN 'implemented_behavior' WHEN 1 THEN 'intended_procedure' ELSE 'reference' END AS role, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN [0, 1] ELSE [doc_id % 3] END AS meanings,
   CASE WHEN doc_id % 7 > 0 THEN 'repo:' || lang || CASE doc_id % 3 WHEN 0 THEN '/retry-' || source WHEN 1 THEN '/license-work/' ELSE '/' || source END END AS location"""
 
@@ -146,7 +146,7 @@ HITS = 20
 _ASKED = ", ".join(f"({len(READERS) * i + r}, {r}, '{q}')" for i, q in enumerate(QUESTIONS) for r in range(len(READERS)))
 _UNITS = f"""asked AS (SELECT * FROM (VALUES {_ASKED}) v(question, reader, text)), {batch_sql("asked")},
 units AS (SELECT question AS request, row_number() OVER (PARTITION BY question ORDER BY score DESC, artifact_id) AS place, artifact_id AS unit, coverage, terms, d.* FROM s JOIN (SELECT question, list(term) AS terms FROM q GROUP BY question) USING (question)
-  JOIN (SELECT doc_id, text, {_TRAITS} FROM documents) d ON d.doc_id = artifact_id QUALIFY place <= {HITS})"""
+  JOIN (SELECT doc_id, text, {TRAITS} FROM documents) d ON d.doc_id = artifact_id QUALIFY place <= {HITS})"""
 
 
 def conflict_units(spark: SparkSession, sf_dir: str) -> DataFrame:

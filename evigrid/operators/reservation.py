@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evigrid.operators.search import _CTE, _scored
+from evigrid.functions import text as X
+from evigrid.operators.conflicts import DOMAIN, QUESTIONS, TRAITS, find_conflicts, sql_conflicts, traits
+from evigrid.operators.search import _scored, cte
 from evigrid.plans.registry import query
 from evigrid.sources.scratch import written
 from evigrid.sources.tables import table
@@ -149,10 +151,10 @@ _ONE = _sql_with("f.used", "f.taken", "s.i")
 _TWO = _sql_with("used1", "taken1", "j2")
 _UNITS = f"""u AS (SELECT *, CAST(row_number() OVER (PARTITION BY request ORDER BY extra, o_totalprice DESC, unit) AS INT) AS place, coverage >= 0.4 AS relevant FROM (
   SELECT o_custkey AS request, o_orderkey AS unit, o_totalprice, o_orderpriority AS source, o_orderstatus AS value, o_orderkey % 4 = 0 AS extra, CAST(100 + o_orderkey % 700 AS BIGINT) AS cost, CAST(o_orderkey % 10 AS DOUBLE) / 10 AS coverage, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey % 97 AS DOUBLE) END AS score FROM orders) QUALIFY place <= {CANDIDATES}),
-p AS (SELECT a.request, CAST(row_number() OVER (PARTITION BY a.request ORDER BY a.place, b.place) AS INT) AS ord, a.place AS i, b.place AS j FROM u a JOIN u b ON a.request = b.request AND a.source = b.source AND a.place < b.place AND a.value <> b.value AND NOT a.extra AND NOT b.extra AND a.place <= 8 AND b.place <= 8 QUALIFY ord <= 6),"""
+p AS (SELECT a.request, CAST(row_number() OVER (PARTITION BY a.request ORDER BY a.place, b.place) AS INT) AS ord, ord > 3 AS promoted, a.place AS i, b.place AS j FROM u a JOIN u b ON a.request = b.request AND a.source = b.source AND a.place < b.place AND a.value <> b.value AND NOT a.extra AND NOT b.extra AND a.place <= 8 AND b.place <= 8 QUALIFY ord <= 6),"""
 _FOLD = f"""l AS (SELECT request, list(cost ORDER BY place) AS cs, list(source ORDER BY place) AS ss, list(coalesce(score, -1) ORDER BY place) AS sc, list(unit ORDER BY place) AS us, list(relevant ORDER BY place) AS rs, max(coverage) AS top FROM u GROUP BY request),
 st AS (SELECT request, kind, i, j, n, needed, row_number() OVER (PARTITION BY request ORDER BY kind, n, i) AS step FROM (
-  SELECT request, CASE WHEN ord > 3 THEN 2 ELSE 0 END AS kind, i, j, ord AS n, false AS needed FROM p UNION ALL
+  SELECT request, CASE WHEN promoted THEN 2 ELSE 0 END AS kind, i, j, ord AS n, false AS needed FROM p UNION ALL
   SELECT request, CASE WHEN extra THEN 3 ELSE 1 END, place, NULL, NULL, NOT extra AND relevant AND coverage >= top - 1e-9 FROM u JOIN l USING (request))),
 fold AS (SELECT request, 0::BIGINT AS step, 0::BIGINT AS used, []::INT[] AS taken, []::INT[] AS rules, []::INT[] AS flagged, false AS missed FROM l
   UNION ALL SELECT request, step, CASE WHEN fits THEN used2 ELSE used END, CASE WHEN fits THEN taken2 ELSE taken END, CASE WHEN kind <= 1 THEN CASE WHEN fits THEN taken2 ELSE taken END ELSE rules END,
@@ -192,19 +194,24 @@ def reorder_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _example(spark, sf_dir).select("request", F.array_join("violations", ",").alias("lost"), F.size("rules").cast("bigint").alias("rules"))
 
 
-_ASSEMBLED = f"""WITH RECURSIVE found AS (WITH {_CTE} SELECT * FROM s), best AS (SELECT location, max(raw) AS best FROM found GROUP BY location),
-scored AS (SELECT s.*, raw / best AS score, d.text, d.lang, d.n_chars FROM found s JOIN best USING (location) JOIN documents d ON d.doc_id = artifact_id),
+#: The example's question, of which texts say something with numbers.
+ASSEMBLED = QUESTIONS[0]
+
+_ASSEMBLED = f"""WITH RECURSIVE hits AS (WITH {cte(ASSEMBLED)} SELECT * FROM s), best AS (SELECT location, max(raw) AS best FROM hits GROUP BY location),
+scored AS (SELECT s.*, raw / best AS score, d.text, d.lang, d.n_chars FROM hits s JOIN best USING (location) JOIN documents d ON d.doc_id = artifact_id),
 c AS (SELECT *, -round(score * coverage, 6) AS a1, -round(coverage, 6) AS a2, location <> 'src0' AS a3 FROM scored),
 k AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY a3, a1, a2, location, artifact_id) AS copy FROM c),
 u AS (SELECT 0 AS request, artifact_id AS unit, CAST(row_number() OVER (ORDER BY a1, a2, a3, location, artifact_id) AS INT) AS place, false AS extra, CAST(n_chars // 3 + 64 AS BIGINT) AS cost, location AS source, lang AS value, coverage >= 0.4 AS relevant, round(coverage, 6) AS coverage, CAST(NULL AS DOUBLE) AS score FROM k WHERE copy = 1 QUALIFY place <= {CANDIDATES}),
-p AS (SELECT a.request, CAST(row_number() OVER (ORDER BY a.place, b.place) AS INT) AS ord, a.place AS i, b.place AS j FROM u a JOIN u b ON a.source = b.source AND a.place < b.place AND a.value <> b.value AND a.place <= 8 AND b.place <= 8 QUALIFY ord <= 6),
+units AS (SELECT request, place, unit, coverage, t.terms, d.* FROM u JOIN (SELECT doc_id, text, {TRAITS} FROM documents) d ON d.doc_id = unit, (WITH {cte(ASSEMBLED)} SELECT list(term) AS terms FROM q) t),
+{sql_conflicts("units")},
+p AS (SELECT found.request, CAST(n AS INT) AS ord, false AS promoted, a.place AS i, b.place AS j FROM found JOIN u a ON a.unit = left_unit JOIN u b ON b.unit = right_unit WHERE kind = 'conflict'),
 {_FOLD}"""
 
 
 @query(f"{_ASSEMBLED} SELECT array_to_string(list_transform(final, lambda i: us[i]), ',') AS chosen, {_sql_cost('final')} AS used, array_to_string(list_transform(kept, lambda x: x.o), ',') AS flagged, missed OR len(missing) > 0 OR len(list_filter(t, lambda i: NOT list_contains(fitting, i) AND rs[i])) > 0 AS truncated FROM r")
 def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A request from its question to its evidence by rules alone: search, order, copies, conflicts, budget."""
-    rows = _scored(spark, sf_dir)
+    """A request from its question to its evidence by rules alone: search, order, copies, conflicts of the texts, budget. Nothing judges pairs, so none is promoted."""
+    rows = _scored(spark, sf_dir, ASSEMBLED)
     best = rows.groupBy("location").agg(F.max("raw").alias("best"))
     keys = rows.join(best, "location").select("artifact_id", "location", "coverage", (-F.round(F.col("raw") / F.col("best") * F.col("coverage"), 6)).alias("a1"), (-F.round("coverage", 6)).alias("a2"), (F.col("location") != "src0").alias("a3"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("artifact_id"), "lang", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_hash"))
@@ -217,8 +224,11 @@ def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
         "request", F.col("artifact_id").alias("unit"), place.alias("place"), F.lit(False).alias("extra"), F.expr("n_chars div 3 + 64").cast("bigint").alias("cost"), F.col("location").alias("source"), F.col("lang").alias("value"), (F.col("coverage") >= 0.4).alias("relevant"), F.round("coverage", 6).alias("coverage"), F.lit(None).cast("double").alias("score")
     )
     units = written(units)
-    few = units.where("place <= 8")
-    a, b = few.select("request", F.col("place").alias("i"), "source", "value"), few.select("request", F.col("place").alias("j"), "source", F.col("value").alias("other"))
-    pairs = a.join(b, ["request", "source"]).where("i < j AND value <> other").withColumn("ord", F.row_number().over(Window.partitionBy("request").orderBy("i", "j"))).where("ord <= 6")
-    out = packed(units.drop("value"), pairs.select("request", "ord", "i", "j", (F.col("ord") > 3).alias("promoted")), BUDGET, GAP)
+    terms = F.broadcast(spark.range(1).select(X.content_terms(F.lit(ASSEMBLED)).alias("terms")))  # one row
+    compared = units.select("request", "place", "unit", "coverage").crossJoin(terms).join(traits(table(spark, sf_dir, "documents")), F.col("unit") == F.col("doc_id"))
+    places = units.select("unit", "place")
+    pairs = find_conflicts(compared, DOMAIN).where("kind = 'conflict'").drop("i", "j")
+    pairs = pairs.join(places.select(F.col("unit").alias("left_unit"), F.col("place").alias("i")), "left_unit").join(places.select(F.col("unit").alias("right_unit"), F.col("place").alias("j")), "right_unit")
+    pairs = pairs.select("request", F.col("n").cast("int").alias("ord"), "i", "j", F.lit(False).alias("promoted"))
+    out = packed(units.drop("value"), pairs, BUDGET, GAP)
     return out.select(F.array_join("chosen", ",").alias("chosen"), "used", F.array_join("flagged", ",").alias("flagged"), "truncated")
