@@ -49,8 +49,3 @@ def render_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A filled template and the exact place of a value in it."""
     p = table(spark, sf_dir, "part")
     return p.select("p_partkey", F.concat(F.lit("Part "), "p_name", F.lit(" costs "), F.col("p_size").cast("string"), F.lit(".")).alias("text"), F.lit(5).alias("start"), (F.lit(5) + F.length("p_name")).cast("bigint").alias("end"))
-
-
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
-def json_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k")).where("k IS NOT NULL")

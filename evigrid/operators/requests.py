@@ -203,14 +203,6 @@ def drawn_latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls(spark, sf_dir).select("source_id", "call_id", F.round(F.lit(40) * F.exp(F.log(F.lit(250 / 40)) / Z95 * z), 6).alias("latency_ms"))
 
 
-@query("SELECT o_custkey AS request, list_transform(list(CAST(o_totalprice AS DOUBLE) / 7 ORDER BY o_orderkey), lambda x: round(x, 4))[1] AS first, round(max(CAST(o_totalprice AS DOUBLE) / 7), 4) AS most FROM orders GROUP BY o_custkey")
-def rounded_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every number of a nested report is rounded to four places, inside lists too."""
-    report = F.array_sort(F.collect_list(F.struct("o_orderkey", (F.col("o_totalprice").cast("double") / 7).alias("v"))))
-    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("request")).agg(F.struct(report.alias("all"), F.max(F.col("o_totalprice").cast("double") / 7).alias("most")).alias("r"))
-    return rows.select("request", F.get(F.transform("r.all", lambda x: F.round(x["v"], 4)), F.lit(0)).alias("first"), F.round("r.most", 4).alias("most"))
-
-
 _PLANS = f"""pl AS (SELECT o_custkey AS request, o_orderkey AS plan, o_orderkey % 5 = 0 AS required, CAST(o_orderkey % 3 + 1 AS BIGINT) AS calls FROM orders)"""
 
 
