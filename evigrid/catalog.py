@@ -5,9 +5,9 @@ from __future__ import annotations
 from evigrid.operators import assembly, conflicts, json_walk, leaks, ledger, search_index, evaluation, excerpts, exchange, planted, reservation, calibration, changes, decisions, generation, generators, identity, integrity, mutations, planning, provider, reports, requests, scoring, search, statistics, versions
 from evigrid.plans import registry
 from evigrid.sources import files, runs
-from evigrid.streaming import feed
+from evigrid.streaming import deadlines, feed
 
-MODULES = (search, search_index, leaks, ledger, conflicts, json_walk, identity, versions, assembly, evaluation, reservation, planning, decisions, provider, requests, excerpts, exchange, planted, reports, scoring, statistics, calibration, integrity, changes, mutations, feed, generators, generation, files, runs)
+MODULES = (search, search_index, leaks, ledger, conflicts, json_walk, identity, versions, assembly, evaluation, reservation, planning, decisions, provider, requests, excerpts, exchange, planted, reports, scoring, statistics, calibration, integrity, changes, mutations, feed, deadlines, generators, generation, files, runs)
 
 
 def queries() -> dict[str, registry.Query]:

@@ -39,3 +39,32 @@ def test_refused_events_are_kept_aside(spark, tmp_path):
     put(spark, tmp_path / "in", [event(1, 1), event(2, 1, 2)])
     shown, refused = feed.deliver_permitted(feed.file_stream(spark, str(tmp_path / "in")), spark.createDataFrame([(2,)], "user_id bigint"), str(tmp_path / "work"))
     assert [r["event_id"] for r in shown.collect()] == [1] and [r["event_id"] for r in refused.collect()] == [2]
+
+
+CALL = "call_id bigint, request_id bigint, ts timestamp_ntz, opens boolean"
+
+
+def test_call_deadlines(spark, tmp_path):
+    """A timer closes a silent request's call once; a late answer is unmatched; a second call is refused while one is open; state holds open calls only."""
+    from evigrid.streaming import deadlines
+
+    def at(minute):
+        return dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minute)
+
+    slices = [
+        [(1, 1, at(0), True), (2, 1, at(2), False), (3, 2, at(3), True), (4, 2, at(4), True), (5, 3, at(5), True)],
+        [(6, 2, at(9), False), (7, 3, at(20), False), (8, 4, at(21), True), (9, 1, at(22), True)],
+        [(10, 9, at(60), True), (11, 4, at(61), False)],
+        [(12, 10, at(100), False)],
+    ]
+    seen = []
+    for rows in slices:
+        spark.createDataFrame(rows, CALL).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        got = deadlines.call_verdicts(feed.file_stream(spark, str(tmp_path / "in"), 1), str(tmp_path / "work"), 10 * 60_000, "1 minute")
+        seen.append(sorted((r["call_id"], r["request_id"], r["verdict"]) for r in got.collect()))
+    assert seen[0] == [(1, 1, "answered"), (4, 2, "refused")]
+    assert seen[1] == sorted([*seen[0], (3, 2, "answered"), (5, 3, "timeout"), (7, 3, "unmatched")])
+    assert seen[2] == sorted([*seen[1], (8, 4, "timeout"), (9, 1, "timeout"), (11, 4, "unmatched")])
+    assert seen[3] == sorted([*seen[2], (10, 9, "timeout"), (12, 10, "unmatched")])
+    state = spark.read.format("statestore").option("stateVarName", "open").load(str(tmp_path / "work" / "progress"))
+    assert state.count() == 0  # all calls are closed
