@@ -29,20 +29,23 @@ _HEAD = np.dtype([("magic", "<u4"), ("crc", "<u4"), ("ids_crc", "<u4"), ("ids",
 _PIECE = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("ordinal", "<i8"), ("begin", "<i8"), ("first", "<i8"), ("length", "<u4"), ("last", "u1")])
 _AFTER_CRC = 8
 
-#: Chunks between ASCII white space whose ids a worker remembers, and their bytes, at most; then it starts anew.
-CHUNKS, CHUNK_BYTES = 1 << 19, 1 << 25
+#: Strings whose ids a worker remembers, and their bytes, at most; then it starts anew.
+STRINGS, STRING_BYTES = 1 << 19, 1 << 25
 #: A text is split in pieces of about so many bytes, at white space.
 SPAN = 1 << 20
 _SPACE = re.compile(rb"[\t-\r ]")
 # What the vocabulary's file splits text by, for letters, digits and signs up to U+00FF, all of which are normalised and lower-cased one by one.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_TOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\\[-`{-~]+")
+_PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
+_SIGNS = re.compile("('(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\\[-`{-~]+)")
+_ASCII_SPACE = re.compile("[\t-\r ]+")
 
 
-class ChunkTokenizer(dict):
-    """Ids of the tokenizers library for a vocabulary that drops white space: text between ASCII white space is tokenised once and remembered.
+class RememberingTokenizer(dict):
+    """Ids of the tokenizers library for a vocabulary that drops white space; what was tokenised once is remembered.
 
-    Such a chunk's ids do not depend on what stands around it: normalisation does not reach over white space, and neither does a token.
+    A piece of plain characters is split into the library's own pre-tokens, each of which its model gets once. In other pieces the strings between ASCII
+    white space go to the whole library, each once: their ids do not depend on what stands around them, as neither normalisation nor a token
+    reaches over white space.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,28 +58,20 @@ class ChunkTokenizer(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.new: list[bytes] = []
-        self.tokens: dict[str, list[int]] = {}
+        self.new: list[str] = []
         self.bytes, self.n, self.filled = 0, 0, 0
         self.begin, self.size, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
 
-    def __missing__(self, chunk: bytes) -> int:
-        code = self[chunk] = len(self)
-        self.new.append(chunk)
+    def __missing__(self, string: str) -> int:
+        code = self[string] = len(self)
+        self.new.append(string)
         return code
 
-    def _ids(self, chunk: bytes) -> list[int]:
-        """A chunk's ids: of plain characters, token by token, as the library's model gives them; of others by the whole library."""
-        text = chunk.decode()
-        if "<|" in text or not _PLAIN.fullmatch(text):
-            return self.library.encode(text, add_special_tokens=False).ids
-        out = []
-        for token in _TOKEN.findall(text.lower()):
-            ids = self.tokens.get(token)
-            if ids is None:
-                ids = self.tokens[token] = [t.id for t in self.model.tokenize(token.encode().decode("latin-1").translate(self.written))]
-            out += ids
-        return out
+    def _ids(self, string: str) -> list[int]:
+        """A pre-token is kept with a space before it; other strings have none."""
+        if string[0] != " ":
+            return self.library.encode(string, add_special_tokens=False).ids
+        return [t.id for t in self.model.tokenize(string[1:].encode().decode("latin-1").translate(self.written))]
 
     def _learn(self) -> None:
         if not self.new:
@@ -100,14 +95,18 @@ class ChunkTokenizer(dict):
         while at < len(text):
             cut = _SPACE.search(text, at + SPAN) if len(text) > at + SPAN else None
             to = cut.start() if cut else len(text)
-            chunks = text[at:to].split()
-            codes = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
+            piece = text[at:to].decode()
+            if "<|" not in piece and _PLAIN.fullmatch(piece):
+                strings = [" " + s for s in _SIGNS.sub(r" \1 ", piece.lower()).split()]
+            else:
+                strings = [s for s in _ASCII_SPACE.split(piece) if s]
+            codes = np.fromiter(map(self.__getitem__, strings), np.int64, len(strings))
             self._learn()
             size = self.size.take(codes)
             ends = np.cumsum(size)
-            if len(ends):
+            if len(ends) and ends[-1]:
                 yield self.ids.take(np.arange(ends[-1]) + np.repeat(self.begin.take(codes) - ends + size, size))
-            if len(self) > CHUNKS or self.bytes > CHUNK_BYTES:
+            if len(self) > STRINGS or self.bytes > STRING_BYTES:
                 self.forget()
             at = to
 
@@ -119,13 +118,13 @@ def _stand_ins() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-_TOKENIZERS: dict[str, ChunkTokenizer] = {}
+_TOKENIZERS: dict[str, RememberingTokenizer] = {}
 
 
-def _tokenizer(path: str) -> ChunkTokenizer:
+def _tokenizer(path: str) -> RememberingTokenizer:
     """One a worker, kept from task to task with what it remembers."""
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = ChunkTokenizer(path)
+        _TOKENIZERS[path] = RememberingTokenizer(path)
     return _TOKENIZERS[path]
 
 
@@ -318,25 +317,30 @@ def joined_crc(crcs: list[int], sizes: list[int]) -> int:
 
 
 def _crc_of_pieces(pieces: pd.Series) -> pd.Series:
-    """The crc32 of each document, from its pieces in order, which have to follow one another up to the last one."""
+    """The crc32 of each document of several pieces (null for others), which have to follow one another up to the last one."""
 
-    def one(rows) -> int:
+    def one(rows) -> int | None:
+        if rows is None:
+            return None
         ends = [r["first"] + r["length"] for r in rows]
         if [r["first"] for r in rows] != [0, *ends[:-1]] or [r["last"] for r in rows] != [False] * (len(rows) - 1) + [True]:
             raise ValueError("blocks of a document are missing or repeated")
-        return rows[0]["crc32"] if len(rows) == 1 else joined_crc([r["crc32"] for r in rows], [4 * r["length"] for r in rows])
+        return joined_crc([r["crc32"] for r in rows], [4 * r["length"] for r in rows])
 
-    return pieces.map(one)
+    return pieces.map(one, na_action="ignore").astype("Int64")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document in the folder; start: the ids of all documents before it."""
     piece = F.struct("first", "length", "crc32", "last")
     documents = read_pieces(spark, path).groupBy("part", "ordinal").agg(F.max("doc_id").alias("doc_id"), F.max("begin").alias("begin"), F.sum("length").alias("n_tokens"), F.sort_array(F.collect_list(piece)).alias("pieces"))
+    only = F.get("pieces", F.lit(0))
+    several = F.when((F.size("pieces") > 1) | (only["first"] > 0) | ~only["last"], F.col("pieces"))
+    crc = F.coalesce(F.pandas_udf(_crc_of_pieces, "long")(several), only["crc32"])
     sizes = blocks(spark, path).groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row a file
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return documents.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("begin")).alias("start"), "n_tokens", F.pandas_udf(_crc_of_pieces, "long")("pieces").alias("ids_crc32"))
+    return documents.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("begin")).alias("start"), "n_tokens", crc.alias("ids_crc32"))
 
 
 def tokenizer_path() -> str:

@@ -56,8 +56,8 @@ def test_joined_crc():
 
 def test_tokenizer_like_library():
     """Chunks between ASCII white space, special strings, other white space, combining letters, contractions, emptied memory."""
-    texts = ["", " \n", "It's  o'clock\tDON'T", "a b\x1cc d\x85e", "x<|endoftext|>y <|startoftext|>", "é ́e ΣΑΣ Σ", "1234 $%&_ 日本語 😀", "İstanbul ﬁ", "a" * 5000, "Ünïcödé ÑANDÚ× ÷ ªº ÿŸ", "x_y[z]\\^`{|}~ 1st 2nd", "'S 'll'D", "<|x|> <|ENDOFTEXT|>", "ǅ ŉ ẞß"]
-    tokenizer = token_files.ChunkTokenizer(token_files.tokenizer_path())
+    texts = ["", " \n", "It's  o'clock\tDON'T", "a b\x1cc d\x85e", "x<|endoftext|>y <|startoftext|>", "é ́e ΣΑΣ Σ", "1234 $%&_ 日本語 😀", "İstanbul ﬁ", "a" * 5000, "Ünïcödé ÑANDÚ× ÷ ªº ÿŸ", "x_y[z]\\^`{|}~ 1st 2nd", "'S 'll'D", "<|x|> <|ENDOFTEXT|>", "ǅ ŉ ẞß", "we'll, 'tis ''s x's'd 3's can't've", "ä'sÖ", "plain ASCII only, isn't it?", "\xa0nbsp\xadsoft"]
+    tokenizer = token_files.RememberingTokenizer(token_files.tokenizer_path())
     for text, want in zip(texts, library(texts), strict=True):
         runs = list(tokenizer(text.encode()))
         assert np.concatenate([*runs, [END]]).tolist() == want
@@ -67,9 +67,9 @@ def test_tokenizer_like_library():
 
 def test_long_text_in_spans(monkeypatch):
     monkeypatch.setattr(token_files, "SPAN", 50)
-    monkeypatch.setattr(token_files, "CHUNKS", 7)
+    monkeypatch.setattr(token_files, "STRINGS", 7)
     text = " ".join(f"word{i % 13} x\n{i}" for i in range(200))
-    assert np.concatenate([*token_files.ChunkTokenizer(token_files.tokenizer_path())(text.encode()), [END]]).tolist() == library([text])[0]
+    assert np.concatenate([*token_files.RememberingTokenizer(token_files.tokenizer_path())(text.encode()), [END]]).tolist() == library([text])[0]
 
 
 def want_rows(docs, ids):
