@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from evigrid.llm.common import limit_batches, shared_folder, table, thrifty
 from evigrid.llm.context_coder import BLOCK, WAVE, decoded, encoded
+from evigrid.llm.hashing import mix, prefix_sums, slices
 
 #: Fixed values of the file format.
 MAGIC = 0x31584D43
@@ -29,23 +30,67 @@ _HEAD = np.dtype([("magic", "<u4"), ("crc", "<u4"), ("ids_crc", "<u4"), ("ids",
 _PIECE = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("ordinal", "<i8"), ("begin", "<i8"), ("first", "<i8"), ("length", "<u4"), ("last", "u1")])
 _AFTER_CRC = 8
 
-#: Strings whose ids a worker remembers, and their bytes, at most; then it starts anew.
-STRINGS, STRING_BYTES = 1 << 19, 1 << 25
-#: A text is split in pieces of about so many bytes, at white space.
+#: Strings whose ids a worker remembers, at most; then it starts anew.
+STRINGS = 1 << 19
+#: A text is tokenised in pieces of about so many bytes, cut at white space.
 SPAN = 1 << 20
 _SPACE = re.compile(rb"[\t-\r ]")
-# What the vocabulary's file splits text by, for letters, digits and signs up to U+00FF, all of which are normalised and lower-cased one by one.
-_PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
-_SIGNS = re.compile("('(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\\[-`{-~]+)")
 _ASCII_SPACE = re.compile("[\t-\r ]+")
-
-
-class RememberingTokenizer(dict):
+# Classes of bytes (0 white space, 1 letters, 2 digits, 3 signs, 4 others) and contractions, by which the vocabulary's file splits text. Letters
+# from U+00C0 to U+00FF are two bytes, the first of which is 0xC3.
+_CLASS = np.full(256, 4, np.uint8)
+_CLASS[33:127] = 3
+_CLASS[[*range(48, 58)]] = 2
+_CLASS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3]] = 1
+_CLASS[[*range(9, 14), 32]] = 0
+_CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+
+
+def _lowered(text: bytes) -> np.ndarray | None:
+    """The bytes of a text of ASCII and letters up to U+00FF, lower-cased; None for other texts."""
+    data = np.frombuffer(text, np.uint8)
+    kinds = _CLASS[data]
+    if (kinds == 4).any() or b"<|" in text or not ((data > 31) | (kinds == 0)).all():
+        return None
+    low = _LOWER[data]
+    lead = np.flatnonzero(data == 0xC3)
+    then = data[lead + 1]
+    if len(lead) != np.count_nonzero((data >= 0x80) & (data < 0xC0)) or np.isin(then, (0x97, 0xB7)).any():  # other characters; the signs for times and division
+        return None
+    low[lead[then < 0x9F] + 1] += 32
+    return low
+
+
+def _pre_tokens(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pre-tokens of a lowered text begin and end: contractions, runs of letters, single digits, runs of signs."""
+    kinds = _CLASS[low]
+    begins = np.empty(len(low), bool)
+    begins[:1] = True
+    np.not_equal(kinds[1:], kinds[:-1], out=begins[1:])
+    begins |= kinds == 2
+    quotes = np.flatnonzero(begins & (low == ord("'")))
+    if len(quotes):
+        padded = np.concatenate([low, np.zeros(3, np.uint8)])
+        for c in map(str.encode, _CONTRACTIONS):
+            at = quotes[np.all([padded[quotes + 1 + i] == b for i, b in enumerate(c)], axis=0)]
+            begins[at + 1] = False
+            rest = at + 1 + len(c)
+            begins[rest[rest < len(low)]] = True
+    start = np.flatnonzero(begins)
+    end = np.append(start[1:], len(low))
+    words = kinds[start] != 0
+    return start[words], end[words]
+
+
+class RememberingTokenizer:
     """Ids of the tokenizers library for a vocabulary that drops white space; what was tokenised once is remembered.
 
-    A piece of plain characters is split into the library's own pre-tokens, each of which its model gets once. In other pieces the strings between ASCII
-    white space go to the whole library, each once: their ids do not depend on what stands around them, as neither normalisation nor a token
-    reaches over white space.
+    A piece of plain characters is split into the library's own pre-tokens, all at once; their 64-bit hashes are looked up in an open table, and the
+    library's model gets each new one once. In other pieces the strings between ASCII white space go to the whole library, each once: their ids
+    do not depend on what stands around them, as neither normalisation nor a token reaches over white space.
     """
 
     def __init__(self, path: str) -> None:
@@ -57,26 +102,35 @@ class RememberingTokenizer(dict):
         self.forget()
 
     def forget(self) -> None:
-        self.clear()
-        self.new: list[str] = []
-        self.bytes, self.n, self.filled = 0, 0, 0
+        self.known: dict[str, np.ndarray] = {}
+        self.places = 1 << 16
+        self.hashes, self.codes = np.zeros(self.places, np.uint64), np.zeros(self.places, np.int64)
+        self.n, self.filled = 0, 0
         self.begin, self.size, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
 
-    def __missing__(self, string: str) -> int:
-        code = self[string] = len(self)
-        self.new.append(string)
-        return code
-
-    def _ids(self, string: str) -> list[int]:
-        """A pre-token is kept with a space before it; other strings have none."""
-        if string[0] != " ":
-            return self.library.encode(string, add_special_tokens=False).ids
-        return [t.id for t in self.model.tokenize(string[1:].encode().decode("latin-1").translate(self.written))]
-
-    def _learn(self) -> None:
-        if not self.new:
-            return
-        found = [self._ids(c) for c in self.new]
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether it holds the hash; else it is free) of each hash in the open table."""
+        at = (hashes & np.uint64(self.places - 1)).astype(np.int64)
+        held = self.hashes.take(at)
+        open_ = np.flatnonzero((held != hashes) & (held != 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (self.places - 1)
+            held[open_] = self.hashes.take(at[open_])
+            open_ = open_[(held[open_] != hashes[open_]) & (held[open_] != 0)]
+        return at, held == hashes
+
+    def _put(self, hashes: np.ndarray, codes: np.ndarray) -> None:
+        """Add hashes that the table lacks; those that meet at a place go on one by one."""
+        while len(hashes):
+            at, _ = self._find(hashes)
+            _, first = np.unique(at, return_index=True)
+            self.hashes[at[first]], self.codes[at[first]] = hashes[first], codes[first]
+            rest = np.ones(len(hashes), bool)
+            rest[first] = False
+            hashes, codes = hashes[rest], codes[rest]
+
+    def _learn(self, hashes: np.ndarray, strings: list[bytes]) -> None:
+        found = [[t.id for t in self.model.tokenize(x.decode("latin-1").translate(self.written))] for x in strings]
         sizes = np.array([len(x) for x in found], np.int64)
         end, filled = self.n + len(found), self.filled + int(sizes.sum())
         for name, most in (("begin", end), ("size", end), ("ids", filled)):
@@ -86,8 +140,35 @@ class RememberingTokenizer(dict):
         self.begin[self.n : end] = self.filled + np.cumsum(sizes) - sizes
         self.size[self.n : end] = sizes
         self.ids[self.filled : filled] = [i for x in found for i in x]
-        self.bytes += sum(map(len, self.new))
-        self.n, self.filled, self.new = end, filled, []
+        if 3 * end > self.places:
+            kept, codes = self.hashes[self.hashes != 0], self.codes[self.hashes != 0]
+            self.places = 1 << (6 * end).bit_length()
+            self.hashes, self.codes = np.zeros(self.places, np.uint64), np.zeros(self.places, np.int64)
+            self._put(kept, codes)
+        self._put(hashes, np.arange(self.n, end))
+        self.n, self.filled = end, filled
+
+    def _plain(self, low: np.ndarray) -> np.ndarray:
+        start, end = _pre_tokens(low)
+        hashes = slices(prefix_sums(_BYTE[low]), start, end) | np.uint64(1)  # 0 is a free place
+        at, held = self._find(hashes)
+        if not held.all():
+            new, first = np.unique(hashes[~held], return_index=True)
+            places = np.flatnonzero(~held)[first]
+            text = low.tobytes()
+            self._learn(new, [text[a:b] for a, b in zip(start[places].tolist(), end[places].tolist(), strict=True)])
+            at, _ = self._find(hashes)
+        codes = self.codes.take(at)
+        size = self.size.take(codes)
+        ends = np.cumsum(size)
+        return self.ids.take(np.arange(ends[-1]) + np.repeat(self.begin.take(codes) - ends + size, size)) if len(ends) else np.zeros(0, np.uint32)
+
+    def _other(self, text: str) -> np.ndarray:
+        strings = [s for s in _ASCII_SPACE.split(text) if s]
+        for s in strings:
+            if s not in self.known:
+                self.known[s] = np.array(self.library.encode(s, add_special_tokens=False).ids, np.uint32)
+        return np.concatenate([np.zeros(0, np.uint32), *(self.known[s] for s in strings)])
 
     def __call__(self, text: bytes) -> Iterator[np.ndarray]:
         """The ids, in runs."""
@@ -95,18 +176,9 @@ class RememberingTokenizer(dict):
         while at < len(text):
             cut = _SPACE.search(text, at + SPAN) if len(text) > at + SPAN else None
             to = cut.start() if cut else len(text)
-            piece = text[at:to].decode()
-            if "<|" not in piece and _PLAIN.fullmatch(piece):
-                strings = [" " + s for s in _SIGNS.sub(r" \1 ", piece.lower()).split()]
-            else:
-                strings = [s for s in _ASCII_SPACE.split(piece) if s]
-            codes = np.fromiter(map(self.__getitem__, strings), np.int64, len(strings))
-            self._learn()
-            size = self.size.take(codes)
-            ends = np.cumsum(size)
-            if len(ends) and ends[-1]:
-                yield self.ids.take(np.arange(ends[-1]) + np.repeat(self.begin.take(codes) - ends + size, size))
-            if len(self) > STRINGS or self.bytes > STRING_BYTES:
+            low = _lowered(text[at:to])
+            yield self._other(text[at:to].decode()) if low is None else self._plain(low)
+            if self.n + len(self.known) > STRINGS:
                 self.forget()
             at = to
 
