@@ -64,20 +64,3 @@ def denotation_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first assertion of a label wins, by its ordinal."""
     return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("label")).agg(F.min("p_partkey").alias("entity"))
-
-
-@query("SELECT 0 AS only_in_edges, 0 AS only_in_tables")
-def edge_vs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One edge table and separate tables answer alike: both differences are empty."""
-    n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
-    edges = n.select(F.lit("member_of").alias("p"), F.col("n_nationkey").alias("s"), F.col("n_regionkey").alias("o")).unionByName(c.select(F.lit("lives_in").alias("p"), F.col("c_custkey").cast("int").alias("s"), F.col("c_nationkey").alias("o")))
-    by_edges = edges.where("p = 'lives_in'").alias("a").join(edges.where("p = 'member_of'").alias("b"), F.col("a.o") == F.col("b.s")).select(F.col("a.s").alias("c"), F.col("b.o").alias("r"))
-    by_tables = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("c_custkey").cast("int").alias("c"), F.col("n_regionkey").alias("r"))
-    a = by_edges.exceptAll(by_tables).agg(F.count("*").cast("int").alias("only_in_edges"))
-    return a.crossJoin(F.broadcast(by_tables.exceptAll(by_edges).agg(F.count("*").cast("int").alias("only_in_tables"))))
-
-
-@query("SELECT user_id AS request_id, event_type AS source_id, bool_or(event_type <> 'error') AS called_ok, count(*) AS calls, CASE WHEN count(*) > 3 THEN 'complete' WHEN count(*) > 1 THEN 'partial' ELSE 'thin' END AS outcome FROM events GROUP BY ALL")
-def source_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.count("*")
-    return calls(spark, sf_dir).groupBy("request_id", "source_id").agg(F.bool_or(F.col("outcome") == "ok").alias("called_ok"), n.alias("calls"), F.when(n > 3, "complete").when(n > 1, "partial").otherwise("thin").alias("outcome"))
