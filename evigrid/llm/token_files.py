@@ -13,6 +13,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -375,16 +376,22 @@ def _product(a: int, b: int) -> int:
     return out
 
 
+@lru_cache(maxsize=1 << 13)
+def _power(size: int) -> int:
+    """x to the bits of so many bytes. Sizes of pieces are few, as a block has few ids."""
+    bits, power, square = 8 * size, 1 << 31, 1 << 30
+    while bits:
+        if bits & 1:
+            power = _product(power, square)
+        square, bits = _product(square, square), bits >> 1
+    return power
+
+
 def joined_crc(crcs: list[int], sizes: list[int]) -> int:
     """The crc32 of byte strings one after another, from each one's crc32 and size: what comes before is multiplied by x to its followers' bits."""
     out = 0
     for crc, size in zip(crcs, sizes, strict=True):
-        bits, power, square = 8 * size, 1 << 31, 1 << 30
-        while bits:
-            if bits & 1:
-                power = _product(power, square)
-            square, bits = _product(square, square), bits >> 1
-        out = _product(out, power) ^ crc
+        out = _product(out, _power(size)) ^ crc
     return out
 
 
