@@ -166,7 +166,7 @@ def platt_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Stand-ins of reason codes: what each attaches to.
 REASONS = {"click": ("response", "source"), "view": ("source",), "signup": ("response",), "purchase": ("response", "interpretation")}
-#: Parts of names that no field of a request may have, declared fields aside.
+# Parts of names that no field of a request may have, declared fields aside.
 CREDENTIALS = ("token", "credential", "password", "secret", "principal", "api_key")
 
 

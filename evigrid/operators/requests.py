@@ -299,11 +299,11 @@ def unresolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.array_sort(F.array_distinct(F.filter(found, lambda t: t != "multi-step"))), ",").alias("unresolved"))
 
 
-@query("SELECT doc_id, sha256(concat_ws(chr(10), 'doc_id', doc_id, 'lang', lang, 'source', source, 'text', text)) AS public_hash FROM documents")
+@query("SELECT doc_id, sha256(concat_ws(chr(10), 'doc_id', doc_id, 'lang', coalesce(lang, ''), 'n_chars', coalesce(n_chars::VARCHAR, ''), 'source', coalesce(source, ''), 'text', coalesce(text, ''))) AS public_hash FROM documents")
 def public_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All keys and values of a row, keys sorted, a line each."""
+    """All keys and values of a row, keys sorted, a line each; a null is an empty line."""
     rows = table(spark, sf_dir, "documents")
-    parts = [x for c in ("doc_id", "lang", "source", "text") for x in (F.lit(c), F.col(c).cast("string"))]
+    parts = [x for c in sorted(rows.columns) for x in (F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit("")))]
     return rows.select("doc_id", F.sha2(F.concat_ws("\n", *parts).cast("binary"), 256).alias("public_hash"))
 
 

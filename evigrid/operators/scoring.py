@@ -31,13 +31,14 @@ def required_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.filter(F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0))), lambda w: w != "")
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     items = items.withColumn("anchor", longest)
-    each = docs.withColumn("word", F.explode(F.array_distinct(F.split("text", " "))))
+    each = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))  # no text beside a word
     parts = []
     for i in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i)
-        parts.append(each.join(F.broadcast(block), F.expr("word = anchor")).drop("word").where("contains(text, item)"))
-        parts.append(docs.join(F.broadcast(block.where("anchor IS NULL")), F.expr("contains(text, item)")))
-    return reduce(DataFrame.union, parts).select("item_id", "doc_id", "lang", "source", start.alias("start"), (start + F.length("item")).alias("end"))
+        met = each.join(F.broadcast(block.where("anchor IS NOT NULL")), F.expr("word = anchor")).drop("word", "anchor")
+        parts.append(docs.join(met, "doc_id").where("contains(text, item)"))
+        parts.append(docs.join(F.broadcast(block.where("anchor IS NULL").drop("anchor")), F.expr("contains(text, item)")))
+    return reduce(DataFrame.unionByName, parts).select("item_id", "doc_id", "lang", "source", start.alias("start"), (start + F.length("item")).alias("end"))
 
 
 _SPANS = "sp AS (SELECT b.item_id, d.doc_id, d.lang, d.source, instr(d.text, b.text) - 1 AS s, instr(d.text, b.text) - 1 + length(b.text) AS e FROM documents d, benchmark b WHERE contains(d.text, b.text))"

@@ -89,6 +89,8 @@ class HubReader(DataSourceReader):
         return [HubFile(hub, file) for hub, file in hubs if hub not in self.held_back and hub in self.wanted.get("hub", {hub})]
 
     def read(self, partition: HubFile) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark asks for where there are no partitions
+            return
         only, rows = self.wanted.get("artifact_id"), []
         for x in _lines(self.path, partition.file):
             if only is not None and x["artifact_id"] not in only:
