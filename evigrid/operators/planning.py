@@ -58,9 +58,3 @@ def homonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def denotation_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("label")).agg(F.countDistinct("p_type").alias("entities"))
     return d.withColumn("status", F.when(F.col("entities") == 1, "resolved").otherwise("ambiguous"))
-
-
-@query("SELECT p_brand AS label, arg_min(p_partkey, p_partkey) AS entity FROM part GROUP BY p_brand")
-def label_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first assertion of a label wins, by its ordinal."""
-    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("label")).agg(F.min("p_partkey").alias("entity"))
