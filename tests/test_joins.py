@@ -100,3 +100,20 @@ def test_reachable(spark):
         *(("q", "a", n, h) for n, h in (("b", 1), ("x", 2), ("d", 3), ("e", 4))),
         *(("q", "h", n, h) for n, h in (("a", 1), ("b", 2), ("x", 3), ("d", 4), ("e", 5))),
     }
+
+
+def test_witnessed(spark):
+    """Either orientation, all spans of a witness in one unit, the first of several relations, another version, a unit that was not returned."""
+    from evigrid.operators import witnesses
+
+    place = "source string, artifact long, version string, start int, end int"
+    units = [("r", 1, "s", 10, "v1", 0, 100), ("r", 2, "s", 20, "v1", 0, 100), ("r", 3, "s", 20, "v2", 0, 100), ("r", 4, "s", 10, "v1", 50, 200), ("q", 1, "s", 10, "v1", 0, 100)]
+    spans = [
+        ("r", 0, "version", "a", "s", 10, "v1", 10, 20), ("r", 0, "version", "a", "s", 10, "v1", 60, 90), ("r", 0, "version", "b", "s", 20, "v1", 0, 100),
+        ("r", 1, "contradiction", "a", "s", 20, "v1", 5, 6), ("r", 1, "contradiction", "b", "s", 10, "v1", 60, 61),
+    ]
+    flagged = [("r", 1, 2, "version"), ("r", 2, 1, "contradiction"), ("r", 4, 2, "contradiction"), ("r", 1, 3, "version"), ("r", 1, 9, "version"), ("q", 1, 1, "version")]
+    got = witnesses.witnessed(spark.createDataFrame(flagged, "request string, a long, b long, relation string"), spark.createDataFrame(units, f"request string, unit long, {place}"), spark.createDataFrame(spans, f"request string, ord int, expected string, side string, {place}")).cache()
+    assert {(r["a"], r["b"]): r["matched"] for r in got.where("request = 'r'").collect()} == {(1, 2): 0, (2, 1): 0, (4, 2): 1, (1, 3): None, (1, 9): None}
+    scores = witnesses.conflict_scores(got, spark.createDataFrame(spans, f"request string, ord int, expected string, side string, {place}"))
+    assert sorted(map(tuple, scores.collect())) == [("q", 1, 1, 1, None), ("r", 5, 0, 2, round(2 / 3, 6))]
