@@ -2,7 +2,7 @@
 
 The index is a table of blocks: (term, acl, block) with the postings (artifact, frequency, length) of up to 128 artifacts that share an acl, and what
 bounds their gains: the largest frequency and the smallest length. Artifacts are dealt to blocks by length, so the bounds are near. It is bucketed by
-term. Access is decided by block, and the statistics of a reader's pool are sums over the blocks that the reader may see.
+term and block and sorted by term: a term that most texts hold is spread over the buckets, and a file's statistics tell which terms it has. Access is decided by block, and the statistics of a reader's pool are sums over the blocks that the reader may see.
 
 A batch is answered in two steps: the blocks with the highest bounds give each question a k-th best score, and only blocks whose bound reaches that
 are scored after all. No question's hits are gathered before its k best are known, and no step reads a text.
@@ -25,8 +25,6 @@ from evigrid.sources.tables import hub_rows, table
 
 #: Artifacts in a block, and blocks of each question that are scored first.
 BLOCK, FIRST = 128, 8
-#: Buckets of terms.
-BUCKETS = 16
 #: Above a float sum's error: a block goes only if its bound is clearly below what is needed.
 SLACK = 1e-6
 
@@ -39,9 +37,13 @@ class Index:
     pools: DataFrame
 
 
-def build_index(rows: DataFrame, folder: str, buckets: int = BUCKETS) -> Index:
-    """The index of rows (artifact_id, acl, text), written to the folder. The texts are read once; an empty text is in the pool and in no block."""
+def build_index(rows: DataFrame, folder: str, buckets: int | None = None) -> Index:
+    """The index of rows (artifact_id, acl, text), written to the folder. The texts are read once; an empty text is in the pool and in no block.
+
+    There are as many buckets as shuffles have partitions, if not said otherwise.
+    """
     spark = rows.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tokens = written(rows.select("artifact_id", F.sort_array(F.array_distinct("acl")).alias("acl"), X.words(F.col("text")).alias("w")).withColumn("len", F.greatest(F.size("w"), F.lit(1))))
     number = running(tokens.select("acl", "len", "artifact_id"), ["acl"], ["len", "artifact_id"], F.lit(1), "number")
     placed = number.select("artifact_id", F.expr(f"(number - 1) div {BLOCK}").alias("block"))
@@ -49,7 +51,7 @@ def build_index(rows: DataFrame, folder: str, buckets: int = BUCKETS) -> Index:
     posting = F.struct(F.col("artifact_id"), F.col("tf"), F.col("len"))
     blocks = terms.join(placed, "artifact_id").groupBy("term", "acl", "block").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.collect_list(posting).alias("postings"))
     name = f"postings_{uuid.uuid4().hex}"
-    blocks.repartition(buckets, "term").write.bucketBy(buckets, "term").sortBy("term").option("path", f"{folder}/blocks").saveAsTable(name)
+    blocks.repartition(buckets, "term", "block").write.bucketBy(buckets, "term", "block").sortBy("term").option("path", f"{folder}/blocks").saveAsTable(name)
     tokens.groupBy("acl").agg(F.count("*").alias("n"), F.sum("len").alias("length")).write.parquet(f"{folder}/pools")
     return Index(spark.table(name), spark.read.parquet(f"{folder}/pools"))
 
