@@ -9,6 +9,7 @@ from evigrid.functions import text as X
 from evigrid.operators.ordering import last_before
 from evigrid.operators.search import _CTE, GROUPS, QUESTION, readable
 from evigrid.plans.registry import query
+from evigrid.sources.scratch import written
 from evigrid.sources.tables import calibration_records, calls, hub_rows, table, versioned_rows
 
 # Words that ask for each kind of fact, and the kinds assumed without any.
@@ -60,7 +61,8 @@ def label_spans(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, start, end, label): longest matches of labels in the words of rows (key, w), left to right, without overlaps."""
     size = F.size("w")
     grams = F.flatten(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LABEL_WORDS), size - i)), lambda k: F.struct(i.alias("start"), (-k).alias("less"), F.array_join(F.slice("w", i + 1, k), " ").alias("label")))))
-    found = rows.where(size > 0).select("key", F.explode(grams).alias("g")).select("key", "g.*").join(labels.select("label").distinct(), "label")
+    known = written(labels.select("label").distinct())  # its size is known, and a semi-join never sends the grams to all
+    found = rows.where(size > 0).select("key", F.explode(grams).alias("g")).select("key", "g.*").join(known, "label", "left_semi")
     ordered = F.sort_array(F.collect_list(F.struct("start", "less", "label")))
     kept = F.aggregate(
         ordered,
