@@ -100,7 +100,7 @@ _VALUES = "v AS (SELECT o_custkey AS entity, o_orderpriority AS attribute, o_ord
 def divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is implemented against procedures and policies of the same entity and attribute with another value; the first unit of each side is the witness."""
     kind = F.when(F.col("o_orderstatus") == "F", "implemented").when(F.col("o_orderstatus") == "O", "procedure").otherwise("policy")
-    v = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("entity"), F.col("o_orderpriority").alias("attribute"), F.col("o_orderkey").alias("unit"), kind.alias("kind"), F.expr("cast(o_totalprice as bigint) div 50000").alias("value"))
+    v = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("entity"), F.col("o_orderpriority").alias("attribute"), F.col("o_orderkey").alias("unit"), kind.alias("kind"), F.expr("cast(rint(o_totalprice) as bigint) div 50000").alias("value"))  # rounded, as the SQL's cast does: Spark's own cuts off
     # few values each: counted before they meet
     by = v.groupBy("entity", "attribute", "kind", "value").agg(F.min("unit").alias("unit"), F.count("*").alias("n"))
     a = by.where("kind = 'implemented'").select("entity", "attribute", F.col("value").alias("own"), F.col("unit").alias("implemented"), F.col("n").alias("m"))

@@ -3,8 +3,9 @@
 import os
 
 import pytest
-from oracle import SMALL, TABLES
+from oracle import SMALL, TABLES, same
 
+from evigrid import catalog
 from evigrid.operators import decisions
 
 
@@ -22,6 +23,14 @@ def tables(tmp_path):
     return replaced
 
 
+def test_divergences_round_values(spark, tables):
+    """49,999.7 and 50,000.2 are one value, as the SQL's cast rounds; so are halves that go to the even number."""
+    rows = [(1, 7, "F", 49999.7), (2, 7, "O", 50000.2), (3, 7, "P", 99999.5), (4, 7, "O", 100000.0), (5, 7, "F", 99999.4)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").selectExpr("*", "timestamp'2024-01-01' AS o_orderdate", "'1-URGENT' AS o_orderpriority")
+    folder = tables("orders", orders)
+    same(catalog.queries()["divergences"](spark, folder), catalog.oracle_sql()["divergences"], folder)
+
+
 def test_label_spans_never_broadcast_grams(spark, tmp_path):
     """A few rows of many words against many labels: it is the labels that are sent to all, if anything."""
     spark.createDataFrame([(1, ["red", "bolt", "red"])], "key long, w array<string>").write.parquet(str(tmp_path / "rows"))
