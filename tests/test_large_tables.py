@@ -1,6 +1,8 @@
 """What only larger tables showed: sums and casts at their borders, joins that were planned from a file's size."""
 
 import os
+from functools import reduce
+from operator import add
 
 import pytest
 from oracle import SMALL, TABLES, same
@@ -31,6 +33,20 @@ def test_divergences_round_values(spark, tables):
     same(catalog.queries()["divergences"](spark, folder), catalog.oracle_sql()["divergences"], folder)
 
 
+VALUES = (61.5, 100.96, 37.54)
+
+
+def test_source_outcomes_sum_in_order(spark, tables):
+    """The same three doubles add up to just below a whole number, or to it; the order of calls decides, not that of the files."""
+    first, last = reduce(add, VALUES), reduce(add, reversed(VALUES))
+    assert int(first) != int(last)
+    rows = [(i + 1, 5, v) for i, v in enumerate(VALUES)] + [(i + 11, 6, v) for i, v in enumerate(reversed(VALUES))]
+    events = spark.createDataFrame(rows[::-1], "event_id long, user_id long, value double").selectExpr("*", "timestamp_ntz'2024-01-01 10:00:00' AS ts", "'signup' AS event_type", "'{}' AS props")
+    got = catalog.queries()["source_outcomes"](spark, tables("events", events.repartition(1).sortWithinPartitions("event_id", ascending=False)))
+    status = ["called", "called", "timeout", "error"]
+    assert {r["request"]: r["status"] for r in got.collect()} == {5: status[int(first) % 4], 6: status[int(last) % 4]}
+
+
 def test_label_spans_never_broadcast_grams(spark, tmp_path):
     """A few rows of many words against many labels: it is the labels that are sent to all, if anything."""
     spark.createDataFrame([(1, ["red", "bolt", "red"])], "key long, w array<string>").write.parquet(str(tmp_path / "rows"))
