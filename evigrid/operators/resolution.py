@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evigrid.functions import text as X
 from evigrid.plans.registry import query
+from evigrid.sources.scratch import written
 from evigrid.sources.tables import table
 
 #: Words of a label, at most: a fixed value.
@@ -21,7 +22,8 @@ def matched_labels(questions: DataFrame, labels: DataFrame) -> DataFrame:
     words = questions.select("question", X.words(F.col("text")).alias("w"))
     sizes = F.sequence(F.lit(1), F.lit(LABEL_WORDS))
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.filter(sizes, lambda n: i + n - 1 <= F.size("w")), lambda n: F.struct(i.alias("pos"), n.alias("size"), F.array_join(F.slice("w", i, n), " ").alias("label")))))
-    met = words.where(F.size("w") > 0).select("question", F.inline(runs)).join(labels.select("label").distinct(), "label")
+    known = written(labels.select("label").distinct())  # its size is known, and a semi-join never sends the runs to all
+    met = words.where(F.size("w") > 0).select("question", F.inline(runs)).join(known, "label", "left_semi")
     each = met.groupBy("question").agg(F.sort_array(F.collect_list(F.struct("pos", (-F.col("size")).alias("back"), "label"))).alias("m"))
     none = F.expr("filter(m, x -> false)")
 

@@ -8,7 +8,7 @@ import pytest
 from oracle import SMALL, TABLES, same
 
 from evigrid import catalog
-from evigrid.operators import decisions
+from evigrid.operators import decisions, resolution
 
 
 @pytest.fixture
@@ -55,3 +55,12 @@ def test_label_spans_never_broadcast_grams(spark, tmp_path):
     spans = decisions.label_spans(rows, labels)
     assert "BuildLeft" not in spans._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, spans.collect())) == [(1, 0, 2, "red bolt"), (1, 2, 3, "red")]
+
+
+def test_matched_labels_never_broadcast_runs(spark, tmp_path):
+    """The same for questions: few of them, many labels."""
+    spark.createDataFrame([(1, "Which red bolt or red fits?")], "question long, text string").write.parquet(str(tmp_path / "questions"))
+    spark.range(20000).selectExpr("concat('label ', id) AS label").union(spark.createDataFrame([("red",), ("red bolt",)], "label string")).write.parquet(str(tmp_path / "labels"))
+    spans = resolution.matched_labels(spark.read.parquet(str(tmp_path / "questions")), spark.read.parquet(str(tmp_path / "labels")))
+    assert "BuildLeft" not in spans._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, spans.collect())) == [(1, 2, 2, "red bolt"), (1, 5, 1, "red")]
