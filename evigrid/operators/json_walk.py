@@ -1,90 +1,115 @@
-"""Nested JSON of any depth as rows: every value with its path, and what is read from them.
+"""Nested JSON of any depth: every value of a body with its path, and what is read from them.
 
-Bodies are variants. A level's containers are exploded to the next level's values until none is left, so there are as many steps as the deepest body
-has levels, and a body of any size is spread over rows.
+A body is one cell of a row, so it is walked where it is read: nothing is shuffled or written for it. What is asked of its values is said in columns.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from evigrid.plans.registry import query
-from evigrid.sources.scratch import written
 from evigrid.sources.tables import table
 
-_PATH = "array<struct<key:string,place:int>>"
+_FIELDS = ("path", "key", "kind", "value")
+_VALUES = ArrayType(StructType([StructField(f, StringType()) for f in _FIELDS]))
+#: Values that are handed back at once, a whole body at least.
+_AT_ONCE = 50_000
+
+
+class _Number(str):
+    """A number as the body spells it."""
+
+
+def _walk(body: str, out: list[tuple[str, str | None, str | None, str | None]]) -> None:
+    """Adds a body's values to out: a container before its members, keys sorted."""
+    stack = [("$", None, json.loads(body, parse_int=_Number, parse_float=_Number))]
+    while stack:
+        path, key, x = stack.pop()
+        if isinstance(x, dict):
+            out.append((path, key, "object", None if x else ""))
+            stack.extend([(f"{path}.{k}", k, x[k]) for k in sorted(x, reverse=True)])
+        elif isinstance(x, list):
+            out.append((path, key, "array", None if x else ""))
+            stack.extend([(f"{path}[{i}]", None, x[i]) for i in range(len(x) - 1, -1, -1)])
+        elif isinstance(x, _Number):
+            out.append((path, key, "number", x))
+        elif isinstance(x, str):
+            out.append((path, key, "string", x))
+        else:
+            out.append((path, key, None, "") if x is None else (path, key, "boolean", "true" if x else "false"))
 
 
 def values(bodies: DataFrame) -> DataFrame:
-    """(id, path, key, kind, value) of bodies (id, body variant): one row for each value in a body, the whole one included.
+    """(id, values) of bodies (id, body variant): a row for each body, with a struct (path, key, kind, value) for each value in it, the whole one included.
 
-    path: (key, -1) for a member of an object, (null, place) for one of an array, from the top; it orders a body's values as they are read with sorted keys.
-    key: the member's own key, null for others. kind: object, array, or the type of a leaf; null for a JSON null. A null body has no row.
+    They come in the order in which they are read with sorted keys. path: as text, $.key[0]. key: the member's own key, null for others. kind: object, array,
+    string, number or boolean; null for a JSON null. value: a leaf as text; empty for a null or an empty container, null for a container with members.
+    What JSON has no type for (dates, binaries) is walked as to_json writes it. A null body has no row.
     """
-    spark = bodies.sparkSession
-    schema = F.schema_of_variant("value")
-    kind = F.when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array").when(schema != "VOID", F.lower(schema))
-    level = bodies.where("body IS NOT NULL").select("id", F.array().cast(_PATH).alias("path"), F.lit(None).cast("string").alias("key"), F.col("body").alias("value"))
-    levels = []
-    while True:
-        level = written(level.withColumn("kind", kind))
-        levels.append(level)
-        inner = level.where("kind IN ('object', 'array')").select("id", "path", "value")
-        if inner.isEmpty():
-            return reduce(DataFrame.unionByName, levels)
-        each = inner.lateralJoin(spark.tvf.variant_explode(F.col("value").outer()).toDF("_pos", "_key", "_value"))
-        step = F.struct(F.col("_key").alias("key"), F.when(F.col("_key").isNull(), F.col("_pos")).otherwise(-1).alias("place"))
-        level = each.select("id", F.concat("path", F.array(step)).alias("path"), F.col("_key").alias("key"), F.col("_value").alias("value"))
+    kind = pa.struct([(f, pa.string()) for f in _FIELDS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, found, ends = 0, [], [0]
+            for i, body in enumerate(batch.column(1).to_pylist()):
+                _walk(body, found)
+                ends.append(len(found))
+                if len(found) >= _AT_ONCE or i + 1 == batch.num_rows:
+                    columns = zip(*found, strict=True)
+                    each = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], fields=list(kind))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(ends) - 1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)], ["id", "values"])
+                    first, found, ends = i + 1, [], [0]
+
+    rows = bodies.where("body IS NOT NULL").select("id", F.to_json("body").alias("body"))
+    return rows.mapInArrow(run, StructType([rows.schema["id"], StructField("values", _VALUES)]))
 
 
 def named_values(walked: DataFrame, key: str) -> DataFrame:
     """(id, value): the distinct strings that a key has anywhere in each body."""
-    return walked.where((F.col("key") == key) & (F.col("kind") == "string")).select("id", F.try_variant_get("value", "$", "string").alias("value")).distinct()
+    named = F.filter("values", lambda v: (v["key"] == key) & (v["kind"] == "string"))
+    return walked.select("id", F.explode(F.array_distinct(F.transform(named, lambda v: v["value"]))).alias("value")).distinct()
 
 
 def public_texts(walked: DataFrame) -> DataFrame:
     """(id, text): all keys and leaves of each body, a line each, keys sorted at every level; a null or an empty container is an empty line."""
-    inside = walked.where(F.size("path") > 0).select("id", F.slice("path", F.lit(1), F.size("path") - 1).alias("path")).distinct().withColumn("filled", F.lit(True))
-    marked = walked.join(inside, ["id", "path"], "left")
-    text = F.try_variant_get("value", "$", "string")
-    leaf = F.when(F.col("kind") == "boolean", F.initcap(text)).when(F.col("kind").isin("object", "array") | F.col("kind").isNull(), "").otherwise(text)
-    own = F.when(F.col("filled"), F.array().cast("array<string>")).otherwise(F.array(leaf))
-    lines = F.concat(F.when(F.col("key").isNotNull(), F.array("key")).otherwise(F.array().cast("array<string>")), own)
-    rows = marked.select("id", F.transform("path", lambda p: F.struct(F.coalesce(p["key"], F.lit("")).alias("key"), p["place"].alias("place"))).alias("path"), lines.alias("lines"))
-    ordered = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("path", "lines"))).alias("r"))
-    return ordered.select("id", F.array_join(F.flatten(F.transform("r", lambda x: x["lines"])), "\n").alias("text"))
+    own = F.transform("values", lambda v: F.array(v["key"], F.when(v["kind"] == "boolean", F.initcap(v["value"])).otherwise(v["value"])))
+    return walked.select("id", F.array_join(F.flatten(own), "\n").alias("text"))  # nulls are passed over: no key, or a container with members
 
 
 def rounded(walked: DataFrame, places: int) -> DataFrame:
     """(id, path, value): every number of each body, rounded."""
-    number = F.col("kind").rlike("^(bigint|double|float|decimal)")
-    return walked.where(number).select("id", path_text(F.col("path")).alias("path"), F.round(F.try_variant_get("value", "$", "double"), places).alias("value"))
-
+    each = walked.select("id", F.inline(F.filter("values", lambda v: v["kind"] == "number")))
+    return each.select("id", "path", F.round(F.col("value").cast("double"), places).alias("value"))
 
-def path_text(path: Column) -> Column:
-    """A path as text: $.key[0]."""
-    return F.concat(F.lit("$"), F.array_join(F.transform(path, lambda p: F.coalesce(F.concat(F.lit("."), p["key"]), F.concat(F.lit("["), p["place"].cast("string"), F.lit("]")))), ""))
 
-
-def order_bodies(spark: SparkSession, sf_dir: str, *amounts: Column) -> DataFrame:
+def order_bodies(spark: SparkSession, sf_dir: str, amounts: Callable[[Column], tuple[Column, ...]]) -> DataFrame:
     """(id, body): an order as a response of a hub: its customer, its lines, each with its part and amounts, an empty list and a null."""
-    line = F.struct(
-        F.concat(F.lit("line-"), "l_orderkey", F.lit("-"), "l_linenumber").alias("artifact_id"),
-        F.struct(F.concat(F.lit("part-"), "l_partkey").alias("artifact_id"), (F.col("l_quantity") > 25).alias("bulk")).alias("part"),
-        F.array(*amounts).alias("amounts"),
-    )
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", line.alias("x")))).alias("ls"))
-    orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+
+    def line(x: Column) -> Column:
+        return F.struct(
+            F.concat(F.lit("line-"), x["l_orderkey"], F.lit("-"), x["l_linenumber"]).alias("artifact_id"),
+            F.struct(F.concat(F.lit("part-"), x["l_partkey"]).alias("artifact_id"), (x["l_quantity"] > 25).alias("bulk")).alias("part"),
+            F.array(*amounts(x)).alias("amounts"),
+        )
+
+    # only what differs from line to line is shuffled; texts are made where a body is
+    own = F.struct("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_orderkey")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(own)).alias("ls"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(customers, F.col("o_custkey") == F.col("c_custkey")).join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     customer = F.struct(F.concat(F.lit("cust-"), "c_custkey").alias("artifact_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
-    body = F.struct(F.concat(F.lit("order-"), "o_orderkey").alias("artifact_id"), customer.alias("customer"), F.transform("ls", lambda x: x["x"]).alias("lines"), F.array().cast("array<string>").alias("none"), F.lit(None).cast("string").alias("note"))
+    body = F.struct(F.concat(F.lit("order-"), "o_orderkey").alias("artifact_id"), customer.alias("customer"), F.transform("ls", line).alias("lines"), F.array().cast("array<string>").alias("none"), F.lit(None).cast("string").alias("note"))
     return orders.select(F.col("o_orderkey").alias("id"), F.parse_json(F.to_json(body, {"ignoreNullFields": "false"})).alias("body"))
 
 
 def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_bodies(spark, sf_dir, F.array(F.col("l_extendedprice") / 7), F.array("l_discount", "l_tax"))
+    return order_bodies(spark, sf_dir, lambda x: (F.array(x["l_extendedprice"] / 7), F.array(x["l_discount"], x["l_tax"])))
 
 
 _BODIES = """b AS MATERIALIZED (SELECT o_orderkey AS id, json_object('artifact_id', 'order-' || o_orderkey, 'customer', json_object('artifact_id', 'cust-' || c_custkey, 'name', c_name, 'nation', c_nationkey), 'lines', ls, 'none', json_array(), 'note', NULL) AS body
@@ -108,5 +133,5 @@ def rounded_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_orderkey AS id, sha256('artifact_id' || chr(10) || 'order-' || o_orderkey || chr(10) || 'customer' || chr(10) || 'artifact_id' || chr(10) || 'cust-' || c_custkey || chr(10) || 'name' || chr(10) || c_name || chr(10) || 'nation' || chr(10) || c_nationkey || chr(10) || 'lines' || chr(10) || s || chr(10) || 'none' || chr(10) || chr(10) || 'note' || chr(10)) AS public_hash FROM orders JOIN x ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey""")
 def nested_public_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All keys and values of nested bodies, whose amounts are whole numbers here: those have one spelling."""
-    bodies = order_bodies(spark, sf_dir, F.col("l_quantity").cast("bigint"), F.col("l_linenumber").cast("bigint"))
+    bodies = order_bodies(spark, sf_dir, lambda x: (x["l_quantity"].cast("bigint"), x["l_linenumber"].cast("bigint")))
     return public_texts(values(bodies)).select("id", F.sha2(F.col("text").cast("binary"), 256).alias("public_hash"))

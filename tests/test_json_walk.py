@@ -59,3 +59,23 @@ def test_rounded(walked):
 
 def test_no_bodies(spark):
     assert json_walk.values(spark.createDataFrame([], "id long, body string").withColumn("body", F.parse_json("body"))).count() == 0
+
+
+def test_deep_bodies(spark):
+    """Hundreds of levels take one pass, not a step each."""
+    body = '{"artifact_id":"end","n":0.125}'
+    for i in range(300):
+        body = f'{{"k":[{body},{i}]}}'
+    walked = json_walk.values(spark.createDataFrame([(1, body)], "id long, body string").withColumn("body", F.parse_json("body")))
+    assert json_walk.named_values(walked, "artifact_id").collect() == [(1, "end")]
+    assert json_walk.public_texts(walked).first()["text"] == "k\n" * 300 + "artifact_id\nend\nn\n0.125\n" + "\n".join(map(str, range(300)))
+    assert sorted(r["value"] for r in json_walk.rounded(walked, 2).collect()) == sorted([0.13, *map(float, range(300))])
+
+
+def test_bodies_stay_in_their_rows(spark, tmp_path):
+    """Texts and numbers of bodies need no shuffle, and no job before they are asked for."""
+    spark.range(10).selectExpr("id", """'{"a": [1, {"b": 2}]}' AS body""").write.parquet(str(tmp_path / "bodies"))
+    bodies = spark.read.parquet(str(tmp_path / "bodies")).withColumn("body", F.parse_json("body"))
+    for rows in (json_walk.public_texts(json_walk.values(bodies)), json_walk.rounded(json_walk.values(bodies), 2)):
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert rows.select("id").distinct().count() == 10
