@@ -12,27 +12,35 @@ GRAM, WINDOW = 8, 5
 LEAST_BYTES = GRAM + WINDOW - 1
 
 
-def _scrambled(x: np.ndarray) -> np.ndarray:
+def scrambled(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values (the finaliser of SplitMix64), so that common letters don't decide what is taken."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def signature(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(places, grams) of a text's taken grams, a gram being its eight bytes read as a signed integer."""
-    if len(text) < LEAST_BYTES:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    data = np.frombuffer(text, np.uint8)
+def signatures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, gram) of the taken grams of texts, a text being its number and a gram its eight bytes read as a signed integer."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    if len(data) < LEAST_BYTES:
+        return (np.zeros(0, np.int64),) * 3
+    sizes = np.array([len(t) for t in texts])
+    ends, of = np.cumsum(sizes), np.repeat(np.arange(len(texts)), sizes)
     n = len(data) - GRAM + 1
     grams = np.zeros(n, np.uint64)
     for i in range(GRAM):
         grams |= data[i : i + n].astype(np.uint64) << np.uint64(8 * i)
-    order = _scrambled(grams)
+    order = scrambled(grams)
     best, place = order[: n - WINDOW + 1].copy(), np.arange(n - WINDOW + 1)
     for i in range(1, WINDOW):
         nearer = order[i : i + len(best)] < best
         np.copyto(best, order[i : i + len(best)], where=nearer)
         place[nearer] = np.flatnonzero(nearer) + i
-    places = np.unique(place)
-    return places, grams[places].view(np.int64)
+    place = place[np.arange(len(best)) + LEAST_BYTES <= ends[of[: len(best)]]]  # windows inside one text; their first smallest grams never go back
+    place = place[np.diff(place, prepend=-1) > 0]
+    return of[place], place - (ends - sizes)[of[place]], grams[place].view(np.int64)
+
+
+def signature(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(places, grams) of one text."""
+    return signatures([text])[1:]

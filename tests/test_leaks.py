@@ -42,6 +42,20 @@ def test_occurrences(spark):
     assert sorted(map(tuple, got)) == want and len(want) > 40
 
 
+def test_little_is_written(spark, monkeypatch):
+    """All lines of all texts are looked for: what is written on the way grows with occurrences, not with the letters."""
+    from evigrid.operators import containment
+
+    rng = np.random.default_rng(5)
+    lines = ["".join(rng.choice(list("abcdefgh "), 300)) for _ in range(60)]
+    texts = [(i, "\n".join(lines[i % 50 : i % 50 + 4])) for i in range(80)]
+    rows, kept = [], containment.written
+    monkeypatch.setattr(containment, "written", lambda df: rows.append(kept(df)) or rows[-1])
+    got = occurrences(spark.createDataFrame(list(enumerate(lines)), STRINGS), spark.createDataFrame(texts, TEXTS)).collect()
+    assert sorted(map(tuple, got)) == plain(list(enumerate(lines)), texts)
+    assert sum(r.count() for r in rows) <= 2 * (len(got) + len(lines))
+
+
 def test_short_strings_are_refused(spark):
     with pytest.raises(Exception, match="at least 12 bytes"):
         occurrences(spark.createDataFrame([(1, "short")], STRINGS), spark.createDataFrame([(1, "a short text, too")], TEXTS)).collect()
