@@ -1,6 +1,7 @@
 """Signatures of texts for substring search: sampled grams of eight bytes that any long enough common substring shares.
 
-Of each five grams in a row the one with the smallest scrambled value is taken. Two texts that share twelve bytes share such a run of grams, and so a taken one.
+Of each five grams in a row the one with the smallest scrambled value is taken (all of them, if several have it). Two texts that share twelve bytes share
+such a run of grams, and so a taken one.
 """
 
 from __future__ import annotations
@@ -10,35 +11,46 @@ import numpy as np
 #: Bytes in a gram, grams in a window, and bytes that a string needs to have a whole window.
 GRAM, WINDOW = 8, 5
 LEAST_BYTES = GRAM + WINDOW - 1
+#: Grams are taken by the upper half of their product with it, so that common letters don't decide what is taken.
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def scrambled(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit values (the finaliser of SplitMix64), so that common letters don't decide what is taken."""
+    """A bijection of 64-bit values (the finaliser of SplitMix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
+def _of_five(best: np.ufunc, x: np.ndarray) -> np.ndarray:
+    """The least or greatest of each five values in a row (WINDOW)."""
+    two = best(x[:-1], x[1:])
+    return best(best(two[:-2], two[2:])[:-1], x[WINDOW - 1 :])
+
+
+def _grams(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as a number; one view of the bytes gives every eighth."""
+    out = np.empty(len(data) - GRAM + 1, np.uint64)
+    for i in range(GRAM):
+        out[i::GRAM] = data[i : len(data) - (len(data) - i) % GRAM].view("<u8")
+    return out
+
+
 def signatures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, place, gram) of the taken grams of texts, a text being its number and a gram its eight bytes read as a signed integer."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < LEAST_BYTES:
         return (np.zeros(0, np.int64),) * 3
-    sizes = np.array([len(t) for t in texts])
-    ends, of = np.cumsum(sizes), np.repeat(np.arange(len(texts)), sizes)
-    n = len(data) - GRAM + 1
-    grams = np.zeros(n, np.uint64)
-    for i in range(GRAM):
-        grams |= data[i : i + n].astype(np.uint64) << np.uint64(8 * i)
-    order = scrambled(grams)
-    best, place = order[: n - WINDOW + 1].copy(), np.arange(n - WINDOW + 1)
-    for i in range(1, WINDOW):
-        nearer = order[i : i + len(best)] < best
-        np.copyto(best, order[i : i + len(best)], where=nearer)
-        place[nearer] = np.flatnonzero(nearer) + i
-    place = place[np.arange(len(best)) + LEAST_BYTES <= ends[of[: len(best)]]]  # windows inside one text; their first smallest grams never go back
-    place = place[np.diff(place, prepend=-1) > 0]
-    return of[place], place - (ends - sizes)[of[place]], grams[place].view(np.int64)
+    ends = np.cumsum([len(t) for t in texts])
+    grams = _grams(data)
+    order = ((grams * _ODD) >> np.uint64(32)).astype(np.uint32)
+    np.maximum(order, np.uint32(1), out=order)
+    least = _of_five(np.minimum, order)
+    over = (ends[:, None] - np.arange(1, LEAST_BYTES)).reshape(-1)  # windows that reach over a text's end take nothing
+    least[over[(over >= 0) & (over < len(least))]] = 0
+    place = np.flatnonzero(order == _of_five(np.maximum, np.pad(least, WINDOW - 1)))  # it is the smallest of a window that it lies in
+    sizes = np.diff(np.searchsorted(place, ends), prepend=0)
+    return np.repeat(np.arange(len(texts)), sizes), place - np.repeat(np.concatenate([[0], ends[:-1]]), sizes), grams[place].view(np.int64)
 
 
 def signature(text: bytes) -> tuple[np.ndarray, np.ndarray]:

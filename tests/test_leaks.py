@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from evigrid.functions.grams import LEAST_BYTES, signature
+from evigrid.functions.grams import LEAST_BYTES, signature, signatures
 from evigrid.operators import leaks
 from evigrid.operators.containment import occurrences
 
@@ -56,6 +56,27 @@ def test_little_is_written(spark, monkeypatch):
     assert sum(r.count() for r in rows) <= 2 * (len(got) + len(lines))
 
 
+def test_few_places_go_to_the_texts(spark, tmp_path):
+    """A string in few of many texts: the places found are sent to the texts, and texts are not shuffled to them."""
+    spark.range(400).selectExpr("id AS text_id", "repeat(concat('words of text ', id, ', '), 2000) AS text").write.parquet(str(tmp_path / "texts"))
+    got = occurrences(spark.createDataFrame([(1, "words of text 77, w")], STRINGS), spark.read.parquet(str(tmp_path / "texts")))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert got.count() == 1999
+
+
+def test_grams_of_many_texts_at_once(spark):
+    """Grams are taken as each text alone has them, in all lengths around a window's, equal letters too."""
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.choice([97, 98], n).tolist()) for n in (*range(30), *range(29, -1, -1))] + [b"", b"a" * 40, b"", b"ab" * 20]
+    of, places, grams = (x.tolist() for x in signatures(texts))
+    assert [*zip(of, places, grams, strict=True)] == [(i, p, g) for i, t in enumerate(texts) for p, g in zip(*(x.tolist() for x in signature(t)), strict=True)]
+    for i, t in enumerate(texts):
+        own = [p for k, p in zip(of, places, strict=True) if k == i]
+        assert all(0 <= p <= len(t) - 8 for p in own) and all(any(w <= p < w + 5 for p in own) for w in range(len(t) - LEAST_BYTES + 1))
+        assert [g for k, g in zip(of, grams, strict=True) if k == i] == [int.from_bytes(t[p : p + 8], "little", signed=True) for p in own]
+
+
 def test_short_strings_are_refused(spark):
     with pytest.raises(Exception, match="at least 12 bytes"):
         occurrences(spark.createDataFrame([(1, "short")], STRINGS), spark.createDataFrame([(1, "a short text, too")], TEXTS)).collect()
