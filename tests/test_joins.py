@@ -28,6 +28,19 @@ def test_units(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 0, 0, 200), (1, 1, 200, 400), (1, 2, 400, 401), (2, 0, 0, 200)]
 
 
+def test_units_of_documents_with_spans_only(spark, monkeypatch):
+    """What meets the spans grows with the documents that have some, not with all letters."""
+    docs = spark.range(300).selectExpr("id AS doc_id", "repeat('some words ', 200) AS text").union(spark.createDataFrame([(500, "x" * 401), (501, None)], "doc_id long, text string"))
+    spans = spark.createDataFrame([(7, 500, 190, 210), (8, 500, 400, 401), (9, 3, 600, 800)], "item_id long, doc_id long, start long, end long")
+    sides, join = [], intervals.overlap_join
+    monkeypatch.setattr(intervals, "overlap_join", lambda a, b, *more: sides.append(b) or join(a, b, *more))
+    monkeypatch.setattr(intervals, "item_spans", lambda *_: spans)
+    monkeypatch.setattr(intervals, "table", lambda *_: docs)
+    got = intervals.span_units(spark, "")
+    assert sorted(map(tuple, got.collect())) == [(7, 500, 190, 0, False), (7, 500, 190, 1, False), (8, 500, 400, 2, True), (9, 3, 600, 3, True)]
+    assert sides[0].count() == 3 + 11
+
+
 def plain_merge(plans, outcome, authoritative, fetch_gap):
     current = None
     for _, call, status, reasons, required in sorted(plans, key=lambda p: p[0]):
