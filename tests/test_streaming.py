@@ -68,3 +68,64 @@ def test_call_deadlines(spark, tmp_path):
     assert seen[3] == sorted([*seen[2], (10, 9, "timeout"), (12, 10, "unmatched")])
     state = spark.read.format("statestore").option("stateVarName", "open").load(str(tmp_path / "work" / "progress"))
     assert state.count() == 0  # all calls are closed
+
+
+class Messages:
+    """A value state and its timers that count how often they are used, as each use is a message to the JVM."""
+
+    def __init__(self):
+        self.value, self.timers, self.n = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def _used(self):
+        self.n += 1
+
+    def exists(self):
+        self._used()
+        return self.value is not None
+
+    def get(self):
+        self._used()
+        return self.value
+
+    def update(self, value):
+        self._used()
+        self.value = value
+
+    def clear(self):
+        self._used()
+        self.value = None
+
+    def registerTimer(self, at):
+        self._used()
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self._used()
+        self.timers.remove(at)
+
+
+def test_call_state_is_used_once_a_batch():
+    """Many events of one request in a batch: state and timers are read and written once, and hold what is open at the end."""
+    from pyspark.sql import Row
+
+    from evigrid.streaming import deadlines
+
+    event, state = Row("request_id", "call_id", "ts", "at_ms", "opens"), Messages()
+    processor = deadlines.Deadlines(10)
+    processor.init(state)
+
+    def batch(rows):
+        state.n = 0
+        return [tuple(r) for r in processor.handleInputRows((7,), iter([event(7, c, None, at, opens) for c, at, opens in rows]), None)]
+
+    pairs = [(c, 2 * c, c % 2 == 0) for c in range(40)]
+    assert batch([*pairs[::-1], (50, 100, True), (51, 105, True)]) == [(c, 7, "answered") for c in range(0, 40, 2)] + [(51, 7, "refused")]
+    assert state.n <= 3 and (state.value, state.timers) == ((50, 110), {110})
+    assert batch([(52, 110, True)]) == [(52, 7, "refused")] and state.n == 1
+    assert batch([(53, 111, True), (54, 112, False), (55, 113, True)]) == [(50, 7, "timeout"), (53, 7, "answered")]
+    assert state.n <= 4 and (state.value, state.timers) == ((55, 123), {123})
+    assert batch([(56, 114, False), (57, 115, False)]) == [(55, 7, "answered"), (57, 7, "unmatched")]
+    assert state.n <= 3 and (state.value, state.timers) == (None, set())
