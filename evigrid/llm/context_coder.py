@@ -28,7 +28,9 @@ _LEAST, _MOST = 16, 3968
 #: Weights move by 1/2^4 of the way.
 _RATE = 4
 #: What an occurrence adds to an id's order-0 count, which begins at 1.
-_GAIN = 2
+_GAIN = np.float32(2)
+#: Blocks whose parts are made up at once, so that they stay in a core's cache.
+_ROWS = 64
 #: First weight of a prediction by its confidence (0: none yet).
 _FIRST = np.array([16, 1700, 2600, 3100, 3400, 3600, 3750, 3900])
 _SURE = np.uint16(len(_FIRST) - 1)
@@ -61,7 +63,9 @@ class _Wave:
         self.weights = np.repeat(_WEIGHTS[:, None, :], n, axis=1).reshape(-1)
         self.weight_row = np.arange(2, dtype=np.int64)[:, None] * (n * 128) + np.arange(n, dtype=np.int64) * 128
         self.alphabets = alphabets
-        self.counts = (np.arange(self.stride)[None, :] < alphabets[:, None]).astype(np.int32)
+        self.occurs = (np.arange(self.stride)[None, :] < alphabets[:, None]).astype(np.float32)
+        self.counts = self.occurs.copy()  # whole numbers below 2^24
+        self.parts, self.spread = np.zeros((n, self.stride), np.int32), np.zeros((n, self.stride), np.int32)
 
     def spans(self) -> Iterator[tuple[int, int, int]]:
         """(from, to, m): runs of steps with the same m open blocks and the same order-0 parts, which are made up here.
@@ -73,36 +77,45 @@ class _Wave:
         while t < end:
             m = int(np.count_nonzero(self.lengths > t))
             if t == again:
-                counts = self.counts[:m]
-                free = (_PARTS - self.alphabets[:m]).astype(np.float64)
-                self.parts = (counts > 0) + (counts * (free / counts.sum(axis=1))[:, None]).astype(np.int32)
-                self.parts[:, 0] += _PARTS - self.parts.sum(axis=1, dtype=np.int32)
-                ends = np.cumsum(self.parts, axis=1, dtype=np.int32)
-                self.spread = (((ends - self.parts) << 12) | self.parts).reshape(-1)
+                for at in range(0, m, _ROWS):
+                    self._share(slice(at, min(at + _ROWS, m)))
                 again = t + max(8, min(256, t // 4))
             to = min(again, int(closing[np.searchsorted(closing, t, "right")]))
             yield t, to, m
             t = to
 
+    def _share(self, rows: slice) -> None:
+        """Order 0's parts of some blocks. Single precision is the same everywhere; what it rounds up is less than a part in all, so none is lacking."""
+        counts, parts, spread = self.counts[rows], self.parts[rows], self.spread[rows]
+        free = (_PARTS - self.alphabets[rows]).astype(np.float32) / counts.sum(axis=1)
+        shares = counts * free[:, None]
+        shares += self.occurs[rows]
+        parts[...] = shares
+        parts[:, 0] += _PARTS - parts.sum(axis=1, dtype=np.int32)
+        np.cumsum(parts, axis=1, out=spread)
+        spread -= parts
+        spread <<= 12
+        spread |= parts
+
     def count(self, symbols: np.ndarray, m: int) -> None:
         """Add a span's symbols (steps, m) to order 0."""
-        at = (symbols + self.row[:m]).reshape(-1)
-        self.counts[:m] += _GAIN * np.bincount(at, minlength=m * self.stride).astype(np.int32).reshape(m, self.stride)
+        np.add.at(self.counts.reshape(-1), (symbols + self.row[:m]).reshape(-1), _GAIN)
 
-    def predict(self, at: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Names of orders 2 and 1 in the contexts `at` (2, m), order 2's weight, and both weights' sum."""
+    def predict(self, at: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """Names of orders 2 and 1 in the contexts `at` (2, m), and where their weights end: order 2's, and both weights' sum."""
         self.at, self.entry = at, self.named.take(at)
         self.sure, name = self.entry & _SURE, self.entry >> np.uint16(3)
         joint = (self.sure[0] << np.uint16(3)) | self.sure[1] | ((name[0] == name[1]).view(np.uint8).astype(np.uint16) << np.uint16(6))
-        self.weight_at = self.weight_row[:, :m] + joint
+        self.weight_at = self.weight_row[:, :m] + joint.astype(np.int64)
         self.weight = self.weights.take(self.weight_at)
-        first = self.weight[0].astype(np.int64)
-        return name, first, first + self.weight[1]
+        ends = self.weight.astype(np.int64)
+        ends[1] += ends[0]
+        return name, ends
 
-    def narrow(self, by: np.ndarray, r: np.ndarray, first: np.ndarray, both: np.ndarray, spread: np.ndarray, m: int) -> None:
+    def narrow(self, by: np.ndarray, r: np.ndarray, ends: np.ndarray, spread: np.ndarray, m: int) -> None:
         """Take the id's part of 2^23: the weight of the order that names it (by: (2, m)), else its order-0 start and width out of what both leave."""
-        left = _ALL - both
-        two, upto = first << _PART_BITS, both << _PART_BITS
+        left = _ALL - ends[1]
+        two, upto = ends << _PART_BITS
         start = np.where(by[0], 0, np.where(by[1], two, upto + (spread >> 12) * left))
         width = np.where(by[0], two, np.where(by[1], upto - two, (spread & 4095) * left))
         self.low[:m] += r * start.view(_U)
@@ -126,16 +139,38 @@ class _Wave:
         self.range[short] <<= _32
 
     def learn(self, x: np.ndarray, hit: np.ndarray, by: np.ndarray) -> None:
-        """x: the symbols; hit: which orders named them; by: which order's part was taken."""
+        """x: the symbols, as 16-bit numbers; hit: which orders named them; by: which order's part was taken."""
         surer = np.where(hit, np.minimum(self.sure + np.uint16(1), _SURE), np.maximum(self.sure >> np.uint16(1), np.uint16(1)))
-        self.named[self.at] = np.where(hit | (self.sure > 1), self.entry & np.uint16(0xFFF8), x.astype(np.uint16) << np.uint16(3)) | surer
+        surer |= np.where(hit | (self.sure > 1), self.entry & np.uint16(0xFFF8), x << np.uint16(3))
+        self.named[self.at] = surer
         goal = np.where(by, np.int16(_MOST), np.int16(_LEAST))
-        self.weights[self.weight_at] = self.weight + ((goal - self.weight) >> np.int16(_RATE))
+        goal -= self.weight
+        goal >>= np.int16(_RATE)
+        goal += self.weight
+        self.weights[self.weight_at] = goal
 
 
 def _contexts(wave: _Wave, before: np.ndarray, before2: np.ndarray, m: int) -> np.ndarray:
     """Places of the contexts of orders 2 and 1, on the second last axis."""
-    return np.stack([wave.row2[:m] + ((before * 40503 + before2 * 9973) & (_SLOTS - 1)), wave.row[:m] + before], axis=-2)
+    out = np.empty((*before.shape[:-1], 2, m), np.int64)
+    mixed = before * 40503
+    mixed += before2 * 9973
+    mixed &= _SLOTS - 1
+    np.add(mixed, wave.row2[:m], out=out[..., 0, :])
+    np.add(before, wave.row[:m], out=out[..., 1, :])
+    return out
+
+
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct ids, each id's number among them); small ids are ticked off in a table instead of sorted."""
+    if not len(ids) or ids.max() >= 1 << 17:
+        return np.unique(ids, return_inverse=True)
+    seen = np.zeros(int(ids.max()) + 1, bool)
+    seen[ids] = True
+    distinct = np.flatnonzero(seen)
+    numbers = np.empty(len(seen), np.uint16)
+    numbers[distinct] = np.arange(len(distinct), dtype=np.uint16)
+    return distinct.astype(ids.dtype), numbers.take(ids)
 
 
 def encoded(blocks: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -145,28 +180,29 @@ def encoded(blocks: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
     alphabets: list[np.ndarray] = []
     symbols = np.zeros((int(lengths.max(initial=0)) + 2, n), np.uint16)  # after two symbols 0 that no block has
     for k, i in enumerate(order):
-        distinct, inverse = np.unique(blocks[i], return_inverse=True)
+        distinct, inverse = _numbered(blocks[i])
         alphabets.append(distinct)
         symbols[2 : len(inverse) + 2, k] = inverse
     wave = _Wave(lengths, np.array([len(a) for a in alphabets], np.int64))
+    flat = wave.spread.reshape(-1)
     words, filled = np.zeros((n, len(symbols) + 4), np.uint32), np.zeros(n, np.int64)
     for t, to, m in wave.spans():
         near = symbols[t : to + 2, :m].astype(np.int64)
-        xs, contexts = near[2:], _contexts(wave, near[1:-1], near[:-2], m)
+        xs, small, contexts = near[2:], symbols[t + 2 : to + 2, :m], _contexts(wave, near[1:-1], near[:-2], m)
         place = xs + wave.row[:m]
-        spreads = wave.spread.take(place).astype(np.int64)
+        spreads = flat.take(place).astype(np.int64)
         for i in range(to - t):
             x = xs[i]
-            name, first, both = wave.predict(contexts[i], m)
-            hit = name == x
+            name, ends = wave.predict(contexts[i], m)
+            hit = name == small[i]
             by = hit.copy()
             by[1] &= ~hit[0]
-            wave.narrow(by, wave.range[:m] >> _U(_BITS + _PART_BITS), first, both, spreads[i], m)
+            wave.narrow(by, wave.range[:m] >> _U(_BITS + _PART_BITS), ends, spreads[i], m)
             short = wave.short(m)
             words[short, filled.take(short)] = wave.low.take(short) >> _32
             filled[short] += 1
             wave.shift(short)
-            wave.learn(x, hit, by)
+            wave.learn(small[i], hit, by)
         wave.count(xs, m)
     words[np.arange(n), filled] = wave.low >> _32
     words[np.arange(n), filled + 1] = wave.low & _U(0xFFFFFFFF)
@@ -188,25 +224,26 @@ def decoded(blocks: list[tuple[np.ndarray, np.ndarray, int]]) -> list[np.ndarray
     symbols = np.zeros((int(lengths.max(initial=0)), n), np.uint16)
     before, before2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
     part_row = np.arange(n, dtype=np.int64) << _PART_BITS
+    flat = wave.spread.reshape(-1)
     each = np.tile(np.arange(wave.stride, dtype=np.uint16), n)
     for t, to, m in wave.spans():
-        owner = np.repeat(each[: wave.parts.size], wave.parts.reshape(-1))  # the symbol of each of a block's 2^11 parts
+        owner = np.repeat(each[: m * wave.stride], wave.parts[:m].reshape(-1))  # the symbol of each of a block's 2^11 parts
         for i in range(t, to):
-            name, first, both = wave.predict(_contexts(wave, before[:m], before2[:m], m), m)
+            name, ends = wave.predict(_contexts(wave, before[:m], before2[:m], m), m)
             r = wave.range[:m] >> _U(_BITS + _PART_BITS)
             v = np.minimum((code[:m] - wave.low[:m]) // r, _U(_ALL * _PARTS - 1)).view(np.int64)
             slot = v >> _PART_BITS
-            by = np.stack([slot < first, slot < both])
-            by[1] &= ~by[0]
-            part = np.maximum(v - (both << _PART_BITS), 0).astype(np.int32) // (_ALL - both).astype(np.int32)
+            by = slot < ends
+            by[1] ^= by[0]
+            part = np.maximum(v - (ends[1] << _PART_BITS), 0).astype(np.int32) // (_ALL - ends[1]).astype(np.int32)
             x = np.where(by[0], name[0], np.where(by[1], name[1], owner.take(part_row[:m] + part))).astype(np.int64)
-            wave.narrow(by, r, first, both, wave.spread.take(wave.row[:m] + x).astype(np.int64), m)
+            wave.narrow(by, r, ends, flat.take(wave.row[:m] + x).astype(np.int64), m)
             short = wave.short(m)
             code[short] = (code.take(short) << _32) | words[short, taken.take(short)]
             taken[short] += 1
             wave.shift(short)
-            wave.learn(x, name == x, by)
             symbols[i, :m] = x
+            wave.learn(symbols[i, :m], name == symbols[i, :m], by)
             before, before2 = x, before
         wave.count(symbols[t:to, :m], m)
     out = [np.zeros(0, np.uint32)] * n

@@ -12,7 +12,7 @@ import os
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +26,7 @@ from evigrid.llm.context_coder import BLOCK, WAVE, decoded, encoded
 from evigrid.llm.hashing import mix, prefix_sums, slices
 
 #: Fixed values of the file format.
-MAGIC = 0x31584D43
+MAGIC = 0x32584D43
 _HEAD = np.dtype([("magic", "<u4"), ("crc", "<u4"), ("ids_crc", "<u4"), ("ids", "<u4"), ("pieces", "<u4"), ("alphabet", "<u4"), ("words", "<u4")])
 _PIECE = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("ordinal", "<i8"), ("begin", "<i8"), ("first", "<i8"), ("length", "<u4"), ("last", "u1")])
 _AFTER_CRC = 8
@@ -35,6 +35,8 @@ _AFTER_CRC = 8
 STRINGS = 1 << 19
 #: A text is tokenised in pieces of about so many bytes, cut at white space.
 SPAN = 1 << 20
+#: Texts are tokenised together up to so many bytes, as a step of numpy costs the same for a short text as for some thousand letters.
+TOGETHER = 1 << 16
 _SPACE = re.compile(rb"[\t-\r ]")
 _ASCII_SPACE = re.compile("[\t-\r ]+")
 # Classes of bytes (0 white space, 1 letters, 2 digits, 3 signs, 4 others) and contractions, by which the vocabulary's file splits text. Letters
@@ -149,7 +151,8 @@ class RememberingTokenizer:
         self._put(hashes, np.arange(self.n, end))
         self.n, self.filled = end, filled
 
-    def _plain(self, low: np.ndarray) -> np.ndarray:
+    def _plain(self, low: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """The ids of a lowered text, and how many of them stand before each of some places."""
         start, end = _pre_tokens(low)
         hashes = slices(prefix_sums(_BYTE[low]), start, end) | np.uint64(1)  # 0 is a free place
         at, held = self._find(hashes)
@@ -161,8 +164,9 @@ class RememberingTokenizer:
             at, _ = self._find(hashes)
         codes = self.codes.take(at)
         size = self.size.take(codes)
-        ends = np.cumsum(size)
-        return self.ids.take(np.arange(ends[-1]) + np.repeat(self.begin.take(codes) - ends + size, size)) if len(ends) else np.zeros(0, np.uint32)
+        ends = np.cumsum(np.append(0, size))
+        ids = self.ids.take(np.arange(ends[-1]) + np.repeat(self.begin.take(codes) - ends[:-1], size))
+        return ids, ends[np.searchsorted(start, begins)].tolist()
 
     def _other(self, text: str) -> np.ndarray:
         strings = [s for s in _ASCII_SPACE.split(text) if s]
@@ -178,11 +182,37 @@ class RememberingTokenizer:
             cut = _SPACE.search(text, at + SPAN) if len(text) > at + SPAN else None
             to = cut.start() if cut else len(text)
             low = _lowered(text[at:to])
-            yield self._other(text[at:to].decode()) if low is None else self._plain(low)
-            if self.n + len(self.known) > STRINGS:
-                self.forget()
+            yield self._other(text[at:to].decode()) if low is None else self._plain(low, np.zeros(0, np.int64))[0]
+            self._bounded()
             at = to
 
+    def _bounded(self) -> None:
+        if self.n + len(self.known) > STRINGS:
+            self.forget()
+
+    def each(self, texts: Iterable[bytes]) -> Iterator[Iterable[np.ndarray]]:
+        """For one text after another its ids, in runs. Short texts are tokenised together, with white space between them, which no token reaches over."""
+        group: list[bytes] = []
+        size = 0
+        for text in texts:
+            if group and size + len(text) > TOGETHER:
+                yield from self._together(group)
+                group, size = [], 0
+            group.append(text)
+            size += len(text) + 1
+        yield from self._together(group)
+
+    def _together(self, texts: list[bytes]) -> Iterator[Iterable[np.ndarray]]:
+        low = _lowered(b"\n".join(texts)) if len(texts) > 1 else None
+        if low is None:
+            yield from map(self, texts)
+            return
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        ids, upto = self._plain(low, ends)
+        self._bounded()
+        for a, b in zip([0, *upto], upto, strict=False):
+            yield (ids[a:b],)
+
 
 def _stand_ins() -> dict[int, str]:
     """The printable letter for each byte in such vocabularies: printable Latin-1 for itself, the others from U+0100 on."""
@@ -270,7 +300,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> N
 
         begin = 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            texts = (text.as_buffer().to_pybytes() if text.is_valid else b"" for text in batch.column(1))
+            for doc, found in zip(batch.column(0).to_pylist(), tokenizer.each(texts), strict=True):
                 first = 0
 
                 def add(ids: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
@@ -291,7 +322,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> N
                         runs.append(ids[at : at + n])
                         room, first, at = room - n, first + n, at + n
 
-                for ids in tokenizer(text.as_buffer().to_pybytes() if text.is_valid else b""):
+                for ids in found:
                     yield from add(ids, False)
                 yield from add(np.array([end_id], np.uint32), True)
                 begin, ordinal = begin + first, ordinal + 1

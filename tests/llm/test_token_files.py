@@ -72,6 +72,24 @@ def test_long_text_in_spans(monkeypatch):
     assert np.concatenate([*token_files.RememberingTokenizer(token_files.tokenizer_path())(text.encode()), [END]]).tolist() == library([text])[0]
 
 
+def test_short_texts_together(monkeypatch):
+    """Short texts cost one step for many of them, and each has the ids it has alone: empty ones, contractions at borders, other alphabets, long texts between."""
+    texts = ["it'", "s mine", "", "<", "|x|>", "won", "'t", "Ünï", " a ", "", "b\n", "12", "34"] * 3 + ["日本語", "x<|endoftext|>y", ""] + ["word " * 40] + ["don't", ""]
+    calls, plain = [], token_files.RememberingTokenizer._plain
+    monkeypatch.setattr(token_files.RememberingTokenizer, "_plain", lambda self, *a: calls.append(1) or plain(self, *a))
+    for together, strings in ((100, 1 << 19), (1 << 16, 1 << 19), (30, 3), (0, 5)):
+        monkeypatch.setattr(token_files, "TOGETHER", together)
+        monkeypatch.setattr(token_files, "STRINGS", strings)
+        tokenizer = token_files.RememberingTokenizer(token_files.tokenizer_path())
+        assert [np.concatenate([*runs, [END]]).tolist() for runs in tokenizer.each(t.encode() for t in texts)] == library(texts)
+        assert list(tokenizer.each([])) == []
+    monkeypatch.undo()
+    monkeypatch.setattr(token_files.RememberingTokenizer, "_plain", lambda self, *a: calls.append(1) or plain(self, *a))
+    calls.clear()
+    assert [np.concatenate([*r]).tolist() for r in tokenizer.each([b"ab c"] * 1000)] == [library(["ab c"])[0][:-1]] * 1000
+    assert len(calls) == 1
+
+
 def want_rows(docs, ids):
     """Plain: documents in order, ids before each, checksums."""
     out, start = [], 0
