@@ -31,8 +31,8 @@ _HEAD = np.dtype([("magic", "<u4"), ("crc", "<u4"), ("ids_crc", "<u4"), ("ids",
 _PIECE = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("ordinal", "<i8"), ("begin", "<i8"), ("first", "<i8"), ("length", "<u4"), ("last", "u1")])
 _AFTER_CRC = 8
 
-#: Strings whose ids a worker remembers, at most; then it starts anew.
-STRINGS = 1 << 19
+#: Strings whose ids a worker remembers, at most (some 80 MB); then only those stay that were met again, up to half as many.
+STRINGS = 1_000_000
 #: A text is tokenised in pieces of about so many bytes, cut at white space.
 SPAN = 1 << 20
 #: Texts are tokenised together up to so many bytes, as a step of numpy costs the same for a short text as for some thousand letters.
@@ -47,29 +47,31 @@ _CLASS[[*range(48, 58)]] = 2
 _CLASS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3]] = 1
 _CLASS[[*range(9, 14), 32]] = 0
 _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_KIND = _CLASS.tobytes()
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_FOLLOWING = bytes(range(0x80, 0xC0))
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 def _lowered(text: bytes) -> np.ndarray | None:
     """The bytes of a text of ASCII and letters up to U+00FF, lower-cased; None for other texts."""
-    data = np.frombuffer(text, np.uint8)
-    kinds = _CLASS[data]
-    if (kinds == 4).any() or b"<|" in text or not ((data > 31) | (kinds == 0)).all():
+    leads = text.count(b"\xc3")
+    if b"\4" in text.translate(_KIND) or b"<|" in text or len(text) - len(text.translate(None, _FOLLOWING)) != leads:  # other characters
         return None
-    low = _LOWER[data]
-    lead = np.flatnonzero(data == 0xC3)
-    then = data[lead + 1]
-    if len(lead) != np.count_nonzero((data >= 0x80) & (data < 0xC0)) or np.isin(then, (0x97, 0xB7)).any():  # other characters; the signs for times and division
-        return None
-    low[lead[then < 0x9F] + 1] += 32
+    low = np.frombuffer(text.translate(_LOWER), np.uint8)
+    if leads:
+        low = low.copy()
+        lead = np.flatnonzero(low == 0xC3)
+        then = low[lead + 1]
+        if ((then | 32) == 0xB7).any():  # the signs for times and division
+            return None
+        low[lead[then < 0x9F] + 1] += 32
     return low
 
 
 def _pre_tokens(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the pre-tokens of a lowered text begin and end: contractions, runs of letters, single digits, runs of signs."""
-    kinds = _CLASS[low]
+    kinds = np.frombuffer(low.tobytes().translate(_KIND), np.uint8)
     begins = np.empty(len(low), bool)
     begins[:1] = True
     np.not_equal(kinds[1:], kinds[:-1], out=begins[1:])
@@ -101,15 +103,16 @@ class RememberingTokenizer:
 
         self.library = tokenizers.Tokenizer.from_file(path)
         self.model = self.library.model
-        self.written = str.maketrans({chr(byte): letter for byte, letter in _stand_ins().items()})
+        self.written = str.maketrans({chr(byte): letter for byte, letter in _stand_ins().items() if byte != 10})
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, np.ndarray] = {}
         self.places = 1 << 16
-        self.hashes, self.codes = np.zeros(self.places, np.uint64), np.zeros(self.places, np.int64)
+        self.hashes, self.codes = np.zeros(self.places, np.uint64), np.zeros(self.places, np.int32)
         self.n, self.filled = 0, 0
         self.begin, self.size, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
+        self.again = np.zeros(1 << 12, bool)
 
     def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, whether it holds the hash; else it is free) of each hash in the open table."""
@@ -133,39 +136,50 @@ class RememberingTokenizer:
             hashes, codes = hashes[rest], codes[rest]
 
     def _learn(self, hashes: np.ndarray, strings: list[bytes]) -> None:
-        found = [[t.id for t in self.model.tokenize(x.decode("latin-1").translate(self.written))] for x in strings]
-        sizes = np.array([len(x) for x in found], np.int64)
-        end, filled = self.n + len(found), self.filled + int(sizes.sum())
-        for name, most in (("begin", end), ("size", end), ("ids", filled)):
+        """Strings without white space, and their hashes."""
+        found = list(map(self.model.tokenize, b"\n".join(strings).decode("latin-1").translate(self.written).split("\n")))
+        self._add(hashes, np.array([len(x) for x in found], np.int64), np.array([t.id for x in found for t in x], np.uint32))
+
+    def _add(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Remember strings by their hashes, numbers of ids, and ids one after another."""
+        end, filled = self.n + len(sizes), self.filled + len(ids)
+        for name, most in (("begin", end), ("size", end), ("again", end), ("ids", filled)):
             held = getattr(self, name)
             if most > len(held):
                 setattr(self, name, np.concatenate([held, np.zeros(max(most, 2 * len(held)) - len(held), held.dtype)]))
         self.begin[self.n : end] = self.filled + np.cumsum(sizes) - sizes
         self.size[self.n : end] = sizes
-        self.ids[self.filled : filled] = [i for x in found for i in x]
-        if 3 * end > self.places:
+        self.ids[self.filled : filled] = ids
+        if 2 * end > self.places:
             kept, codes = self.hashes[self.hashes != 0], self.codes[self.hashes != 0]
-            self.places = 1 << (6 * end).bit_length()
-            self.hashes, self.codes = np.zeros(self.places, np.uint64), np.zeros(self.places, np.int64)
+            self.places = 1 << (2 * end).bit_length()
+            self.hashes, self.codes = np.zeros(self.places, np.uint64), np.zeros(self.places, np.int32)
             self._put(kept, codes)
         self._put(hashes, np.arange(self.n, end))
         self.n, self.filled = end, filled
 
+    def _ids(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of strings one after another, and how many stand before each of them and in all."""
+        size = self.size.take(codes)
+        ends = np.cumsum(np.append(0, size))
+        return self.ids.take(np.arange(ends[-1]) + np.repeat(self.begin.take(codes) - ends[:-1], size)), ends
+
     def _plain(self, low: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, list[int]]:
         """The ids of a lowered text, and how many of them stand before each of some places."""
         start, end = _pre_tokens(low)
         hashes = slices(prefix_sums(_BYTE[low]), start, end) | np.uint64(1)  # 0 is a free place
         at, held = self._find(hashes)
-        if not held.all():
-            new, first = np.unique(hashes[~held], return_index=True)
-            places = np.flatnonzero(~held)[first]
-            text = low.tobytes()
+        codes = self.codes.take(at).astype(np.int64)
+        if held.all():
+            self.again[codes] = True
+        else:
+            self.again[codes[held]] = True
+            missing = np.flatnonzero(~held)
+            new, first, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            codes[missing] = self.n + which
+            places, text = missing[first], low.tobytes()
             self._learn(new, [text[a:b] for a, b in zip(start[places].tolist(), end[places].tolist(), strict=True)])
-            at, _ = self._find(hashes)
-        codes = self.codes.take(at)
-        size = self.size.take(codes)
-        ends = np.cumsum(np.append(0, size))
-        ids = self.ids.take(np.arange(ends[-1]) + np.repeat(self.begin.take(codes) - ends[:-1], size))
+        ids, ends = self._ids(codes)
         return ids, ends[np.searchsorted(start, begins)].tolist()
 
     def _other(self, text: str) -> np.ndarray:
@@ -187,8 +201,14 @@ class RememberingTokenizer:
             at = to
 
     def _bounded(self) -> None:
+        """Forget the strings that were not met again since the last time, if there are too many."""
         if self.n + len(self.known) > STRINGS:
+            kept = np.flatnonzero(self.again[: self.n])[: STRINGS // 2]
+            (ids, _), sizes, hashes = self._ids(kept), self.size.take(kept), np.zeros(self.n, np.uint64)
+            taken = np.flatnonzero(self.hashes)
+            hashes[self.codes.take(taken)] = self.hashes.take(taken)
             self.forget()
+            self._add(hashes.take(kept), sizes, ids)
 
     def each(self, texts: Iterable[bytes]) -> Iterator[Iterable[np.ndarray]]:
         """For one text after another its ids, in runs. Short texts are tokenised together, with white space between them, which no token reaches over."""

@@ -90,6 +90,33 @@ def test_short_texts_together(monkeypatch):
     assert len(calls) == 1
 
 
+def test_strings_met_again_stay(monkeypatch):
+    """A full memory gives up what was met once only: the model gets a common word once, however many rare ones pass by, and ids stay right."""
+    monkeypatch.setattr(token_files, "STRINGS", 40)
+    tokenizer, asked = token_files.RememberingTokenizer(token_files.tokenizer_path()), []
+
+    class Model:
+        def tokenize(self, string, model=tokenizer.model):
+            asked.append(string)
+            return model.tokenize(string)
+
+    tokenizer.model = Model()
+    common = "evidence isn't whatever Ünïcödé says"
+    texts = [f"{common} rare{'abcdefghij'[i % 10] * (i // 10 + 1)} {'xyz'[i % 3] * (i + 1)}" for i in range(90)]
+    for text, want in zip(texts, library(texts), strict=True):
+        assert np.concatenate([*tokenizer(text.encode()), [END]]).tolist() == want
+    assert asked.count("evidence") == 1 and asked.count("whatever") == 1
+    assert tokenizer.n < 60
+
+
+@pytest.mark.parametrize("length", [1, 2, 15, 16, 17, 700, 2048])
+def test_coder_masks(length):
+    """Ids that order 1, order 2, both or neither name, at all confidences, in blocks of equal and different lengths."""
+    rng = np.random.default_rng(length)
+    tails = [np.where(rng.random(length) < p, np.arange(length) % k, rng.integers(0, 2048, length)) for p in (0, 0.5, 0.97, 1) for k in (1, 2, 3, 11, 400)]
+    check([t[: rng.integers(1, length + 1)] for t in tails] + tails)
+
+
 def want_rows(docs, ids):
     """Plain: documents in order, ids before each, checksums."""
     out, start = [], 0
