@@ -2,6 +2,9 @@
 
 Of each five grams in a row the one with the smallest scrambled value is taken (all of them, if several have it). Two texts that share twelve bytes share
 such a run of grams, and so a taken one.
+
+Grams that are taken one after the other in a text are so in any text that holds it: a gram between them that only a window over the border takes would lie
+in the first one's own window too. So runs of them can be looked for, which say more than one gram.
 """
 
 from __future__ import annotations
@@ -11,6 +14,8 @@ import numpy as np
 #: Bytes in a gram, grams in a window, and bytes that a string needs to have a whole window.
 GRAM, WINDOW = 8, 5
 LEAST_BYTES = GRAM + WINDOW - 1
+#: Lengths of runs of taken grams; each is made up of two of the lengths before it.
+RUNS = (1, 2, 3, 4, 8)
 #: Grams are taken by the upper half of their product with it, so that common letters don't decide what is taken.
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,3 +61,29 @@ def signatures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def signature(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(places, grams) of one text."""
     return signatures([text])[1:]
+
+
+def runs(of: np.ndarray, places: np.ndarray, grams: np.ndarray) -> list[np.ndarray]:
+    """Keys of the runs of taken grams from each one on, for each length of RUNS: scrambled, and by the distances too. The last n - 1 of all have no key of n, and one that reaches over a text's end is of no use."""
+    out = {1: scrambled(grams.view(np.uint64))}
+    for length in RUNS[1:]:
+        head = max(n for n in out if length - n in out)
+        n, tail = max(0, len(of) - length + 1), out[length - head]
+        out[length] = scrambled(out[head][:n] * _ODD + tail[head : head + n] + (places[head : head + n] - places[:n]).astype(np.uint64))
+    return [out[n] for n in RUNS]
+
+
+def around(texts: list[bytes], of: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The four bytes before a place of a text in the lower half of a number, and the four after another place; where there are none, one that no text has."""
+    pad = b"\xff" * 4
+    data = np.frombuffer(pad + pad.join(texts) + pad, np.uint8)
+    shift = np.cumsum([4, *(len(t) + 4 for t in texts[:-1])])[of]
+    near = np.concatenate([(begin + shift)[:, None] + np.arange(-4, 0), (end + shift)[:, None] + np.arange(4)], axis=1)
+    return np.ascontiguousarray(data[near]).view("<u8").reshape(-1)
+
+
+def edges(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The bits of around() that stand for so many bytes before and after."""
+    one, eight = np.uint64(1), np.uint64(8)
+    low = ((one << eight * before.astype(np.uint64)) - one) << eight * (4 - before).astype(np.uint64)
+    return low | ((one << eight * after.astype(np.uint64)) - one) << np.uint64(32)

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from evigrid.functions.grams import LEAST_BYTES, signature, signatures
+from evigrid.functions.grams import LEAST_BYTES, RUNS, around, edges, runs, signature, signatures
 from evigrid.operators import leaks
 from evigrid.operators.containment import occurrences
 
@@ -77,6 +77,24 @@ def test_grams_of_many_texts_at_once(spark):
         assert [g for k, g in zip(of, grams, strict=True) if k == i] == [int.from_bytes(t[p : p + 8], "little", signed=True) for p in own]
 
 
+def test_runs_of_a_string_are_in_its_texts():
+    """All runs of taken grams of a string have the same keys in a text that holds it, and around them stand the same letters."""
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        common = bytes(rng.integers(97, 100, LEAST_BYTES + rng.integers(0, 60)).tolist())
+        texts = [b"", bytes(rng.integers(97, 100, rng.integers(0, 20)).tolist()) + common + bytes(rng.integers(97, 100, rng.integers(0, 20)).tolist())]
+        at = texts[1].index(common)
+        of, places, grams = signatures(texts)
+        for length, own, keys in zip(RUNS, runs(*(mine := signatures([common]))), runs(of, places, grams), strict=True):
+            first = mine[1][: len(own)]
+            assert len(own) == max(0, len(mine[1]) - length + 1)
+            assert {*zip((first + at).tolist(), own.tolist(), strict=True)} <= {*zip(places[: len(keys)].tolist(), keys.tolist(), strict=True)}
+    n = np.array([0, 1, 4, 3]), np.array([4, 2, 0, 3])
+    got = around([b"abcdefgh", b"xy"], np.array([0, 0, 1, 1]), np.array([4, 1, 0, 1]), np.array([4, 7, 2, 2]))
+    assert [x.tobytes() for x in got] == [b"abcdefgh", b"\xff\xff\xffah\xff\xff\xff", b"\xff" * 8, b"\xff\xff\xffx\xff\xff\xff\xff"]
+    assert [x.tobytes() for x in edges(*n)] == [bytes(4 - a) + b"\xff" * a + b"\xff" * b + bytes(4 - b) for a, b in zip(*n, strict=True)]
+
+
 def test_short_strings_are_refused(spark):
     with pytest.raises(Exception, match="at least 12 bytes"):
         occurrences(spark.createDataFrame([(1, "short")], STRINGS), spark.createDataFrame([(1, "a short text, too")], TEXTS)).collect()
@@ -122,6 +140,63 @@ def test_leaks(spark):
     ]
 
 
+ROW = "row_id long, principal string, groups array<string>, text string, request_text string"
+
+
+def _watched(monkeypatch):
+    """All that leaks writes on its way."""
+    from evigrid.operators import containment
+
+    frames, kept = [], leaks.written
+    for module in (leaks, containment):
+        monkeypatch.setattr(module, "written", lambda df: frames.append(kept(df)) or frames[-1])
+    return frames
+
+
+def test_tokens_stay_with_their_texts(spark, monkeypatch):
+    """Long lines that leak: neither they nor texts are written on the way, and the result doesn't shuffle them once it has cut them from the row."""
+    rng = np.random.default_rng(6)
+    lines = ["".join(rng.choice(list("abcdefghijklmnop "), 20_000)) for _ in range(40)]
+    artifacts = [(i, ["ops"], None, False, None, [x], [], None) for i, x in enumerate(lines)]
+    frames = _watched(monkeypatch)
+    got = leaks.leaks(spark.createDataFrame(artifacts, leaks.ARTIFACT), spark.createDataFrame([(i, "bob", ["eng"], "x" + t, None) for i, t in enumerate(lines)], ROW))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Join") == 1
+    assert sorted((r["row_id"], r["token"], r["start"]) for r in got.collect()) == [(i, t, 1) for i, t in enumerate(lines)]
+    sizes = [f.selectExpr("coalesce(sum(length(to_json(struct(*)))), 0) AS n").first()["n"] for f in frames]
+    assert sum(sizes) < len("".join(lines)) / 10
+
+
+@pytest.mark.parametrize("few", [0, 60])
+def test_standing(spark, monkeypatch, few):
+    """Few places go to the texts, many don't, and only texts of which something is wanted are shuffled to them."""
+    from evigrid.operators import containment
+
+    monkeypatch.setattr(containment, "FEW", few)
+    texts = spark.range(500).selectExpr("id AS text_id", "'n' || id AS name", "IF(id = 9, NULL, concat('é text ', id, ' text ', id)) AS text")
+    places = [(i, at, len(word), containment._digest(word.encode()), i % 3) for i in range(0, 20, 2) for word in (f"text {i} text {i}", f"text {i}") for at in (3, 9 + len(str(i)), 70)]
+    wanted = spark.createDataFrame(places, "text_id long, at long, bytes long, digest binary, note int").selectExpr("text_id", "struct(at, bytes, digest, note) AS w").groupBy("text_id").agg({"w": "collect_list"}).toDF("text_id", "w")
+    got = containment.standing(wanted, texts)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastHashJoin" in plan) == (few > 0) and ("SortMergeJoin" in plan) == (few == 0)
+    second = lambda i: 8 + len(str(i))
+    want = [(i, f"n{i}", i % 3, f"text {i}", [(2, " ", " "), (second(i), " ", "")]) for i in range(0, 20, 2)] + [(i, f"n{i}", i % 3, f"text {i} text {i}", [(2, " ", "")]) for i in range(0, 20, 2)]
+    assert sorted((r["text_id"], r["name"], r["note"], r["token"], [tuple(p) for p in r["places"]]) for r in got.collect()) == sorted(want)
+    assert 10 <= containment.among(texts, wanted).count() < 20
+
+
+def test_titles_that_all_may_read_are_not_collected(spark, monkeypatch):
+    """Each title of two words stands in each text, and all may read it there: what is written grows with the titles, not with titles times texts."""
+    words = [f"word{x}" for x in "abcdefgh"]
+    said = [f"number {10_000 + 7919 * i} " + " ".join(f"{a} {b} {b}" for a in words for b in words) for i in range(128)]
+    artifacts = [(i, ["eng", "ops"][i % 2 :][:1], None, False, f"{words[i // 8]} {words[i % 8]} ", [said[i]], [], None) for i in range(64)]
+    frames = _watched(monkeypatch)
+    rows = [(i, "bob", ["eng"], said[i], None) for i in (*range(0, 128, 2), 1)]
+    got = leaks.leaks(spark.createDataFrame(artifacts, leaks.ARTIFACT), spark.createDataFrame(rows, ROW)).collect()
+    assert [(r["row_id"], r["kind"], r["token"]) for r in got] == [(1, "private_text", said[1])]
+    assert sum(f.count() for f in frames) < 6 * 128
+
+
 def test_withheld_counts(spark):
     rows = spark.createDataFrame([(1, "bob", "There are 3 restricted results"), (2, "cy", "3 hidden"), (3, None, "withheld pages: 2, hidden count = 0"), (4, "bob", "three hidden")], "row_id long, principal string, text string")
     assert sorted(map(tuple, leaks.withheld_counts(rows, ("cy",)).collect())) == [(1, "3 restricted"), (3, "withheld pages: 2")]
